@@ -1,0 +1,254 @@
+"""Histogram against a literal evaluation of its definition."""
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from emberlog.functions.buckets import (
+    WIDEST,
+    as_utc,
+    bucket_seconds,
+    bucket_width,
+    floor_micros,
+)
+from emberlog.functions.predicates import eq, gt
+from emberlog.operators.histogram import counts_metadata, time_histogram
+from emberlog.sources.views import logs_from_events
+
+from conftest import plan_of
+
+EPOCH = datetime(1970, 1, 1)
+
+
+@pytest.fixture(scope="module")
+def logs(events):
+    return logs_from_events(events)
+
+
+def truncated(at, unit):
+    if unit == "month":
+        return at.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    if unit == "year":
+        return at.replace(month=1, day=1, hour=0, minute=0, second=0, microsecond=0)
+    return EPOCH + timedelta(microseconds=floor_micros(at, unit))
+
+
+def edges(start, end):
+    """Steps from the start up to the end; calendar steps from the unit's start."""
+    width = bucket_width(start, end)
+    out, n = [], 0
+    while True:
+        if width.is_calendar:
+            first = truncated(start, width.unit)
+            months = first.year * 12 + first.month - 1 + n * width.months
+            edge = datetime(months // 12, months % 12 + 1, 1)
+        else:
+            edge = start + timedelta(seconds=n * width.seconds)
+        if edge > end:
+            return width, out, edge
+        out.append(edge)
+        n += 1
+
+
+def previous(edge, width):
+    if width.is_calendar:
+        months = edge.year * 12 + edge.month - 1 - width.months
+        return datetime(months // 12, months % 12 + 1, 1)
+    return edge - timedelta(seconds=width.seconds)
+
+
+def expected(times, start, end, compat):
+    width, spine, after = edges(start, end)
+    times = [t for t in times if start <= t <= end]
+    cut = [truncated(t, width.unit) for t in times]
+    if compat:
+        return {
+            truncated(g, width.unit): sum(previous(g, width) <= c <= g for c in cut)
+            for g in spine
+        }
+    if truncated(end, width.unit) > spine[-1]:
+        spine.append(after)
+    counts = {truncated(g, width.unit): 0 for g in spine}
+    for c in cut:
+        counts[truncated(next(g for g in spine if g >= c), width.unit)] += 1
+    return counts
+
+
+RANGES = [
+    ("2024-01-01T00:00:00", "2024-01-05T00:00:00"),
+    ("2024-01-01T00:00:00", "2024-02-01T00:00:00"),
+    ("2024-01-03T07:31:17", "2024-01-08T01:02:03"),
+    ("2024-01-03T07:31:17.250", "2024-01-24T11:02:03.5"),
+    ("2024-01-03T00:00:30", "2024-01-03T09:00:00"),
+    ("2023-10-31T12:00:00", "2034-08-15T00:00:00"),
+    ("2010-03-31T00:00:00", "2024-12-31T00:00:00"),
+    ("1900-03-31T00:00:00", "2124-12-31T00:00:00"),
+    ("2023-01-04T01:00:00", "2024-09-03T00:00:00"),
+]
+
+
+@pytest.mark.parametrize("start,end", RANGES)
+def test_counts(events, logs, start, end):
+    times = [r.ts for r in events.select("ts").collect()]
+    for compat in (False, True):
+        got = time_histogram(logs, start, end, compat=compat).collect()
+        want = expected(times, as_utc(start), as_utc(end), compat)
+        assert {r.tstamp: r.value for r in got} == want
+        assert len(got) == len(want)
+        assert {r.id for r in got} == {"value"}
+
+
+def test_each_row_counts_once(logs):
+    for start, end in RANGES:
+        total = time_histogram(logs, start, end).agg(F.sum("value")).first()[0]
+        in_range = logs.where(F.col("tstamp").between(F.lit(start), F.lit(end))).count()
+        assert total == in_range
+
+
+def test_unit_and_edge_labels(spark):
+    rows = [("2024-01-01 10:00:00",), ("2024-01-01 10:05:00",), ("2024-01-01 10:05:01",)]
+    logs = spark.createDataFrame(rows, "t string").select(
+        F.lit(1).alias("id"), F.col("t").cast("timestamp").alias("tstamp"), F.lit("{}").alias("doc")
+    )
+    got = time_histogram(logs, "2024-01-01T10:00:00Z", "2024-01-01T14:00:00Z")
+    assert bucket_width("2024-01-01T10:00:00Z", "2024-01-01T14:00:00Z").label == "5 minute"
+    assert got.schema["tstamp"].dataType.simpleString() == "timestamp"
+    filled = got.where("value > 0").select(F.date_format("tstamp", "HH:mm"), "value").collect()
+    # the minute 10:05 lies on the edge of the second bucket
+    assert [tuple(r) for r in filled] == [("10:00", 1), ("10:05", 2)]
+    assert got.count() == 49
+
+
+def split_expected(events, n, start, end):
+    pdf = events.toPandas()
+    pdf = pdf[(pdf.ts >= start) & (pdf.ts <= end)]
+    return pdf, list(
+        pdf.groupby("event_type").size().sort_index().sort_values(ascending=False, kind="stable").index[:n]
+    )
+
+
+def test_split_keeps_largest_ids(events, logs):
+    start, end = "2024-01-01", "2024-01-15"
+    pdf, ids = split_expected(events, 2, start, end)
+    got = time_histogram(logs, start, end, split_by="event_type", max_buckets=2).toPandas()
+    assert sorted(got.id.unique()) == sorted(ids)
+    assert got.groupby("id").value.sum().to_dict() == {
+        i: int((pdf.event_type == i).sum()) for i in ids
+    }
+    assert got.groupby("id").size().nunique() == 1
+    assert list(zip(got.tstamp, got.id)) == sorted(zip(got.tstamp, got.id))
+    everything = time_histogram(logs, start, end, split_by="event_type").toPandas()
+    assert everything.value.sum() == len(pdf)
+
+
+def test_split_ties_and_missing(spark):
+    docs = ['{"h":"b"}', '{"h":"a"}', '{"h":null}', "{}", '{"h":"c"}']
+    logs = spark.createDataFrame([(d,) for d in docs], "doc string").select(
+        F.lit(1).alias("id"),
+        F.lit("2024-01-01 00:00:10").cast("timestamp").alias("tstamp"),
+        "doc",
+    )
+    got = time_histogram(logs, "2024-01-01", "2024-01-01T00:00:50", split_by="h", max_buckets=2)
+    assert {r.id for r in got.collect()} == {"(null)", "a"}
+    # ids without a number come first, as NULL is the largest in descending order
+    by_sum = time_histogram(
+        logs, "2024-01-01", "2024-01-01T00:00:50",
+        split_by="h", max_buckets=1, value="x", aggregate="sum",
+    )
+    assert {r.id for r in by_sum.collect()} == {"(null)"}
+
+
+@pytest.mark.parametrize("aggregate", ["count", "sum", "avg", "min", "max"])
+@pytest.mark.parametrize("compat", [False, True])
+def test_aggregates(events, logs, aggregate, compat):
+    start, end = "2024-01-01", "2024-02-01"
+    pdf = events.toPandas()
+    got = time_histogram(
+        logs, start, end, value="value", aggregate=aggregate, compat=compat
+    ).toPandas()
+    width, spine, after = edges(as_utc(start), as_utc(end))
+    if not compat and truncated(as_utc(end), width.unit) > spine[-1]:
+        spine.append(after)
+    assert len(got) == len(spine)
+    cut = [truncated(t.to_pydatetime(), width.unit) for t in pdf.ts]
+    for (_, row), g in zip(got.iterrows(), spine):
+        hit = [
+            v
+            for c, v in zip(cut, pdf.value)
+            if (previous(g, width) <= c <= g if compat else previous(g, width) < c <= g)
+        ]
+        if not hit:
+            assert row.value == 0 if aggregate == "count" else row.value != row.value
+            continue
+        want = {
+            "count": len(hit),
+            "sum": sum(hit),
+            "avg": sum(hit) / len(hit),
+            "min": min(hit),
+            "max": max(hit),
+        }[aggregate]
+        assert row.value == pytest.approx(want)
+
+
+def test_missing_as_zero(logs):
+    options = dict(where=eq("event_type", "no such type"), value="value", aggregate="sum")
+    empty = time_histogram(logs, "2024-01-01", "2024-01-05", **options).collect()
+    zero = time_histogram(
+        logs, "2024-01-01", "2024-01-05", missing_is_zero=True, **options
+    ).collect()
+    assert {r.value for r in empty} == {None} and {r.value for r in zero} == {0.0}
+    assert len(empty) == len(zero) == 97
+
+
+def test_no_match(logs):
+    nothing = eq("event_type", "no such type")
+    assert {r.value for r in time_histogram(logs, "2024-01-01", "2024-01-02", nothing).collect()} == {0}
+    assert time_histogram(logs, "2024-01-01", "2024-01-02", nothing, split_by="event_type").count() == 0
+    assert time_histogram(logs, "2024-01-02", "2024-01-01").count() == 0
+    assert time_histogram(logs, "2024-01-02", "2024-01-02").count() == 1
+    assert time_histogram(logs, "2024-01-01", "2024-01-02", max_buckets=0).count() == 0
+
+
+def test_bad_parameters(logs):
+    for options in (
+        {"value": "value"},
+        {"value": "value", "aggregate": "median"},
+        {"max_buckets": -1},
+        {"split_by": "0bad"},
+    ):
+        with pytest.raises(ValueError):
+            time_histogram(logs, "2024-01-01", "2024-01-02", **options)
+
+
+def test_widths(spark):
+    zero = datetime(2024, 1, 1)
+    seconds = [0, 50, 119, 120, 239, 240, 14400, 86400, 86400 * 30, 10**9, 10**10, 4 * 10**11]
+    rows = spark.createDataFrame([(s,) for s in seconds], "s long")
+    in_spark = [r[0] for r in rows.select(bucket_seconds(F.col("s"))).collect()]
+    for s, got in zip(seconds, in_spark):
+        if s < 10**11:
+            assert bucket_width(zero, zero + timedelta(seconds=s)).seconds == got
+            assert bucket_width(zero + timedelta(seconds=s), zero).seconds == got
+    assert in_spark[-1] == WIDEST.seconds
+    assert bucket_width(zero, zero + timedelta(seconds=50)).label == "1 second"
+    assert bucket_width(zero, zero + timedelta(hours=4)).label == "5 minute"
+
+
+def test_metadata(logs):
+    assert [tuple(r) for r in counts_metadata(logs, "2024-01-01", "2024-01-05").collect()] == [
+        ("counts_interval_sec", 3600)
+    ]
+
+
+def test_plan(logs):
+    plan = plan_of(
+        time_histogram(
+            logs, "2024-01-01", "2024-02-01", gt("user_id", 10), split_by="event_type", max_buckets=3
+        )
+    )
+    tree = plan.split("\n\n")[0]
+    assert "Join" not in tree and "CartesianProduct" not in tree
+    assert tree.count("Scan parquet") == 1
+    assert "TakeOrderedAndProject" in tree
+    assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
