@@ -227,7 +227,10 @@ def normalize_messages(
     fields = F.map_from_entries(
         F.transform(
             message_entries(F.col(msg), rules),
-            lambda e: F.struct(e["key"], F.get_json_object(e["json"], "$").alias("value")),
+            lambda e: F.struct(
+                e["key"],
+                F.when(e["json"] != "null", F.get_json_object(e["json"], "$")).alias("value"),
+            ),
         )
     )
     return df.withColumns({msg: text}).withColumns(

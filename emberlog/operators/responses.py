@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.buckets import bucket_width
+from emberlog.functions.flatten import json_quote
 from emberlog.functions.syslog import format_rfc3339
 from emberlog.operators.events import field_summary, latest_events, range_metadata
 from emberlog.operators.histogram import time_histogram
@@ -53,37 +54,37 @@ def events_document(events: DataFrame) -> DataFrame:
     )
 
 
-def _sorted_map(key: Column, value: Column) -> Column:
-    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value))))
-
-
-def _json_or_null(column: Column) -> Column:
-    return F.when(F.size(column) > 0, F.to_json(column)).otherwise("null").alias("json")
+def _object(key: Column, json: Column) -> Column:
+    """Aggregate of keys and JSON texts to one JSON object, sorted by key."""
+    entries = F.array_sort(
+        F.collect_list(F.struct(key.alias("k"), F.coalesce(json, F.lit("null")).alias("j")))
+    )
+    texts = F.transform(entries, lambda e: F.concat(json_quote(e["k"]), F.lit(":"), e["j"]))
+    return F.when(
+        F.size(texts) > 0, F.concat(F.lit("{"), F.array_join(texts, ","), F.lit("}"))
+    ).otherwise("null")
 
 
 def fields_document(summary: DataFrame) -> DataFrame:
     """``json``: ``{field: {value: count}}`` of a field summary."""
     per_field = summary.groupBy("field").agg(
-        _sorted_map(F.col("value"), F.col("n")).alias("values")
+        _object(F.col("value"), F.col("n").cast("string")).alias("json")
     )
-    return per_field.agg(_json_or_null(_sorted_map(F.col("field"), F.col("values"))))
+    return per_field.agg(_object(F.col("field"), F.col("json")).alias("json"))
 
 
 def metadata_document(metadata: DataFrame) -> DataFrame:
-    return metadata.agg(_json_or_null(_sorted_map(F.col("key"), F.col("value"))))
+    """``json``: ``{key: value}`` of range metadata."""
+    return metadata.agg(_object(F.col("key"), F.col("value").cast("string")).alias("json"))
 
 
 def counts_document(histogram: DataFrame) -> DataFrame:
     """``json``: ``{tstamp: {id: value}}`` of a histogram."""
     per_time = histogram.groupBy("tstamp").agg(
-        _sorted_map(F.col("id"), F.col("value")).alias("points")
-    )
-    doc = _sorted_map(format_rfc3339(F.col("tstamp")), F.col("points"))
-    return per_time.agg(
-        F.when(F.size(doc) > 0, F.to_json(doc, {"ignoreNullFields": "false"}))
-        .otherwise("null")
-        .alias("json")
+        _object(F.col("id"), F.col("value").cast("string")).alias("json")
     )
+    time = format_rfc3339(F.col("tstamp"))
+    return per_time.agg(_object(time, F.col("json")).alias("json"))
 
 
 def _join_documents(parts: dict[str, DataFrame]) -> DataFrame:

@@ -11,6 +11,14 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpoint_folder(spark: SparkSession, name: str) -> str:
+    """A folder for a stream's progress below the session's shared folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("give a checkpoint folder or set spark.checkpoint.dir")
+    return f"{shared.rstrip('/')}/{name}"
+
+
 def local_session(cpus: int | str = "*", app: str = "emberlog") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     parallelism = "8" if cpus == "*" else str(cpus)

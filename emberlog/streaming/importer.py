@@ -24,8 +24,8 @@ def start_import(
 ) -> StreamingQuery:
     """Start the import of a raw line stream.
 
-    Progress is kept in the checkpoint, which must be on storage all executors
-    share. A batch is acknowledged only after both writes are done, so rows are
+    Progress is kept in the checkpoint, on storage all executors share; keep the
+    same one to go on after a restart. A batch is acknowledged only after both writes are done, so rows are
     stored at least once; a row stored twice has the same hash id both times.
     """
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import UTC, datetime, timedelta
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from emberlog.functions.predicates import as_condition
 from emberlog.functions.render import field_line
 from emberlog.operators.timerange import time_type
 from emberlog.schema import LOG_COLUMNS, LogColumns
+from emberlog.session import checkpoint_folder
 
 # Poll interval, lines per poll and greatest age of a line.
 POLL_MS = 500
@@ -93,7 +95,8 @@ def start_tail(
     """Follow a log stream; ``on_lines(lines, batch_id)`` gets each poll.
 
     The stream's own offsets are the cursor, so no row is skipped or seen twice
-    between polls; the cap only applies to what one poll shows.
+    between polls; the cap only applies to what one poll shows. Without a
+    checkpoint a new one below the session's shared folder is used.
     """
 
     def poll(batch: DataFrame, batch_id: int) -> None:
@@ -102,9 +105,10 @@ def start_tail(
             batch_id,
         )
 
-    writer = logs.writeStream.foreachBatch(poll).trigger(
-        **(trigger or {"processingTime": f"{POLL_MS} milliseconds"})
+    folder = checkpoint or checkpoint_folder(logs.sparkSession, f"tail-{uuid4()}")
+    return (
+        logs.writeStream.foreachBatch(poll)
+        .option("checkpointLocation", folder)
+        .trigger(**(trigger or {"processingTime": f"{POLL_MS} milliseconds"}))
+        .start()
     )
-    if checkpoint is not None:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return writer.start()

@@ -1,0 +1,106 @@
+"""Import and tail as streams, driven to completion."""
+
+import json
+from datetime import timedelta
+from types import SimpleNamespace
+
+import pytest
+
+from emberlog.functions.predicates import eq
+from emberlog.operators.ingest import import_events
+from emberlog.session import checkpoint_folder
+from emberlog.sources.jsonlines import read_json_lines, stream_json_lines
+from emberlog.sources.logtable import read_logs, stream_logs
+from emberlog.streaming.importer import start_import
+from emberlog.streaming.tail import start_tail
+
+from test_ingest import event
+
+AGE = timedelta(days=365 * 100)
+
+
+def write_lines(path, *lines):
+    path.write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines) + "\n")
+
+
+def at(second, **changes):
+    return event(timereported=f"2024-01-02T03:04:{second:02d}Z", msg=f"m{second}", **changes)
+
+
+def test_import_and_tail(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    table, bad, progress = (str(tmp_path / n) for n in ("logs", "bad", "checkpoint"))
+
+    def run_import():
+        start_import(
+            stream_json_lines(spark, str(source), max_files_per_trigger=1),
+            table, bad, progress, levels=["day"], trigger={"availableNow": True},
+        ).awaitTermination()
+
+    def run_tail(**options):
+        polls = []
+        start_tail(
+            stream_logs(spark, table, ["day"]),
+            max_age=AGE, fields=["msg"], checkpoint=str(tmp_path / "tail"),
+            on_lines=lambda lines, n: polls.append([r.line for r in lines.collect()]),
+            trigger={"availableNow": True}, **options,
+        ).awaitTermination()
+        return [line for poll in polls for line in poll]
+
+    write_lines(source / "a.json", at(1), "", "nonsense", at(2))
+    write_lines(source / "b.json", at(3, hostname="web2"), event(syslogseverity="9"))
+    run_import()
+    first = read_logs(spark, table, ["day"])
+    assert first.count() == 3
+    assert {r.reason for r in spark.read.parquet(bad).collect()} == {
+        "not a JSON object", "invalid syslogseverity",
+    }
+    assert run_tail() == [f"2024-01-02 03:04:0{n} m{n}" for n in (1, 2, 3)]
+
+    # nothing new, then only the new rows, also after a restart
+    assert run_tail() == []
+    write_lines(source / "c.json", *[at(n) for n in range(4, 10)])
+    run_import()
+    assert run_tail(max_lines=2, where=eq("hostname", "web1")) == [
+        "2024-01-02 03:04:08 m8", "2024-01-02 03:04:09 m9",
+    ]
+
+    # the stream stores what a batch over the same files gives
+    batch, quarantine = import_events(read_json_lines(spark, str(source)))
+    columns = ["id", "tstamp", "doc", "search"]
+    stored = read_logs(spark, table, ["day"]).select(columns).orderBy("id").collect()
+    assert stored == batch.select(columns).orderBy("id").collect()
+    assert quarantine.count() == spark.read.parquet(bad).count() == 2
+
+
+def test_old_rows_are_not_shown(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    write_lines(source / "a.json", at(1))
+    table = str(tmp_path / "logs")
+    start_import(
+        stream_json_lines(spark, str(source)), table, str(tmp_path / "bad"),
+        str(tmp_path / "checkpoint"), trigger={"availableNow": True},
+    ).awaitTermination()
+    lines = []
+    start_tail(
+        stream_logs(spark, table), checkpoint=str(tmp_path / "tail"),
+        on_lines=lambda df, n: lines.extend(df.collect()), trigger={"availableNow": True},
+    ).awaitTermination()
+    assert lines == []
+
+
+def test_source_file_column(spark, tmp_path):
+    write_lines(tmp_path / "a.json", at(1), " ", at(2))
+    rows = read_json_lines(spark, str(tmp_path)).collect()
+    assert len(rows) == 2 and all(r.source_file.endswith("a.json") for r in rows)
+
+
+def test_checkpoint_folder():
+    def session(setting):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: setting))
+
+    assert checkpoint_folder(session("/shared/"), "x") == "/shared/x"
+    with pytest.raises(ValueError):
+        checkpoint_folder(session(None), "x")
