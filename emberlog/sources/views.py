@@ -33,3 +33,62 @@ def logs_from_documents(documents: DataFrame) -> DataFrame:
     return documents.select(
         F.col("doc_id").alias("id"), F.col("text"), tokens(F.col("text")).alias("search")
     )
+
+
+def logs_from_orders(orders: DataFrame) -> DataFrame:
+    """Orders as log rows by order date."""
+    doc = F.to_json(
+        F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))
+    )
+    return orders.select(
+        F.col("o_orderkey").alias("id"),
+        F.col("o_orderdate").alias("tstamp"),
+        doc.alias("doc"),
+        F.parse_json(doc).alias("doc_v"),
+    )
+
+
+def logs_from_lineitem(lineitem: DataFrame) -> DataFrame:
+    """Line items as log rows by ship date."""
+    doc = F.to_json(F.struct(F.col("l_returnflag").alias("flag")))
+    return lineitem.select(
+        F.col("l_orderkey").alias("id"),
+        F.col("l_shipdate").alias("tstamp"),
+        doc.alias("doc"),
+        F.parse_json(doc).alias("doc_v"),
+    )
+
+
+def raw_lines_from_events(events: DataFrame) -> DataFrame:
+    """``(id, value)``: each event as a raw JSON syslog line with variables.
+
+    A ninth of the users send an unknown severity, so their lines are rejected.
+    """
+    k = F.get_json_object("props", "$.k").cast("int")
+    user = F.col("user_id").cast("string")
+    host = F.concat(F.lit("web"), (F.col("user_id") % 10).cast("string"))
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    variables = F.struct(
+        k.alias("k"),
+        F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("kind")).alias("user"),
+        F.array(F.col("event_type"), F.concat(F.lit("t"), k)).alias("tags"),
+    )
+    raw = {
+        "msg": F.concat_ws(" ", F.lit("user"), user, F.col("event_type"), F.lit("#"), k),
+        "timereported": time,
+        "timegenerated": time,
+        "hostname": host,
+        "syslogtag": F.concat(F.col("event_type"), F.lit("["), user, F.lit("]:")),
+        "inputname": F.lit("imudp"),
+        "fromhost": host,
+        "fromhost-ip": F.concat(F.lit("10.0.0."), (F.col("user_id") % 250).cast("string")),
+        "syslogseverity": (F.col("user_id") % 9).cast("string"),
+        "syslogfacility": (F.col("user_id") % 24).cast("string"),
+        "programname": F.col("event_type"),
+        "protocol-version": F.lit("1"),
+        "app-name": F.col("event_type"),
+        "procid": F.when(F.col("event_type") != "view", user),
+        "$!": variables,
+    }
+    line = F.to_json(F.struct(*[c.alias(name) for name, c in raw.items()]))
+    return events.select(F.col("event_id").alias("id"), line.alias("value"))
