@@ -1,8 +1,9 @@
 """Flattening of nested JSON objects to dotted keys, as expressions.
 
 The walk is a fold over levels, so it follows the real nesting of each row and
-stays inside the JVM. JSON text carries the exact numbers and the VARIANT carries
-the types; both are walked together.
+stays inside the JVM. The VARIANT carries types and values; because it forgets the
+spelling of numbers such as ``1.0``, rows with fractions are walked together with
+their JSON text.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 # Fixed value: deepest nesting that is accepted on input.
 MAX_DEPTH = 127
 
-_NODE = "array<struct<path:array<string>,text:string,v:variant>>"
-
+# A number with a fraction or an exponent, after what may precede a value.
+_FRACTION = r"(^|[:\[,])\s*-?\d+[.eE]"
 
 def bind_once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often it is used."""
@@ -37,19 +38,24 @@ def _is_object(value: Column) -> Column:
 
 
 def _children(node: Column) -> Column:
-    texts = F.from_json(node["text"], "map<string,string>")
+    """Members of an object node, in key order."""
     values = node["v"].cast("map<string,variant>")
-    pairs = F.map_zip_with(
-        texts, values, lambda _, t, v: F.struct(t.alias("text"), v.alias("v"))
+
+    def member(key: Column, text: Column, value: Column) -> Column:
+        return F.struct(
+            F.concat(node["path"], F.array(key)).alias("path"),
+            text.alias("text"),
+            value.alias("v"),
+        )
+
+    plain = F.transform(
+        F.map_entries(values), lambda e: member(e["key"], F.lit(None).cast("string"), e["value"])
     )
-    return F.transform(
-        F.map_entries(pairs),
-        lambda e: F.struct(
-            F.concat(node["path"], F.array(e["key"])).alias("path"),
-            e["value"]["text"].alias("text"),
-            e["value"]["v"].alias("v"),
-        ),
+    texts = F.from_json(node["text"], "map<string,string>")
+    with_text = F.map_values(
+        F.map_zip_with(values, texts, lambda key, value, text: member(key, text, value))
     )
+    return F.when(node["text"].isNull(), plain).otherwise(with_text)
 
 
 def _one_level(nodes: Column) -> Column:
@@ -62,32 +68,30 @@ def _one_level(nodes: Column) -> Column:
 
 
 def flatten_nodes(text: Column, value: Column, prefix: str | None = None) -> Column:
-    """All leaves below a JSON value, as (path, text, variant) nodes.
+    """All leaves below a JSON value, as (path, text, variant) nodes in key order.
 
-    Arrays and scalars are leaves; an empty object has none. Objects deeper
-    than ``MAX_DEPTH`` stay whole, see :func:`too_deep`.
+    Arrays and scalars are leaves; an empty object has none. Objects deeper than
+    ``MAX_DEPTH`` stay whole. ``text`` of a node is NULL where its spelling does
+    not matter.
     """
     path = F.array(F.lit(prefix)) if prefix else F.array().cast("array<string>")
-    root = F.array(F.struct(path.alias("path"), text.alias("text"), value.alias("v")))
+    spelled = F.when(text.rlike(_FRACTION), text)
+    root = F.array(F.struct(path.alias("path"), spelled.alias("text"), value.alias("v")))
     braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
     levels = F.least(braces, F.lit(MAX_DEPTH))
     steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(
         F.array().cast("array<int>")
     )
+    node = "array<struct<path:array<string>,text:string,v:variant>>"
     return F.when(
-        value.isNotNull(),
-        F.aggregate(steps, root.cast(_NODE), lambda acc, _: _one_level(acc)),
+        value.isNotNull(), F.aggregate(steps, root.cast(node), lambda acc, _: _one_level(acc))
     )
 
 
-
 def leaf_json(text: Column, value: Column) -> Column:
     """Canonical JSON text of a leaf."""
-    return (
-        F.when(_type(value) == "STRING", json_quote(text))
-        .when(F.is_variant_null(value), F.lit("null"))
-        .otherwise(text)
-    )
+    spelled = ~_type(value).isin("STRING", "VOID")
+    return F.when(text.isNotNull() & spelled, text).otherwise(F.to_json(value))
 
 
 def merge_entries(entries: Column) -> Column:
@@ -111,14 +115,12 @@ def merge_entries(entries: Column) -> Column:
 
 
 def node_entries(nodes: Column) -> Column:
-    """Leaf nodes to (dotted key, JSON text) entries, in key order of the tree."""
-    leaves = F.transform(
-        nodes,
-        lambda n: F.struct(n["path"].alias("path"), leaf_json(n["text"], n["v"]).alias("json")),
-    )
+    """Leaf nodes to (dotted key, JSON text) entries."""
     return F.transform(
-        F.array_sort(leaves),
-        lambda n: F.struct(F.array_join(n["path"], ".").alias("key"), n["json"].alias("json")),
+        nodes,
+        lambda n: F.struct(
+            F.array_join(n["path"], ".").alias("key"), leaf_json(n["text"], n["v"]).alias("json")
+        ),
     )
 
 

@@ -28,7 +28,7 @@ def facility_name(code: Column) -> Column:
 
 def parse_rfc3339(text: Column) -> Column:
     """RFC 3339 text to an instant, NULL for any other spelling."""
-    return F.when(text.rlike(RFC3339), F.upper(text).try_cast("timestamp"))
+    return F.when(text.rlike(RFC3339), F.translate(text, "tz", "TZ").try_cast("timestamp"))
 
 
 def format_rfc3339(tstamp: Column) -> Column:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.flatten import (
-    bind_once,
     flatten_nodes,
     json_quote,
     merge_entries,
@@ -63,12 +62,14 @@ def parse_events(
     # one select per step, because a step's columns are used many times in the next
     return (
         raw.where(F.col(line).rlike(r"\S"))
-        .withColumn("_line", F.regexp_replace(F.col(line), r"^\s+|\s+$", ""))
+        .withColumn("_line", F.btrim(F.col(line), F.lit(" \t\r\n")))
+        .withColumn("_v", _sealed_variant())
         .select(
             *kept,
             row_id.alias("id"),
+            (F.col("_line").startswith("{") & _is_sealed()).alias("_is_object"),
             F.from_json("_line", RAW_EVENT_SCHEMA).alias("_e"),
-            _whole_line_variant(F.col("_line")).alias("_v"),
+            "_v",
         )
         .select(
             "*",
@@ -85,6 +86,7 @@ def parse_events(
             (trim_first_space(F.col("_e.msg")) if trim_message else F.col("_e.msg")).alias("_msg"),
         )
         .select("*", _all_variables(structured_data, rules).alias("_vars"))
+        .select("*", _replacement().alias("_replacement"))
         .select("*", *_message_and_variables(swap_message))
         .select("*", _document().alias("_doc"), _search_text().alias("_search"))
         .select(
@@ -99,24 +101,25 @@ def parse_events(
     )
 
 
-def _whole_line_variant(line: Column) -> Column:
-    """The line as VARIANT, NULL unless it is exactly one JSON value.
+def _sealed_variant() -> Column:
+    """The line as VARIANT, together with its own hash: ``[line, hash]``.
 
-    The JSON reader ignores what follows the first value, so the line is
-    wrapped together with its own hash, which must come out again.
+    The JSON reader ignores what follows the first value of a text. If the hash
+    comes out again, the line was exactly one value.
     """
-    seal = F.xxhash64(line)
-    wrapped = F.try_parse_json(F.concat(F.lit("["), line, F.lit(","), seal, F.lit("]")))
+    line = F.col("_line")
+    return F.try_parse_json(
+        F.concat(F.lit("["), line, F.lit(","), F.xxhash64(line), F.lit("]"))
+    )
 
-    def unwrap(pair: Column) -> Column:
-        intact = F.try_variant_get(pair, "$[1]", "long") == seal
-        return F.when(intact, F.try_variant_get(pair, "$[0]", "variant"))
 
-    return bind_once(wrapped, unwrap)
+def _is_sealed() -> Column:
+    seal = F.try_variant_get("_v", "$[1]", "long")
+    return F.coalesce(seal == F.xxhash64("_line"), F.lit(False))
 
 
 def _member(key: str) -> str:
-    return f"try_variant_get(_v, \"$['{key}']\", 'variant')"
+    return f"try_variant_get(_v, \"$[0]['{key}']\", 'variant')"
 
 
 def _own_variables() -> Column:
@@ -131,7 +134,7 @@ def _reject_reason() -> Column:
     def kind(key: str) -> str:
         return f"schema_of_variant({_member(key)})"
 
-    cases = {"_v IS NULL OR schema_of_variant(_v) NOT LIKE 'OBJECT%'": "not a JSON object"}
+    cases = {"NOT _is_object": "not a JSON object"}
     for key in REQUIRED_KEYS:
         cases[f"{kind(key)} IS NULL"] = f"missing {key}"
         cases[f"{kind(key)} <> 'STRING'"] = f"{key} is not a string"
@@ -166,7 +169,8 @@ def _all_variables(structured_data: bool, rules: Sequence[Rule] | None) -> Colum
             )
         )
     empty = F.array().cast("array<struct<key:string,json:string>>")
-    return merge_entries(F.concat(*[F.coalesce(e, empty) for e in found]))
+    found = [F.coalesce(e, empty) for e in found]
+    return merge_entries(F.concat(*found) if extra else found[0])
 
 
 def _printable(json: Column) -> Column:
@@ -178,12 +182,17 @@ def _printable(json: Column) -> Column:
     )
 
 
+def _replacement() -> Column:
+    """JSON text of ``vars.msg``, NULL when absent."""
+    return F.get(F.filter("_vars", lambda e: e["key"] == VARS_MSG), F.lit(0))["json"]
+
+
 def _message_and_variables(swap: bool) -> list[Column]:
     """Final message and variables: exchanged where ``vars.msg`` is present."""
     msg, variables = F.col("_msg"), F.col("_vars")
     if not swap:
         return [msg.alias("_final_msg"), variables.alias("_final_vars")]
-    replacement = F.get(F.filter(variables, lambda e: e["key"] == VARS_MSG), F.lit(0))["json"]
+    replacement = F.col("_replacement")
     swapped = F.transform(
         variables,
         lambda e: F.when(
@@ -191,7 +200,7 @@ def _message_and_variables(swap: bool) -> list[Column]:
         ).otherwise(e),
     )
     return [
-        F.coalesce(bind_once(replacement, _printable), msg).alias("_final_msg"),
+        F.coalesce(_printable(replacement), msg).alias("_final_msg"),
         F.when(replacement.isNotNull(), swapped).otherwise(variables).alias("_final_vars"),
     ]
 
@@ -252,12 +261,24 @@ def _search_text() -> Column:
     )
 
 
+def _emit_where(parsed: DataFrame, condition: Column, columns: list[str]) -> DataFrame:
+    """``parsed.where(condition).select(columns)``, evaluated after the parsing.
+
+    A plain filter would be pushed below the steps it depends on, which repeats
+    their expressions in the filter and parses a line many times over.
+    """
+    row = F.struct(*columns)
+    return parsed.select(F.inline(F.when(condition, F.array(row))))
+
+
 def split_events(parsed: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
     """``(good, quarantine)`` of parsed events."""
-    good = parsed.where(F.col("reason").isNull()).select(*LOG_SCHEMA.names)
     extra = [c for c in ("source_file",) if c in parsed.columns]
-    quarantine = parsed.where(F.col("reason").isNotNull()).select("id", line, "reason", *extra)
-    return good, quarantine
+    reason = F.col("reason")
+    return (
+        _emit_where(parsed, reason.isNull(), LOG_SCHEMA.names),
+        _emit_where(parsed, reason.isNotNull(), ["id", line, "reason", *extra]),
+    )
 
 
 def import_events(raw: DataFrame, line: str = "value", **options) -> tuple[DataFrame, DataFrame]:
