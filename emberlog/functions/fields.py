@@ -31,14 +31,18 @@ def json_path(key: str) -> str:
 def field_text(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     """Field as text: strings unquoted, numbers as written, absent and null NULL."""
     path = json_path(key)
-    if key in cols.promoted:
-        return F.col(cols_ref(key))
+    if found := cols.promoted.get(key):
+        column = F.col(found.column)
+        return column if found.kind == "text" else column.cast("string")
     return F.get_json_object(F.col(cols.doc), path)
 
 
 def field_json(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     """Field as VARIANT: NULL when absent, variant null for a JSON null."""
-    return F.variant_get(F.col(cols.doc_v), json_path(key), "variant")
+    path = json_path(key)
+    if found := cols.promoted.get(key):
+        return F.col(found.column).cast("variant")
+    return F.variant_get(F.col(cols.doc_v), path, "variant")
 
 
 def int_or_null(text: Column) -> Column:
@@ -52,10 +56,21 @@ def field_number(
     """Field as number. ``numeric='double'`` also reads fractions and long numbers."""
     if numeric not in ("int", "double"):
         raise ValueError(f"numeric must be 'int' or 'double', not {numeric!r}")
+    found = cols.promoted.get(key)
+    if found and found.kind == "integer":
+        return _integer(F.col(found.column), found.type, numeric)
     text = field_text(key, cols)
     return int_or_null(text) if numeric == "int" else text.try_cast("double")
 
 
+def _integer(column: Column, column_type: str, numeric: str) -> Column:
+    if numeric == "double":
+        return column.cast("double")
+    if column_type != "bigint":
+        return column.cast("int")
+    return F.when(column.between(-(2**31), 2**31 - 1), column).cast("int")
+
+
 def field_printable(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     """Field as display text, NULL when absent.
 
@@ -64,7 +79,7 @@ def field_printable(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     array has an empty key: ``=[1,2]``).
     """
     if key in cols.promoted:
-        return F.col(cols_ref(key))
+        return field_text(key, cols)
     value, text = field_json(key, cols), field_text(key, cols)
     return (
         F.when(value.isNull(), F.lit(None).cast("string"))
@@ -75,10 +90,6 @@ def field_printable(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     )
 
 
-def cols_ref(name: str) -> str:
-    return f"`{name}`" if "." in name or "-" in name else name
-
-
 def is_array(value: Column) -> Column:
     return F.schema_of_variant(value).startswith("ARRAY")
 

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from emberlog.functions.fields import (
     Scalar,
     check_scalar,
-    cols_ref,
     field_json,
     field_number,
     field_text,
     literal_decimal,
     literal_text,
 )
-from emberlog.schema import LOG_COLUMNS, LogColumns
+from emberlog.schema import LOG_COLUMNS, LogColumns, Promoted
 
 _NUMBER_TYPES = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
 
@@ -52,6 +51,25 @@ def _any_same(items: Column, literal: Scalar) -> Column:
     return F.exists(items, lambda item: _same(item, literal))
 
 
+def _known_false(column: Column) -> Column:
+    return F.when(column.isNotNull(), F.lit(False))
+
+
+def _column_equals(field: Promoted, value: Scalar) -> Column:
+    """Equality on a promoted column, as a comparison that can be pushed down."""
+    column = F.col(field.column)
+    if isinstance(value, str) != (field.kind == "text"):
+        return _known_false(column)
+    if field.kind == "text":
+        return column == F.lit(value)
+    if field.kind == "fraction":
+        return column == F.lit(float(value))
+    number = literal_decimal(value)
+    if number != number.to_integral_value() or abs(number) >= 2**63:
+        return _known_false(column)
+    return column == F.lit(int(number)).cast("bigint")
+
+
 def eq(
     key: str, value: Scalar | list | tuple, cols: LogColumns = LOG_COLUMNS
 ) -> Column:
@@ -59,6 +77,8 @@ def eq(
     that has it; a list matches an array that has all its elements."""
     if isinstance(value, (list, tuple)):
         wanted = [check_scalar(v) for v in value]
+        if key in cols.promoted:
+            return _known_false(field_text(key, cols))
         found = field_json(key, cols)
         items = F.try_variant_get(found, "$", "array<variant>")
         hit = items.isNotNull()
@@ -67,10 +87,7 @@ def eq(
         return F.when(found.isNotNull(), F.coalesce(hit, F.lit(False)))
     check_scalar(value)
     if key in cols.promoted:
-        column = F.col(cols_ref(key))
-        if isinstance(value, str):
-            return column == F.lit(value)
-        return F.when(column.isNotNull(), F.lit(False))
+        return _column_equals(cols.promoted[key], value)
     found = field_json(key, cols)
     items = F.try_variant_get(found, "$", "array<variant>")
     return (

@@ -9,7 +9,8 @@ from emberlog.functions.buckets import bucket_seconds
 from emberlog.operators.histogram import counts_metadata, time_histogram
 from emberlog.operators.responses import counts_response
 from emberlog.plans.base import LOGS_SQL, query
-from emberlog.sources.views import logs_from_lineitem, logs_from_orders
+from emberlog.sources.views import EVENT_COLUMNS as EVENTS
+from emberlog.sources.views import ORDER_COLUMNS, logs_from_lineitem, logs_from_orders
 
 START, END = "2024-01-01T00:00:00", "2024-02-01T00:00:00"
 
@@ -62,17 +63,23 @@ def rounded(df, digits=2):
 
 @query("hist_total", histogram_sql())
 def hist_total(t):
-    return time_histogram(t.logs, START, END)
+    return time_histogram(t.logs, START, END, cols=EVENTS)
 
 
 @query("hist_split_topn", histogram_sql(split="event_type", limit=3))
 def hist_split_topn(t):
+    return time_histogram(t.logs, START, END, cols=EVENTS, split_by="event_type", max_buckets=3)
+
+
+@query("hist_split_document", histogram_sql(split="event_type", limit=3))
+def hist_split_document(t):
+    """The same, with the field taken from the document."""
     return time_histogram(t.logs, START, END, split_by="event_type", max_buckets=3)
 
 
 @query("hist_split_all", histogram_sql(split="user_id"))
 def hist_split_all(t):
-    return time_histogram(t.logs, START, END, split_by="user_id")
+    return time_histogram(t.logs, START, END, cols=EVENTS, split_by="user_id")
 
 
 @query("hist_split_sum", histogram_sql(
@@ -81,7 +88,7 @@ def hist_split_all(t):
 def hist_split_sum(t):
     return rounded(
         time_histogram(
-            t.logs, START, END, split_by="vars.k", max_buckets=10, value="value", aggregate="sum"
+            t.logs, START, END, cols=EVENTS, split_by="vars.k", max_buckets=10, value="value", aggregate="sum"
         )
     )
 
@@ -89,7 +96,7 @@ def hist_split_sum(t):
 def _aggregate_query(aggregate: str, sql: str) -> None:
     @query(f"hist_value_{aggregate}", histogram_sql(value=sql))
     def build(t):
-        return rounded(time_histogram(t.logs, START, END, value="value", aggregate=aggregate), 4)
+        return rounded(time_histogram(t.logs, START, END, cols=EVENTS, value="value", aggregate=aggregate), 4)
 
 
 _aggregate_query("sum", "round(sum(l.value), 4)")
@@ -108,7 +115,7 @@ def hist_compat(t):
 @query("hist_compat_split", histogram_sql(points=74, lower=">=", split="event_type", limit=2))
 def hist_compat_split(t):
     return time_histogram(
-        t.logs, START, END, split_by="event_type", max_buckets=2, compat=True
+        t.logs, START, END, cols=EVENTS, split_by="event_type", max_buckets=2, compat=True
     )
 
 
@@ -148,6 +155,7 @@ def hist_month_split(t):
         time_histogram(
             logs_from_orders(t.orders), "1995-01-01", "2001-12-31",
             split_by="priority", max_buckets=3, value="total", aggregate="sum",
+            cols=ORDER_COLUMNS,
         )
     )
 
@@ -164,17 +172,18 @@ def hist_year(t):
     value="coalesce(round(sum(l.value), 2), 0)",
 ))
 def hist_zero_fill(t):
-    rare = P.eq("event_type", "purchase") & P.lt("vars.k", 3)
+    rare = P.eq("event_type", "purchase", EVENTS) & P.lt("vars.k", 3, cols=EVENTS)
     return rounded(
         time_histogram(
-            t.logs, START, END, rare, value="value", aggregate="sum", missing_is_zero=True
+            t.logs, START, END, rare, value="value", aggregate="sum",
+            missing_is_zero=True, cols=EVENTS,
         )
     )
 
 
 @query("hist_no_match", histogram_sql(where="event_type = 'none such'"))
 def hist_no_match(t):
-    return time_histogram(t.logs, START, END, P.eq("event_type", "none such"))
+    return time_histogram(t.logs, START, END, P.eq("event_type", "none such", EVENTS))
 
 
 @query("counts_metadata", "select 'counts_interval_sec' as key, 36000 as value")

@@ -26,6 +26,7 @@ from emberlog.operators.timerange import time_range
 from emberlog.plans.base import LOGS_SQL, WORDS_SQL, query
 from emberlog.schema import LogColumns
 from emberlog.sources.logtable import as_logs
+from emberlog.sources.views import EVENT_COLUMNS as EVENTS
 from emberlog.sources.views import logs_from_lineitem
 
 
@@ -58,6 +59,23 @@ _where(
 )
 _where("match_all", lambda: P.as_condition(None), "true")
 
+def _promoted(name: str, condition, sql: str) -> None:
+    """The same on the columns that stand for the fields."""
+
+    @query(name, f"select id, event_type from {LOGS_SQL} where {sql}")
+    def build(t):
+        return t.logs.where(condition()).select("id", "event_type")
+
+
+_promoted("promoted_eq", lambda: P.eq("event_type", "click", EVENTS), "event_type = 'click'")
+_promoted("promoted_number", lambda: P.eq("user_id", 7, EVENTS), "user_id = 7")
+_promoted(
+    "promoted_mixed",
+    lambda: ~P.eq("event_type", "view", EVENTS)
+    & (P.lt("vars.k", 10, cols=EVENTS) | P.gt("value", 90, "double", EVENTS)),
+    "event_type <> 'view' and (k < 10 or value > 90)",
+)
+
 _SOMETIMES = """(
   select event_id as id, case when user_id % 3 = 1 then 'a' when user_id % 3 = 2 then 'b' end as f
   from events

@@ -16,6 +16,7 @@ from emberlog.operators.timerange import time_range
 from emberlog.plans.base import LOGS_SQL, WORDS_SQL, query
 from emberlog.plans.histograms import END, START
 from emberlog.sources.logtable import as_logs, read_logs, stream_logs, write_logs
+from emberlog.sources.views import EVENT_COLUMNS
 from emberlog.streaming.tail import start_tail, tail_lines
 
 _NEWEST = f"select id, tstamp as timestamp, doc as source from {LOGS_SQL}"
@@ -32,14 +33,16 @@ def latest(t):
   order by tstamp desc, id desc limit 50
 """)
 def latest_filtered(t):
-    condition = P.in_list("event_type", ["click", "view"]) & P.ge("vars.k", 50)
+    condition = P.in_list("event_type", ["click", "view"], EVENT_COLUMNS) & P.ge(
+        "vars.k", 50, cols=EVENT_COLUMNS
+    )
     return latest_events(t.logs, "2024-01-08", "2024-01-25T06:30:00Z", condition, 50)
 
 
 @query("latest_events_all", f"{_NEWEST} where event_type = 'error'")
 def latest_all(t):
     """Without a limit every match is returned, newest first."""
-    return latest_events(t.logs, START, END, P.eq("event_type", "error"))
+    return latest_events(t.logs, START, END, P.eq("event_type", "error", EVENT_COLUMNS))
 
 
 def _summary_sql(rows: str, k: int = 5) -> str:
@@ -126,7 +129,7 @@ def metadata(t):
   union select 'counts_interval_sec', 36000
 """)
 def metadata_filtered(t):
-    return range_metadata(t.logs, START, END, P.lt("vars.k", 20))
+    return range_metadata(t.logs, START, END, P.lt("vars.k", 20, cols=EVENT_COLUMNS))
 
 
 def _rendered(t):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import types as T
 
@@ -82,32 +83,44 @@ LOG_SCHEMA = T.StructType(
     ]
 )
 
-# Document fields that are always plain strings, so they may also be kept as
-# real columns (Parquet statistics and filter pushdown).
-PROMOTABLE = frozenset(
-    {
-        "msg",
-        "hostname",
-        "inputname",
-        "syslogtag",
-        "fromhost",
-        "fromhost_ip",
-        "syslogfacility",
-        "syslogseverity",
-        "programname",
-        "protocol_version",
-        "app_name",
-    }
-)
+# Document fields of imported events that are kept as real columns too: always
+# plain strings, and often filtered on.
 DEFAULT_PROMOTED = ("hostname", "programname", "syslogseverity")
 
+# Column types that may stand for a document field, by kind of JSON value.
+_KINDS = {
+    "string": "text",
+    "int": "integer",
+    "bigint": "integer",
+    "smallint": "integer",
+    "tinyint": "integer",
+    "double": "fraction",
+}
+
+
+@dataclass(frozen=True)
+class Promoted:
+    """A document field that is also a column; NULL means the field is absent."""
+
+    column: str
+    type: str
+
+    def __post_init__(self) -> None:
+        if self.type not in _KINDS:
+            raise ValueError(f"{self.column}: a {self.type} column cannot stand for a field")
+
+    @property
+    def kind(self) -> str:
+        return _KINDS[self.type]
+
 
 @dataclass(frozen=True)
 class LogColumns:
     """Where the parts of a log row live in a DataFrame.
 
-    ``promoted`` names document fields that the frame also holds as string
-    columns; getters and predicates on them then use the column.
+    ``promoted`` maps field names to columns that hold the same values. Getters
+    and predicates on these fields then work on the columns, so that scans read
+    only them and filters reach the Parquet reader.
     """
 
     id: str = "id"
@@ -115,12 +128,19 @@ class LogColumns:
     doc: str = "doc"
     doc_v: str = "doc_v"
     search: str = "search"
-    promoted: frozenset = field(default_factory=frozenset)
+    promoted: Mapping[str, Promoted] = field(default_factory=dict)
 
-    def __post_init__(self) -> None:
-        unknown = set(self.promoted) - PROMOTABLE
-        if unknown:
-            raise ValueError(f"not promotable: {sorted(unknown)}")
+    def promote(self, **columns: str) -> LogColumns:
+        """Add string columns, given as ``field="column"``."""
+        return self.promote_from({name: (column, "string") for name, column in columns.items()})
+
+    def promote_from(self, columns: Mapping[str, tuple[str, str]]) -> LogColumns:
+        """Add columns given as ``{field: (column, type)}``."""
+        added = {name: Promoted(column, kind) for name, (column, kind) in columns.items()}
+        return replace(self, promoted={**self.promoted, **added})
 
 
 LOG_COLUMNS = LogColumns()
+
+# Columns of a stored log table with the default promoted fields.
+STORED_COLUMNS = LOG_COLUMNS.promote(**{name: name for name in DEFAULT_PROMOTED})

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from emberlog.functions.fields import field_text
 from emberlog.operators.partitions import check_levels, with_partitions
 from emberlog.operators.timerange import partition_column, partition_columns
-from emberlog.schema import DEFAULT_PROMOTED, LOG_SCHEMA, LogColumns
+from emberlog.schema import DEFAULT_PROMOTED, LOG_SCHEMA
 
 
 def log_schema(
@@ -39,7 +39,6 @@ def prepare_logs(
     The rebalance hint lets adaptive execution split a period that holds much of
     the data over many tasks and merge small ones, so no period becomes one task.
     """
-    LogColumns(promoted=frozenset(promoted))
     base = logs.select(*LOG_SCHEMA.names).withColumns(
         {name: field_text(name) for name in promoted}
     )

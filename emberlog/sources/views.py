@@ -6,25 +6,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import tokens
+from emberlog.schema import LogColumns
+
+
+# The attributes of the event table stand for the fields of its documents.
+EVENT_COLUMNS = LogColumns().promote_from(
+    {
+        "event_type": ("event_type", "string"),
+        "user_id": ("user_id", "bigint"),
+        "value": ("value", "double"),
+        "vars.k": ("k", "int"),
+    }
+)
 
 
 def logs_from_events(events: DataFrame) -> DataFrame:
-    """An event table as a log table: its attributes become the document."""
-    k = F.get_json_object("props", "$.k")
-    doc = F.to_json(
-        F.struct(
-            F.col("event_type"),
-            F.col("user_id"),
-            F.col("value"),
-            k.cast("int").alias("vars.k"),
-        )
-    )
+    """An event table as a log table: its attributes become the document.
+
+    The attributes stay columns as well; queries that are given
+    ``EVENT_COLUMNS`` use these and never build the document.
+    """
+    k = F.get_json_object("props", "$.k").cast("int")
+    doc = F.to_json(F.struct("event_type", "user_id", "value", k.alias("vars.k")))
     return events.select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("tstamp"),
         doc.alias("doc"),
         F.parse_json(doc).alias("doc_v"),
         tokens(F.concat_ws(" ", "event_type", k)).alias("search"),
+        "event_type",
+        "user_id",
+        "value",
+        k.alias("k"),
     )
 
 
@@ -35,16 +48,23 @@ def logs_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
+ORDER_COLUMNS = LogColumns().promote_from(
+    {"priority": ("priority", "string"), "total": ("total", "double")}
+)
+
+
 def logs_from_orders(orders: DataFrame) -> DataFrame:
     """Orders as log rows by order date."""
-    doc = F.to_json(
-        F.struct(F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("total"))
-    )
+    priority = F.col("o_orderpriority").alias("priority")
+    total = F.col("o_totalprice").alias("total")
+    doc = F.to_json(F.struct(priority, total))
     return orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").alias("tstamp"),
         doc.alias("doc"),
         F.parse_json(doc).alias("doc_v"),
+        priority,
+        total,
     )
 
 

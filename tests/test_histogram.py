@@ -14,7 +14,7 @@ from emberlog.functions.buckets import (
 )
 from emberlog.functions.predicates import eq, gt
 from emberlog.operators.histogram import counts_metadata, time_histogram
-from emberlog.sources.views import logs_from_events
+from emberlog.sources.views import EVENT_COLUMNS, logs_from_events
 
 from conftest import plan_of
 
@@ -244,7 +244,8 @@ def test_metadata(logs):
 def test_plan(logs):
     plan = plan_of(
         time_histogram(
-            logs, "2024-01-01", "2024-02-01", gt("user_id", 10), split_by="event_type", max_buckets=3
+            logs, "2024-01-01", "2024-02-01", gt("user_id", 10, cols=EVENT_COLUMNS),
+            split_by="event_type", max_buckets=3, cols=EVENT_COLUMNS,
         )
     )
     tree = plan.split("\n\n")[0]
@@ -252,3 +253,11 @@ def test_plan(logs):
     assert tree.count("Scan parquet") == 1
     assert "TakeOrderedAndProject" in tree
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts," in plan
+    assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string>" in plan
+
+
+def test_promoted_columns_change_nothing(logs):
+    options = dict(split_by="event_type", max_buckets=3, value="user_id", aggregate="avg")
+    plain = time_histogram(logs, "2024-01-01", "2024-02-01", **options)
+    fast = time_histogram(logs, "2024-01-01", "2024-02-01", cols=EVENT_COLUMNS, **options)
+    assert plain.collect() == fast.collect()

@@ -16,7 +16,7 @@ from emberlog.operators.events import latest_events
 from emberlog.operators.ingest import import_events
 from emberlog.operators.partitions import partition_bounds, with_partitions
 from emberlog.operators.timerange import time_range
-from emberlog.schema import LogColumns
+from emberlog.schema import STORED_COLUMNS
 from emberlog.sources.logtable import partition_summary, read_logs, write_logs
 from emberlog.sources.views import logs_from_events
 
@@ -138,8 +138,8 @@ def test_pruning(stored):
 
 def test_promoted_filter_is_pushed(stored):
     _, table, _ = stored
-    cols = LogColumns(promoted=frozenset({"hostname"}))
-    hit = latest_events(table, "2024-01-01", "2024-12-31", eq("hostname", "web1", cols), 5)
+    condition = eq("hostname", "web1", STORED_COLUMNS)
+    hit = latest_events(table, "2024-01-01", "2024-12-31", condition, 5)
     assert hit.count() == 5
     assert "EqualTo(hostname,web1)" in plan_of(hit)
     assert table.where(eq("hostname", "web1")).count() == 6

@@ -184,22 +184,43 @@ def test_field_names():
             json_path(bad)
 
 
-def test_promoted_columns(spark):
-    cols = LogColumns(promoted=frozenset({"hostname"}))
-    df = spark.createDataFrame(
-        [('{"hostname":"web1"}', "web1"), ('{"hostname":"web2"}', "web2")],
-        "doc string, hostname string",
-    ).withColumn("doc_v", F.parse_json("doc"))
-    for condition in (
-        lambda c: P.eq("hostname", "web1", cols=c),
-        lambda c: P.eq("hostname", 1, cols=c),
-        lambda c: P.like("hostname", "web%", cols=c),
-        lambda c: P.in_list("hostname", ["web2"], cols=c),
-        lambda c: field_printable("hostname", cols=c),
-    ):
-        assert values(df, condition(cols)) == values(df, condition(LogColumns()))
+VALUES = [
+    ("web1", 1, 7, 1.5), ("web2", 2, 2**40, 2.0), ("7", 7, 7, -0.25), (None, None, None, None),
+]
+
+
+def test_promoted_columns_give_the_same_answers(spark):
+    df = spark.createDataFrame(VALUES, "s string, i int, l bigint, d double")
+    df = df.withColumn("doc", F.to_json(F.struct("s", "i", "l", "d")))
+    df = df.withColumn("doc_v", F.parse_json("doc"))
+    cols = LogColumns().promote_from(
+        {"s": ("s", "string"), "i": ("i", "int"), "l": ("l", "bigint"), "d": ("d", "double")}
+    )
+    builders = [
+        lambda k, c: P.eq(k, [1], cols=c),
+        lambda k, c: P.eq(k, [], cols=c),
+        lambda k, c: P.like(k, "%7", cols=c),
+        lambda k, c: P.in_list(k, ["web2", 7, 1.5, 2.0], cols=c),
+        lambda k, c: field_text(k, c),
+        lambda k, c: field_printable(k, c),
+        lambda k, c: field_number(k, "int", c),
+        lambda k, c: field_number(k, "double", c),
+        lambda k, c: field_json(k, c).cast("string"),
+    ]
+    for literal in ("web1", "7", 7, 7.0, 1.5, 2**40, 2**70):
+        builders.append(lambda k, c, x=literal: P.eq(k, x, cols=c))
+    for compare in (P.lt, P.le, P.gt, P.ge):
+        for literal in (7, 1.5):
+            builders.append(lambda k, c, x=literal, f=compare: f(k, x, cols=c))
+            builders.append(lambda k, c, x=literal, f=compare: f(k, x, "double", c))
+    for n, build in enumerate(builders):
+        for key in "sild":
+            got, want = values(df, build(key, cols)), values(df, build(key, LogColumns()))
+            if n == 8 and key == "d":
+                got, want = [float(v or 0) for v in got], [float(v or 0) for v in want]
+            assert got == want, (n, key)
     with pytest.raises(ValueError):
-        LogColumns(promoted=frozenset({"procid"}))
+        LogColumns().promote_from({"x": ("x", "binary")})
 
 
 def test_predicates_stay_native(docs):
