@@ -29,19 +29,15 @@ def json_quote(text: Column) -> Column:
     return F.when(text.isNotNull(), F.btrim(F.to_json(F.array(text)), F.lit("[]")))
 
 
-def _type(value: Column) -> Column:
-    return F.schema_of_variant(value)
+def _members(value: Column) -> Column:
+    """Members of an object as a map, NULL for any other value."""
+    return F.try_variant_get(value, "$", "map<string,variant>")
 
 
-def _is_object(value: Column) -> Column:
-    return _type(value).startswith("OBJECT")
+def _children(node: Column, members: Column) -> Column:
+    """Members of an object node as nodes, in key order."""
 
-
-def _children(node: Column) -> Column:
-    """Members of an object node, in key order."""
-    values = node["v"].cast("map<string,variant>")
-
-    def member(key: Column, text: Column, value: Column) -> Column:
+    def child(key: Column, text: Column, value: Column) -> Column:
         return F.struct(
             F.concat(node["path"], F.array(key)).alias("path"),
             text.alias("text"),
@@ -49,22 +45,23 @@ def _children(node: Column) -> Column:
         )
 
     plain = F.transform(
-        F.map_entries(values), lambda e: member(e["key"], F.lit(None).cast("string"), e["value"])
+        F.map_entries(members), lambda e: child(e["key"], F.lit(None).cast("string"), e["value"])
     )
     texts = F.from_json(node["text"], "map<string,string>")
     with_text = F.map_values(
-        F.map_zip_with(values, texts, lambda key, value, text: member(key, text, value))
+        F.map_zip_with(members, texts, lambda key, value, text: child(key, text, value))
     )
     return F.when(node["text"].isNull(), plain).otherwise(with_text)
 
 
 def _one_level(nodes: Column) -> Column:
-    grown = F.flatten(
-        F.transform(
-            nodes, lambda n: F.when(_is_object(n["v"]), _children(n)).otherwise(F.array(n))
+    def grow(node: Column) -> Column:
+        return bind_once(
+            _members(node["v"]),
+            lambda m: F.when(m.isNotNull(), _children(node, m)).otherwise(F.array(node)),
         )
-    )
-    return F.when(F.exists(nodes, lambda n: _is_object(n["v"])), grown).otherwise(nodes)
+
+    return F.flatten(F.transform(nodes, grow))
 
 
 def flatten_nodes(text: Column, value: Column, prefix: str | None = None) -> Column:
@@ -90,7 +87,7 @@ def flatten_nodes(text: Column, value: Column, prefix: str | None = None) -> Col
 
 def leaf_json(text: Column, value: Column) -> Column:
     """Canonical JSON text of a leaf."""
-    spelled = ~_type(value).isin("STRING", "VOID")
+    spelled = ~F.schema_of_variant(value).isin("STRING", "VOID")
     return F.when(text.isNotNull() & spelled, text).otherwise(F.to_json(value))
 
 
@@ -109,7 +106,7 @@ def merge_entries(entries: Column) -> Column:
             ),
         )
         unique = F.size(F.array_distinct(keys)) == F.size(found)
-        return F.array_sort(F.when(unique, found).otherwise(last_only))
+        return F.sort_array(F.when(unique, found).otherwise(last_only))
 
     return bind_once(entries, merged)
 

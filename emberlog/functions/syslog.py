@@ -33,8 +33,8 @@ def parse_rfc3339(text: Column) -> Column:
 
 def format_rfc3339(tstamp: Column) -> Column:
     """Instant as UTC text, without trailing zeros in the fraction."""
-    full = F.date_format(tstamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return F.regexp_replace(full, r"(\.0{6}|0+)Z$", "Z")
+    full = F.date_format(tstamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.rtrim(F.rtrim(full, F.lit("0")), F.lit(".")), F.lit("Z"))
 
 
 def trim_first_space(msg: Column) -> Column:

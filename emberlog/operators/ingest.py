@@ -61,8 +61,8 @@ def parse_events(
     usable = F.col("reason").isNull()
     # one select per step, because a step's columns are used many times in the next
     return (
-        raw.where(F.col(line).rlike(r"\S"))
-        .withColumn("_line", F.btrim(F.col(line), F.lit(" \t\r\n")))
+        raw.where(_trimmed(line) != "")
+        .withColumn("_line", _trimmed(line))
         .withColumn("_v", _sealed_variant())
         .select(
             *kept,
@@ -101,6 +101,10 @@ def parse_events(
     )
 
 
+def _trimmed(line: str) -> Column:
+    return F.btrim(F.col(line), F.lit(" \t\r\n\f"))
+
+
 def _sealed_variant() -> Column:
     """The line as VARIANT, together with its own hash: ``[line, hash]``.
 
@@ -134,20 +138,21 @@ def _reject_reason() -> Column:
     def kind(key: str) -> str:
         return f"schema_of_variant({_member(key)})"
 
-    cases = {"NOT _is_object": "not a JSON object"}
+    cases = {"NOT _is_object": "'not a JSON object'"}
     for key in REQUIRED_KEYS:
-        cases[f"{kind(key)} IS NULL"] = f"missing {key}"
-        cases[f"{kind(key)} <> 'STRING'"] = f"{key} is not a string"
+        cases[f"coalesce({kind(key)}, '') <> 'STRING'"] = (
+            f"if({_member(key)} IS NULL, 'missing {key}', '{key} is not a string')"
+        )
     for key in OPTIONAL_KEYS:
-        cases[f"{kind(key)} NOT IN ('STRING', 'VOID')"] = f"{key} is not a string"
+        cases[f"{kind(key)} NOT IN ('STRING', 'VOID')"] = f"'{key} is not a string'"
     cases |= {
-        "_reported IS NULL": "invalid timereported",
-        "_generated IS NULL": "invalid timegenerated",
-        "_severity IS NULL": "invalid syslogseverity",
-        "_facility IS NULL": "invalid syslogfacility",
-        "exists(_nodes, n -> schema_of_variant(n.v) LIKE 'OBJECT%')": "nesting too deep",
+        "_reported IS NULL": "'invalid timereported'",
+        "_generated IS NULL": "'invalid timegenerated'",
+        "_severity IS NULL": "'invalid syslogseverity'",
+        "_facility IS NULL": "'invalid syslogfacility'",
+        "exists(_nodes, n -> schema_of_variant(n.v) LIKE 'OBJECT%')": "'nesting too deep'",
     }
-    whens = " ".join(f"WHEN {test} THEN '{reason}'" for test, reason in cases.items())
+    whens = " ".join(f"WHEN {test} THEN {reason}" for test, reason in cases.items())
     return F.expr(f"CASE {whens} END")
 
 

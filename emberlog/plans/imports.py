@@ -83,26 +83,17 @@ def rfc3339(t):
   ], recursive := true) from events
 """)
 def flatten_vars(t):
-    text = F.to_json(
-        F.struct(
-            F.get_json_object("props", "$.k").cast("int").alias("k"),
-            F.struct(
-                F.col("user_id").alias("id"),
-                F.struct(F.col("event_type").alias("kind"), F.struct().alias("empty")).alias("more"),
-            ).alias("u"),
-            F.array(
-                F.to_json(F.struct(F.col("user_id").alias("n"))),
-            ).alias("unused"),
-            F.col("value").alias("v"),
-        )
-    )
-    tags = F.concat(
-        F.lit('"tags":["'), F.col("event_type"), F.lit('",{"n":'), F.col("user_id"), F.lit("}]")
+    text = F.format_string(
+        '{"v":%s,"u":{"more":{"kind":"%s","empty":{}},"id":%s},"tags":["%s",{"n":%s}],"k":%s}',
+        *[F.col(c).cast("string") for c in ("value", "event_type", "user_id")],
+        *[F.col(c).cast("string") for c in ("event_type", "user_id")],
+        F.get_json_object("props", "$.k"),
     )
+    entries = flatten_json(F.col("text"), F.parse_json("text"), "vars")
     return (
-        t.events.select("event_id", F.regexp_replace(text, r'"unused":\[.*?\]', tags).alias("j"))
-        .select("event_id", F.explode(flatten_json(F.col("j"), F.parse_json("j"), "vars")).alias("e"))
-        .select("event_id", "e.key", "e.json")
+        t.events.select("event_id", text.alias("text"))
+        .select("event_id", F.explode(entries).alias("entry"))
+        .select("event_id", "entry.key", "entry.json")
     )
 
 
@@ -180,23 +171,8 @@ def search_text(t):
   from events where user_id % 9 <> 8
 """)
 def message_swap(t):
-    changed = F.when(
-        F.get_json_object("value", "$.procid").isNotNull() | F.lit(True),
-        F.when(
-            F.get_json_object("value", "$['$!'].user.id").cast("long") % 2 == 0,
-            F.regexp_replace(
-                "value",
-                F.lit(r'"\$!":\{'),
-                F.concat(
-                    F.lit(r'"\$!":{"msg":"short '),
-                    F.get_json_object("value", "$.programname"),
-                    F.lit('",'),
-                ),
-            ),
-        ).otherwise(F.col("value")),
-    )
-    lines = raw_lines_from_events(t.events).select("id", changed.alias("value"))
-    good, _ = import_events(lines)
+    short = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("short "), "event_type"))
+    good, _ = import_events(raw_lines_from_events(t.events, replacement=short))
     return good.select(
         "id", field_text("msg").alias("msg"), field_text("vars.msg").alias("vars_msg")
     )
@@ -216,27 +192,18 @@ def first_space(t):
   from events where user_id % 9 <> 8
 """)
 def structured_data(t):
-    data = F.concat(
-        F.lit('"structured-data":"[ev@1 Name=\\\\"'),
-        F.get_json_object("value", "$.programname"),
-        F.lit('\\\\" q=\\\\"say \\\\\\\\\\\\"'),
-        F.get_json_object("value", "$.programname"),
-        F.lit('\\\\\\\\\\\\" \\\\\\\\\\\\\\\\ \\\\\\\\]\\\\"][u id=\\\\"'),
-        F.get_json_object("value", "$['$!'].user.id"),
-        F.lit('\\\\"]","msg":'),
-    )
-    # only strings travel through the pattern's replacement, so quotes are doubly escaped
-    lines = raw_lines_from_events(t.events).select(
-        "id", F.regexp_replace("value", F.lit('"msg":'), data).alias("value")
+    data = F.format_string(
+        r'[ev@1 Name="%s" q="say \"%s\" \\ \]"][u id="%s"]',
+        "event_type", "event_type", F.col("user_id").cast("string"),
     )
+    lines = raw_lines_from_events(t.events, structured_data=data)
     good, _ = import_events(lines, **preprocessing())
     return good.select(
         "id",
-        field_text("vars.rfc5424-sd.ev").alias("_"),
         F.get_json_object("doc", "$['vars.rfc5424-sd.ev@1.name']").alias("name"),
         F.get_json_object("doc", "$['vars.rfc5424-sd.u.id']").alias("user_id"),
         F.get_json_object("doc", "$['vars.rfc5424-sd.ev@1.q']").alias("quoted"),
-    ).drop("_")
+    )
 
 
 # Messages of each family, made from event columns; {} takes the SQL dialect's text cast.
@@ -464,8 +431,8 @@ def partition_bounds_query(t):
 
 
 @query("partition_columns", """
-  select l_orderkey, l_linenumber, cast(date_trunc('year', l_shipdate) as date) as p_year,
-         cast(date_trunc('month', l_shipdate) as date) as p_month,
+  select l_orderkey, l_linenumber, cast(date_trunc('year', l_shipdate) as timestamp) as p_year,
+         cast(date_trunc('month', l_shipdate) as timestamp) as p_month,
          cast(strftime(l_shipdate, '%Y%m%d%H') as bigint) as p_hour
   from lineitem
 """)
@@ -473,7 +440,8 @@ def partition_columns_query(t):
     rows = with_partitions(
         t.lineitem, ["year", "month", "hour"], LogColumns(tstamp="l_shipdate")
     )
-    return rows.select("l_orderkey", "l_linenumber", "p_year", "p_month", "p_hour")
+    dates = [F.col(c).cast("timestamp_ntz").alias(c) for c in ("p_year", "p_month")]
+    return rows.select("l_orderkey", "l_linenumber", *dates, "p_hour")
 
 
 @query("import_stream", f"""

@@ -95,15 +95,15 @@ def _sometimes(t):
 
 
 @query("not_null_logic", f"""
-  select id, f = 'a' as is_a, not f = 'a' as is_not_a, f = 'a' and f = 'b' as both,
-         f = 'a' or f = 'b' as either
+  select id, cast(f = 'a' as varchar) as is_a, cast(not f = 'a' as varchar) as is_not_a,
+         cast(f = 'a' and f = 'b' as varchar) as both, cast(f = 'a' or f = 'b' as varchar) as either
   from {_SOMETIMES}
 """)
 def not_null_logic(t):
     a, b = P.eq("f", "a"), P.eq("f", "b")
+    outcomes = {"is_a": a, "is_not_a": ~a, "both": a & b, "either": a | b}
     return _sometimes(t).select(
-        "id", a.alias("is_a"), (~a).alias("is_not_a"), (a & b).alias("both"),
-        (a | b).alias("either"),
+        "id", *[c.cast("string").alias(name) for name, c in outcomes.items()]
     )
 
 
@@ -168,7 +168,7 @@ def field_getters(t):
 
 
 @query("int_or_null", """
-  select doc_id, count(*) as n_words, count(i) as n_ints, cast(sum(i) as bigint) as total
+  select doc_id, count(*) as n_words, count(i) as n_ints, cast(coalesce(sum(i), 0) as bigint) as total
   from (
     select doc_id,
            case when regexp_full_match(w, '[+-]?[0-9]+') then try_cast(w as int) end as i
@@ -183,7 +183,7 @@ def int_or_null_query(t):
     return words.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_words"),
         F.count("i").alias("n_ints"),
-        F.sum(F.col("i").cast("long")).alias("total"),
+        F.coalesce(F.sum(F.col("i").cast("long")), F.lit(0)).alias("total"),
     )
 
 

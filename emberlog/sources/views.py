@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.text import tokens
@@ -79,16 +79,23 @@ def logs_from_lineitem(lineitem: DataFrame) -> DataFrame:
     )
 
 
-def raw_lines_from_events(events: DataFrame) -> DataFrame:
+def raw_lines_from_events(
+    events: DataFrame,
+    replacement: Column | None = None,
+    structured_data: Column | None = None,
+) -> DataFrame:
     """``(id, value)``: each event as a raw JSON syslog line with variables.
 
     A ninth of the users send an unknown severity, so their lines are rejected.
+    ``replacement`` becomes the variable ``msg``; NULL leaves it out.
     """
+    absent = F.lit(None).cast("string")
     k = F.get_json_object("props", "$.k").cast("int")
     user = F.col("user_id").cast("string")
     host = F.concat(F.lit("web"), (F.col("user_id") % 10).cast("string"))
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     variables = F.struct(
+        (absent if replacement is None else replacement).alias("msg"),
         k.alias("k"),
         F.struct(F.col("user_id").alias("id"), F.col("event_type").alias("kind")).alias("user"),
         F.array(F.col("event_type"), F.concat(F.lit("t"), k)).alias("tags"),
@@ -108,6 +115,7 @@ def raw_lines_from_events(events: DataFrame) -> DataFrame:
         "protocol-version": F.lit("1"),
         "app-name": F.col("event_type"),
         "procid": F.when(F.col("event_type") != "view", user),
+        "structured-data": absent if structured_data is None else structured_data,
         "$!": variables,
     }
     line = F.to_json(F.struct(*[c.alias(name) for name, c in raw.items()]))
