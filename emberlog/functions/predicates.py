@@ -21,7 +21,6 @@ from emberlog.functions.fields import (
     literal_decimal,
     literal_text,
 )
-from emberlog.functions.flatten import bind_once
 from emberlog.schema import LOG_COLUMNS, LogColumns, Promoted
 
 _NUMBER_TYPES = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TINYINT")
@@ -85,26 +84,23 @@ def eq(
         wanted = [check_scalar(v) for v in value]
         if key in cols.promoted:
             return _known_false(field_text(key, cols))
-
-        def contains_all(found: Column) -> Column:
-            def has_all(items: Column) -> Column:
-                hit = items.isNotNull()
-                for literal in wanted:
-                    hit = hit & _any_same(items, literal)
-                return F.coalesce(hit, F.lit(False))
-
-            return F.when(found.isNotNull(), bind_once(_items(found), has_all))
-
-        return bind_once(field_json(key, cols), contains_all)
+        found = field_json(key, cols)
+        items = _items(found)
+        hit = items.isNotNull()
+        for literal in wanted:
+            hit = hit & _any_same(items, literal)
+        return F.when(found.isNotNull(), F.coalesce(hit, F.lit(False)))
     check_scalar(value)
     if key in cols.promoted:
         return _column_equals(cols.promoted[key], value)
-
-    def contains(found: Column) -> Column:
-        in_array = _any_same(_items(found), value)
-        return F.when(found.isNotNull(), F.coalesce(in_array, _same(found, value)))
-
-    return bind_once(field_json(key, cols), contains)
+    found = field_json(key, cols)
+    items = _items(found)
+    # lambdas are interpreted, so only arrays get to one
+    return (
+        F.when(found.isNull(), F.lit(None).cast("boolean"))
+        .when(items.isNotNull(), _any_same(items, value))
+        .otherwise(_same(found, value))
+    )
 
 
 def _compare(key, literal, numeric, cols):

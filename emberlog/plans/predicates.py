@@ -114,8 +114,12 @@ def not_drops_absent(t):
 
 def _document_logs(t):
     """Documents whose field ``words`` is the array of their tokens."""
-    doc = F.to_json(F.struct("lang", F.col("n_chars"), tokens(F.col("text")).alias("words")))
-    return as_logs(t.documents.select(F.col("doc_id").alias("id"), doc.alias("doc")))
+    fields = F.struct("lang", "n_chars", tokens(F.col("text")).alias("words"))
+    return t.documents.select(
+        F.col("doc_id").alias("id"),
+        F.to_json(fields).alias("doc"),
+        F.to_variant_object(fields).alias("doc_v"),
+    )
 
 
 @query("eq_any_element", f"select id from {WORDS_SQL} where list_contains(search, 'the')")

@@ -87,8 +87,12 @@ _DOCUMENT_FIELDS = f"""(
 
 
 def _document_logs(t):
-    doc = F.to_json(F.struct("lang", "source", tokens(F.col("text")).alias("words")))
-    return as_logs(t.documents.select(F.col("doc_id").alias("id"), doc.alias("doc")))
+    fields = F.struct("lang", "source", tokens(F.col("text")).alias("words"))
+    return t.documents.select(
+        F.col("doc_id").alias("id"),
+        F.to_json(fields).alias("doc"),
+        F.to_variant_object(fields).alias("doc_v"),
+    )
 
 
 @query("field_values_arrays", _summary_sql(_DOCUMENT_FIELDS, 20).replace(", rank from", " from"))

@@ -27,12 +27,12 @@ def logs_from_events(events: DataFrame) -> DataFrame:
     ``EVENT_COLUMNS`` use these and never build the document.
     """
     k = F.get_json_object("props", "$.k").cast("int")
-    doc = F.to_json(F.struct("event_type", "user_id", "value", k.alias("vars.k")))
+    fields = F.struct("event_type", "user_id", "value", k.alias("vars.k"))
     return events.select(
         F.col("event_id").alias("id"),
         F.col("ts").alias("tstamp"),
-        doc.alias("doc"),
-        F.parse_json(doc).alias("doc_v"),
+        F.to_json(fields).alias("doc"),
+        F.to_variant_object(fields).alias("doc_v"),
         tokens(F.concat_ws(" ", "event_type", k)).alias("search"),
         "event_type",
         "user_id",
@@ -57,12 +57,12 @@ def logs_from_orders(orders: DataFrame) -> DataFrame:
     """Orders as log rows by order date."""
     priority = F.col("o_orderpriority").alias("priority")
     total = F.col("o_totalprice").alias("total")
-    doc = F.to_json(F.struct(priority, total))
+    fields = F.struct(priority, total)
     return orders.select(
         F.col("o_orderkey").alias("id"),
         F.col("o_orderdate").alias("tstamp"),
-        doc.alias("doc"),
-        F.parse_json(doc).alias("doc_v"),
+        F.to_json(fields).alias("doc"),
+        F.to_variant_object(fields).alias("doc_v"),
         priority,
         total,
     )
@@ -70,12 +70,12 @@ def logs_from_orders(orders: DataFrame) -> DataFrame:
 
 def logs_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Line items as log rows by ship date."""
-    doc = F.to_json(F.struct(F.col("l_returnflag").alias("flag")))
+    fields = F.struct(F.col("l_returnflag").alias("flag"))
     return lineitem.select(
         F.col("l_orderkey").alias("id"),
         F.col("l_shipdate").alias("tstamp"),
-        doc.alias("doc"),
-        F.parse_json(doc).alias("doc_v"),
+        F.to_json(fields).alias("doc"),
+        F.to_variant_object(fields).alias("doc_v"),
     )
 
 
