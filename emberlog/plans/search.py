@@ -238,7 +238,7 @@ def tail_after_id(t):
     return tail_lines(
         t.logs,
         ~P.eq("event_type", "view"),
-        max_age=timedelta(days=20),
+        max_age="20 days",
         max_lines=200,
         fields=["event_type", "vars.k", "none"],
         last_id=5000,
@@ -258,7 +258,7 @@ def tail_stream(t):
         stream_logs(t.spark, f"{folder}/logs"),
         P.lt("vars.k", 50),
         max_age=timedelta(days=36500),
-        max_lines=2_000_000_000,
+        max_lines=None,
         fields=["event_type", "vars.k"],
         on_lines=lambda lines, _: lines.write.mode("append").parquet(f"{folder}/lines"),
         checkpoint=f"{folder}/checkpoint",

@@ -20,7 +20,7 @@ from emberlog.session import checkpoint_folder
 # Poll interval, lines per poll and greatest age of a line.
 POLL_MS = 500
 MAX_LINES = 1000
-MAX_AGE = timedelta(hours=1)
+MAX_AGE = "1 hour"
 
 
 def after_id(logs: DataFrame, last_id: int, cols: LogColumns = LOG_COLUMNS) -> DataFrame:
@@ -30,20 +30,25 @@ def after_id(logs: DataFrame, last_id: int, cols: LogColumns = LOG_COLUMNS) -> D
 
 def younger_than(
     logs: DataFrame,
-    max_age: timedelta,
+    max_age: timedelta | str,
     now: datetime | str | None = None,
     cols: LogColumns = LOG_COLUMNS,
 ) -> DataFrame:
-    """Rows with ``tstamp > now - max_age``."""
-    oldest = as_utc(now if now is not None else datetime.now(UTC)) - max_age
-    return logs.where(F.col(cols.tstamp) > time_literal(oldest, time_type(logs, cols)))
+    """Rows with ``tstamp > now - max_age``; the age may be interval text."""
+    current = as_utc(now if now is not None else datetime.now(UTC))
+    kind = time_type(logs, cols)
+    if isinstance(max_age, timedelta):
+        oldest = time_literal(current - max_age, kind)
+    else:
+        oldest = time_literal(current, kind) - F.lit(max_age).cast("interval")
+    return logs.where(F.col(cols.tstamp) > oldest)
 
 
 def tail_lines(
     logs: DataFrame,
     where: Column | str | None = None,
-    max_age: timedelta = MAX_AGE,
-    max_lines: int = MAX_LINES,
+    max_age: timedelta | str = MAX_AGE,
+    max_lines: int | None = MAX_LINES,
     fields: Sequence[str] | None = None,
     last_id: int | None = None,
     now: datetime | str | None = None,
@@ -53,7 +58,7 @@ def tail_lines(
     """``(id, tstamp, line)`` of the newest ``max_lines`` matches, oldest first.
 
     Newest is by time, then id; ``by_id`` goes by id alone, for tables whose ids
-    follow the order of arrival.
+    follow the order of arrival. ``max_lines=None`` shows all.
     """
     rows = younger_than(logs, max_age, now, cols)
     if last_id is not None:
@@ -62,16 +67,13 @@ def tail_lines(
         rows = rows.where(as_condition(where))
     # the document is rendered only for the rows that are kept
     order = [cols.id] if by_id else [cols.tstamp, cols.id]
-    return (
-        rows.orderBy(*[F.desc(c) for c in order])
-        .limit(max_lines)
-        .select(
-            F.col(cols.id).alias("id"),
-            F.col(cols.tstamp).alias("tstamp"),
-            field_line(fields, cols).alias("line"),
-        )
-        .orderBy(*(["id"] if by_id else ["tstamp", "id"]))
-    )
+    if max_lines is not None:
+        rows = rows.orderBy(*[F.desc(c) for c in order]).limit(max_lines)
+    return rows.select(
+        F.col(cols.id).alias("id"),
+        F.col(cols.tstamp).alias("tstamp"),
+        field_line(fields, cols).alias("line"),
+    ).orderBy(*(["id"] if by_id else ["tstamp", "id"]))
 
 
 def print_lines(lines: DataFrame, _: int) -> None:
@@ -83,8 +85,8 @@ def print_lines(lines: DataFrame, _: int) -> None:
 def start_tail(
     logs: DataFrame,
     where: Column | str | None = None,
-    max_age: timedelta = MAX_AGE,
-    max_lines: int = MAX_LINES,
+    max_age: timedelta | str = MAX_AGE,
+    max_lines: int | None = MAX_LINES,
     fields: Sequence[str] | None = None,
     on_lines: Callable[[DataFrame, int], None] = print_lines,
     checkpoint: str | None = None,

@@ -166,3 +166,7 @@ def test_tail_lines(events, logs):
     later = tail_lines(logs, max_age=timedelta(days=2), now=now, last_id=got[2].id, by_id=True)
     assert [r.id for r in later.collect()] == [r.id for r in got[3:]]
     assert "TakeOrderedAndProject" in plan_of(later)
+    # the age as text, which still folds to one literal
+    by_text = tail_lines(logs, max_age="1 day 24 hours", max_lines=None, now=now)
+    assert by_text.count() == len(pdf)
+    assert "GreaterThan(ts,2024-01-18T00:00)" in plan_of(by_text)
