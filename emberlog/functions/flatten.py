@@ -94,7 +94,7 @@ def leaf_json(text: Column, value: Column) -> Column:
 def merge_entries(entries: Column) -> Column:
     """Make keys unique (the last one wins) and sort by key.
 
-    ``entries`` is ``array<struct<key:string, json:string>>`` in write order.
+    ``entries`` is an array of structs with a field ``key`` first, in write order.
     """
 
     def merged(found: Column) -> Column:

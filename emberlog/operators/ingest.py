@@ -21,7 +21,14 @@ from emberlog.functions.syslog import (
     trim_first_space,
 )
 from emberlog.functions.text import tokens
-from emberlog.operators.normalize import RULES, Rule, message_entries, structured_data_entries
+from emberlog.operators.normalize import (
+    RULES,
+    Rule,
+    json_entries,
+    matched_rule,
+    rule_fields,
+    structured_data_entries,
+)
 from emberlog.schema import (
     LOG_SCHEMA,
     OPTIONAL_KEYS,
@@ -85,6 +92,7 @@ def parse_events(
             _reject_reason().alias("reason"),
             (trim_first_space(F.col("_e.msg")) if trim_message else F.col("_e.msg")).alias("_msg"),
         )
+        .select("*", _rule(rules).alias("_rule"))
         .select("*", _all_variables(structured_data, rules).alias("_vars"))
         .select("*", _replacement().alias("_replacement"))
         .select("*", *_message_and_variables(swap_message))
@@ -156,14 +164,18 @@ def _reject_reason() -> Column:
     return F.expr(f"CASE {whens} END")
 
 
+def _rule(rules: Sequence[Rule] | None) -> Column:
+    return matched_rule(F.col("_msg"), rules) if rules else F.lit(None).cast("string")
+
+
 def _all_variables(structured_data: bool, rules: Sequence[Rule] | None) -> Column:
     """Entries of the event's own variables and of the preprocessing steps."""
     found = [node_entries(F.col("_nodes"))]
     extra = []
     if structured_data:
         extra.append(structured_data_entries(F.col("_e")[STRUCTURED_DATA_KEY]))
-    if rules is not None:
-        extra.append(message_entries(F.col("_msg"), rules))
+    if rules:
+        extra.append(json_entries(rule_fields(F.col("_msg"), F.col("_rule"), rules)))
     for entries in extra:
         found.append(
             F.transform(

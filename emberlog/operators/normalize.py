@@ -128,56 +128,54 @@ RULES = (
     ),
 )
 
-_ENTRIES = "array<struct<key:string,json:string>>"
+def matched_rule(msg: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Name of the first rule that matches the whole message, NULL without one."""
+    return F.coalesce(
+        *[F.when(msg.contains(r.hint) & msg.rlike(r.full_regex), F.lit(r.name)) for r in rules]
+    )
 
 
-def _entry(key: Column, value: Column) -> Column:
-    return F.struct(
-        key.alias("key"), F.coalesce(json_quote(value), F.lit("null")).alias("json")
-    )
+def _field(key: Column, value: Column) -> Column:
+    return F.struct(key.alias("key"), value.alias("value"))
 
 
-def _rule_entries(msg: Column, rule: Rule) -> Column:
-    regex = rule.full_regex
-    entries = F.array(
-        *[
-            _entry(F.lit(name), F.regexp_extract(msg, regex, n))
-            for n, name in enumerate(rule.fields, start=1)
-        ]
+def _rule_fields(msg: Column, rule: Rule) -> Column:
+    """Fields of a message that matches the rule, unique and sorted by name."""
+    groups = sorted((name, n) for n, name in enumerate(rule.fields, start=1))
+    fields = F.array(
+        *[_field(F.lit(name), F.regexp_extract(msg, rule.full_regex, n)) for name, n in groups]
     )
     if not rule.pairs:
-        return entries
-    words = F.split(F.regexp_extract(msg, regex, len(rule.fields) + 1), " ")
+        return fields
+    words = F.split(F.regexp_extract(msg, rule.full_regex, len(rule.fields) + 1), " ")
     named = F.transform(
         words,
-        lambda w: _entry(
+        lambda w: _field(
             F.substring_index(w, "=", 1),
             F.when(w.contains("="), F.substr(w, F.locate("=", w) + F.lit(1))),
         ),
     )
-    return F.concat(entries, named)
+    return merge_entries(F.concat(fields, named))
 
 
-def message_entries(msg: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Fields of the first rule that matches the whole message, else NULL.
+def rule_fields(msg: Column, rule: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """``array<struct<key, value>>`` of a message whose rule is known.
 
-    ``array<struct<key, json>>``, keys unique and sorted; a flag without ``=``
-    is a JSON null.
+    A flag without ``=`` has a NULL value; without a rule the array is NULL.
     """
-    found = F.lit(None).cast(_ENTRIES)
-    for rule in reversed(rules):
-        matches = msg.contains(rule.hint) & msg.rlike(rule.full_regex)
-        found = F.when(matches, _rule_entries(msg, rule)).otherwise(found)
-    return merge_entries(found)
-
-
-def matched_rule(msg: Column, rules: Sequence[Rule] = RULES) -> Column:
-    """Name of the first rule that matches, NULL without one."""
-    return F.coalesce(
-        *[
-            F.when(msg.contains(r.hint) & msg.rlike(r.full_regex), F.lit(r.name))
-            for r in rules
-        ]
+    found = F.when(rule == rules[0].name, _rule_fields(msg, rules[0]))
+    for other in rules[1:]:
+        found = found.when(rule == other.name, _rule_fields(msg, other))
+    return found
+
+
+def json_entries(fields: Column) -> Column:
+    """(key, value) fields to (key, JSON text) entries."""
+    return F.transform(
+        fields,
+        lambda f: F.struct(
+            f["key"].alias("key"), F.coalesce(json_quote(f["value"]), F.lit("null")).alias("json")
+        ),
     )
 
 
@@ -198,7 +196,7 @@ def structured_data_entries(text: Column) -> Column:
         def of_parameter(p: Column) -> Column:
             at = F.locate("=", p)
             raw = F.substr(p, at + F.lit(2), F.length(p) - at - F.lit(2))
-            return _entry(
+            return _field(
                 F.concat_ws(
                     ".",
                     F.lit(STRUCTURED_DATA_PREFIX),
@@ -210,9 +208,9 @@ def structured_data_entries(text: Column) -> Column:
 
         return F.transform(parameters, of_parameter)
 
-    entries = F.flatten(F.transform(elements, of_element))
+    fields = F.flatten(F.transform(elements, of_element))
     well_formed = text.rlike(rf"^(?:{_SD_ELEMENT})+\z")
-    return F.when(well_formed, merge_entries(entries))
+    return F.when(well_formed, json_entries(merge_entries(fields)))
 
 
 def normalize_messages(
@@ -224,15 +222,8 @@ def normalize_messages(
     ``trim`` one leading space of the message is removed first.
     """
     text = trim_first_space(F.col(msg)) if trim else F.col(msg)
-    fields = F.map_from_entries(
-        F.transform(
-            message_entries(F.col(msg), rules),
-            lambda e: F.struct(
-                e["key"],
-                F.when(e["json"] != "null", F.get_json_object(e["json"], "$")).alias("value"),
-            ),
-        )
-    )
-    return df.withColumns({msg: text}).withColumns(
-        {"rule": matched_rule(F.col(msg), rules), "vars": fields}
+    return (
+        df.withColumn(msg, text)
+        .withColumn("rule", matched_rule(F.col(msg), rules))
+        .withColumn("vars", F.map_from_entries(rule_fields(F.col(msg), F.col("rule"), rules)))
     )
