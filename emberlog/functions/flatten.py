@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 # Fixed value: deepest nesting that is accepted on input.
 MAX_DEPTH = 127
 
-# A number with a fraction or an exponent, after what may precede a value.
-_FRACTION = r"(^|[:\[,])\s*-?\d+[.eE]"
+# Numbers a VARIANT would spell differently: whole ones with a fraction, ones
+# with an exponent, and ones of many digits.
+_SPELLING_MATTERS = r"(^|[:\[,])\s*-?(\d+\.0+(?!\d)|\d+(\.\d+)?[eE]|[\d.]{17,})"
 
 def bind_once(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often it is used."""
@@ -72,7 +73,7 @@ def flatten_nodes(text: Column, value: Column, prefix: str | None = None) -> Col
     not matter.
     """
     path = F.array(F.lit(prefix)) if prefix else F.array().cast("array<string>")
-    spelled = F.when(text.rlike(_FRACTION), text)
+    spelled = F.when(text.rlike(_SPELLING_MATTERS), text)
     root = F.array(F.struct(path.alias("path"), spelled.alias("text"), value.alias("v")))
     braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
     levels = F.least(braces, F.lit(MAX_DEPTH))

@@ -27,13 +27,14 @@ _NUMBER_TYPES = ("BIGINT", "DECIMAL", "DOUBLE", "FLOAT", "INT", "SMALLINT", "TIN
 
 
 def _same(value: Column, literal: Scalar) -> Column:
-    """Typed equality of one VARIANT value and one literal; never NULL."""
+    """Typed equality of one VARIANT value and one literal; never NULL.
+
+    The type, which costs more than the value, is looked at last.
+    """
     kind = F.schema_of_variant(value)
     if isinstance(literal, str):
-        equal = (kind == "STRING") & (
-            F.try_variant_get(value, "$", "string") == F.lit(literal)
-        )
-        return F.coalesce(equal, F.lit(False))
+        equal = F.try_variant_get(value, "$", "string") == F.lit(literal)
+        return F.coalesce(equal & (kind == "STRING"), F.lit(False))
     is_number = kind.startswith(_NUMBER_TYPES[0])
     for name in _NUMBER_TYPES[1:]:
         is_number = is_number | kind.startswith(name)
@@ -44,7 +45,7 @@ def _same(value: Column, literal: Scalar) -> Column:
             format(number, "f")
         ).cast("decimal(38,9)")
         near = near & F.coalesce(exact, F.lit(True))
-    return F.coalesce(is_number & near, F.lit(False))
+    return F.coalesce(near & is_number, F.lit(False))
 
 
 def _items(value: Column) -> Column:

@@ -274,8 +274,11 @@ def _family(family: str, *parts: str) -> None:
         rows = t.events.select(
             "event_id", F.expr(_messages(family, "spark")).alias("msg")
         )
-        return normalize_messages(rows).select(
-            "event_id", "rule", F.explode("vars").alias("key", "value")
+        # the outer form adds no filter on the fields, which would compute them twice
+        return (
+            normalize_messages(rows)
+            .select("event_id", "rule", F.explode_outer("vars").alias("key", "value"))
+            .where(F.col("key").isNotNull())
         )
 
 

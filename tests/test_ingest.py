@@ -109,6 +109,23 @@ def test_flatten(spark):
     assert "vars.a.c" not in text and '"vars.a"' not in text
 
 
+@pytest.mark.parametrize(
+    "number,stored",
+    [
+        ("1.0", "1.0"), ("10.00", "10.0"), ("6.55", "6.55"), ("1.50", "1.5"), ("1e2", "100.0"),
+        ("-0.5", "-0.5"), ("42", "42"), ("12.5E-1", "1.25"), ("0.1000000000000000055", "0.1000000000000000055"),
+        ("100.05", "100.05"),
+    ],
+)
+def test_number_spelling(spark, number, stored):
+    for text in ('{"a":@}', '{"a":{"b":[@,2]}}', "[@]", "@"):
+        line = json.dumps(event(**{"$!": "?"})).replace('"?"', text.replace("@", number))
+        good, _ = import_events(raw(spark, line))
+        doc = good.first().doc
+        assert text.replace("@", stored).strip('{"ab:}') in doc
+        assert f"{stored}," in doc or f"{stored}]" in doc or f"{stored}}}" in doc
+
+
 def test_flatten_scalars_and_collisions(spark):
     assert docs(spark, event(**{"$!": 5}))[0]["vars"] == 5
     assert docs(spark, event(**{"$!": [1, 2]}))[0]["vars"] == [1, 2]
