@@ -160,7 +160,9 @@ def time_histogram(
     )
     x = F.col("x") if value else None
     if compat:
-        placed = rows.select(*keys, *(["x"] if value else []), F.posexplode("positions").alias("nth", "bucket"))
+        placed = rows.select(
+            *keys, *(["x"] if value else []), F.posexplode("positions").alias("nth", "bucket")
+        )
         own = _measures(aggregate, x, F.col("nth") == 0)
         extra = [m.alias(name + "_own") for name, m in own.items()]
         suffix = "_own"
