@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import quality_rules
+from emberlog.llm import byte_bpe, licences, quality_rules
 from emberlog.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op3_licence_scan")
+def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.scan_licences(table(spark, folder, "documents"))
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -43,3 +48,15 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         F.col("stratum").alias("lang"),
         *quality_rules.RULES,
     )
+
+
+def bpe_of(spark: SparkSession) -> byte_bpe.ByteBpe:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.ByteBpe(spark, path, public_tokenizers.PATTERN)
+
+
+@query("op9_byte_bpe")
+def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return byte_bpe.encode_documents(table(spark, folder, "documents"), bpe_of(spark))
