@@ -21,6 +21,7 @@ KINDS = {
     "array<int>": (pa.list_(pa.int32()), T.ArrayType(T.IntegerType())),
     "array<bigint>": (pa.list_(pa.int64()), T.ArrayType(T.LongType())),
     "array<double>": (pa.list_(pa.float64()), T.ArrayType(T.DoubleType())),
+    "array<string>": (pa.list_(pa.string()), T.ArrayType(T.StringType())),
 }
 
 
