@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import byte_bpe, licences, quality_rules, simhash
+from emberlog.llm import backoff_lm, byte_bpe, licences, quality_rules, simhash
 from emberlog.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_backoff_lm")
+def op1_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
+    return backoff_lm.score_documents(table(spark, folder, "documents"))
+
+
 @query("op3_licence_scan")
 def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents"))
