@@ -7,7 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm import backoff_lm, byte_bpe, licences, quality_rules, simhash
+from emberlog.llm import (
+    backoff_lm,
+    byte_bpe,
+    licences,
+    quality_rules,
+    simhash,
+    suffix_dedup,
+)
 from emberlog.llm.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +67,12 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op8_suffix_dedup")
+def op8_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.repeated_bytes(table(spark, folder, "documents"))
+    return found.drop("starts", "ends")
+
+
 def bpe_of(spark: SparkSession) -> byte_bpe.ByteBpe:
     import public_tokenizers
 
