@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.llm import (
+    archives,
     backoff_lm,
     byte_bpe,
     licences,
@@ -45,6 +46,30 @@ def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents"))
 
 
+@query(
+    "op5_warc",
+    """
+    with p as (
+      select page_id, coalesce(encode(html), ''::blob) as payload from pages
+    ), d as (
+      select page_id, octet_length(payload) as payload_bytes, sha256(payload) as payload_digest
+      from p
+    ), f as (
+      select payload_digest, min(page_id) as first from d where payload_bytes >= 100 group by 1
+    )
+    select page_id, payload_bytes, payload_digest,
+           case when first is null or first = page_id then 'response' else 'revisit' end
+             as record_type,
+           case when first <> page_id then first end as refers_to
+    from d left join f using (payload_digest)
+    """,
+)
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return archives.archive_pages(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @query("op6_quality_rules")
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
