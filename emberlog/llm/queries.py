@@ -11,6 +11,7 @@ from emberlog.llm import (
     archives,
     backoff_lm,
     byte_bpe,
+    html_text,
     licences,
     quality_rules,
     simhash,
@@ -108,3 +109,8 @@ def bpe_of(spark: SparkSession) -> byte_bpe.ByteBpe:
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return byte_bpe.encode_documents(table(spark, folder, "documents"), bpe_of(spark))
+
+
+@query("op10_html_text")
+def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract(table(spark, folder, "pages"))
