@@ -125,7 +125,9 @@ class Codec:
         return self.decode(ids).decode("utf-8", "replace")
 
     def digest(self, text: bytes) -> tuple[int, str, str]:
-        ids = self.encode(text.decode("utf-8"))
+        return self.digest_of(self.encode(text.decode("utf-8")))
+
+    def digest_of(self, ids: list[int]) -> tuple[int, str, str]:
         written = self.written
         listed = ",".join([written[i] for i in ids]).encode()
         decoded = self.decode(ids)
@@ -161,17 +163,23 @@ class ByteBpe:
 
         return per_text(run, TOKENS)(text)
 
-    def ids(self, text: str) -> Column:
+    def encoded(self, text: str) -> Column:
+        """Ids, their number and the digests, from one encoding."""
         model = self.model
-        fields = [("ids", "array<int>"), *DIGEST]
 
         def run(text: bytes) -> tuple:
             own = codec(model.value)
-            return own.encode(text.decode("utf-8")), *own.digest(text)
+            ids = own.encode(text.decode("utf-8"))
+            return ids, *own.digest_of(ids)
 
-        return per_text(run, fields)(text)
+        return per_text(run, [("ids", "array<int>"), *DIGEST])(text)
 
 
 def encode_documents(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
     """Per document: ``n_tokens`` and the digests of ids and decoded bytes."""
     return docs.select("doc_id", bpe.digests("text").alias("t")).select("doc_id", "t.*")
+
+
+def tokenized(docs: DataFrame, bpe: ByteBpe) -> DataFrame:
+    """Per document its ``ids`` with what :func:`encode_documents` returns."""
+    return docs.select("doc_id", bpe.encoded("text").alias("t")).select("doc_id", "t.*")

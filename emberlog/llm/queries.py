@@ -11,6 +11,8 @@ from emberlog.llm import (
     archives,
     backoff_lm,
     byte_bpe,
+    cotraining,
+    decontaminate,
     html_text,
     licences,
     quality_rules,
@@ -42,11 +44,23 @@ def op1_backoff_lm(spark: SparkSession, folder: str) -> DataFrame:
     return backoff_lm.score_documents(table(spark, folder, "documents"))
 
 
+@query("op2_decontaminate")
+def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontaminate.contaminated(docs, items)
+
+
 @query("op3_licence_scan")
 def op3_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan_licences(table(spark, folder, "documents"))
 
 
+@query("op4_quality_cotraining")
+def op4_quality_cotraining(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return cotraining.score_documents(docs, labels)
+
+
 @query(
     "op5_warc",
     """
