@@ -137,14 +137,17 @@ def links(points: DataFrame) -> DataFrame:
 
 
 def grouped(prints: DataFrame) -> DataFrame:
-    """``(fp, component_id)`` per distinct fingerprint of ``prints(doc_id, fp)``."""
+    """``(fp, root, component_id)`` per distinct fingerprint of ``prints(doc_id, fp)``.
+
+    The root tells components apart also where an id occurs in several.
+    """
     points = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "points")
     roots = components(links(points.select("fp")))
     rooted = points.join(roots, points["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(names, "root").select("fp", "component_id")
+    return rooted.join(names, "root").select("fp", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -167,7 +170,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     named = prints.filter("doc_id is not null")
     keepers = (
         named.join(grouped(named), "fp")
-        .groupBy("component_id")
+        .groupBy("root")
         .agg(F.min(F.struct("doc_id", "fp")).alias("k"))
         .select(F.col("k.doc_id").alias("id"), F.col("k.fp").alias("print"))
     )
