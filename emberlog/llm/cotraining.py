@@ -203,7 +203,8 @@ class Facts:
         found = [[number[name] for name in names if name in number] for names in held]
         self.rows = np.repeat(np.arange(len(held)), [len(f) for f in found])
         self.numbers = np.array([k for f in found for k in f], dtype=np.int64)
-        self.shapes = np.array(shapes, dtype=float).reshape(len(held), -1)
+        width = len(shapes[0]) if shapes else 0
+        self.shapes = np.array(shapes, dtype=float).reshape(len(held), width)
 
     def telling(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Names whose presence depends on the label, the most telling first."""
