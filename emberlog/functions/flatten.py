@@ -13,9 +13,6 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: deepest nesting that is accepted on input.
-MAX_DEPTH = 127
-
 # Numbers a VARIANT would spell differently: whole ones with a fraction, ones
 # with an exponent, and ones of many digits.
 _SPELLING_MATTERS = r"(^|[:\[,])\s*-?(\d+\.0+(?!\d)|\d+(\.\d+)?[eE]|[\d.]{17,})"
@@ -65,18 +62,33 @@ def _one_level(nodes: Column) -> Column:
     return F.flatten(F.transform(nodes, grow))
 
 
+def nesting(text: Column) -> Column:
+    """How deep the braces of a JSON text nest, those inside strings left out."""
+    bare = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    braces = F.regexp_replace(F.regexp_replace(bare, '"[^"]*"', ""), r"[^{}]+", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def walk(acc: Column, brace: Column) -> Column:
+        now = acc["now"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return (
+        F.when(~text.contains("{"), F.lit(0))
+        .when(braces == "{}", F.lit(1))
+        .otherwise(F.aggregate(F.split(braces, ""), start, walk, lambda acc: acc["most"]))
+    )
+
+
 def flatten_nodes(text: Column, value: Column, prefix: str | None = None) -> Column:
     """All leaves below a JSON value, as (path, text, variant) nodes in key order.
 
-    Arrays and scalars are leaves; an empty object has none. Objects deeper than
-    ``MAX_DEPTH`` stay whole. ``text`` of a node is NULL where its spelling does
-    not matter.
+    Arrays and scalars are leaves; an empty object has none. The walk goes as deep as
+    the objects do. ``text`` of a node is NULL where its spelling does not matter.
     """
     path = F.array(F.lit(prefix)) if prefix else F.array().cast("array<string>")
     spelled = F.when(text.rlike(_SPELLING_MATTERS), text)
     root = F.array(F.struct(path.alias("path"), spelled.alias("text"), value.alias("v")))
-    braces = F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit("")))
-    levels = F.least(braces, F.lit(MAX_DEPTH))
+    levels = nesting(text)
     steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(
         F.array().cast("array<int>")
     )

@@ -6,6 +6,7 @@ stemming or stop words.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -23,20 +24,28 @@ def tokens(text: Column) -> Column:
 
 
 def check_words(words: Iterable[str]) -> list[str]:
-    """Single lower-case words; raises ``ValueError`` for anything else."""
+    """Single words, lower-case if ASCII; raises ``ValueError`` for anything else."""
     out = []
     for word in words:
         if not isinstance(word, str) or not word or not all(c.isalnum() for c in word):
             raise ValueError(f"not a single word: {word!r} (use text_phrase)")
-        out.append(word.lower())
+        out.append(word.lower() if word.isascii() else word)
     return list(dict.fromkeys(out))
 
 
+def _has_word(word: str, cols: LogColumns) -> Column:
+    """One word occurs. Beyond ASCII a word goes through :func:`tokens` as the text
+    did, which may make several tokens of it: then they stand in a row."""
+    if word.isascii():
+        return F.array_contains(F.col(cols.search), word)
+    return text_phrase(word, cols)
+
+
 def text_all(*words: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     """Every word occurs."""
     found = F.lit(True)
     for n, word in enumerate(check_words(words)):
-        has = F.array_contains(F.col(cols.search), word)
+        has = _has_word(word, cols)
         found = has if n == 0 else found & has
     return found
 
@@ -46,7 +55,13 @@ def text_any(*words: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     wanted = check_words(words)
     if not wanted:
         return F.lit(False)
-    return F.arrays_overlap(F.col(cols.search), F.array(*[F.lit(w) for w in wanted]))
+    plain = [F.lit(w) for w in wanted if w.isascii()]
+    parts = [F.arrays_overlap(F.col(cols.search), F.array(*plain))] if plain else []
+    parts += [_has_word(w, cols) for w in wanted if not w.isascii()]
+    found = parts[0]
+    for part in parts[1:]:
+        found = found | part
+    return found
 
 
 def text_none(*words: str, cols: LogColumns = LOG_COLUMNS) -> Column:
@@ -85,3 +100,31 @@ def text_search(
     for part in parts[1:]:
         found = found & part
     return found
+
+
+_TERM = re.compile(r'(-?)(?:"([^"]*)"|([^\s"]+))')
+
+
+def text_websearch(text: str, cols: LogColumns = LOG_COLUMNS) -> Column:
+    """One search text: words, ``"phrases"``, ``or`` between groups, ``-`` to exclude.
+
+    Terms of a group must all hold; ``a b or c`` is ``(a and b) or c``. A term of several
+    tokens, such as ``web-1``, is a phrase. Without any word nothing matches.
+    """
+    groups: list[list[Column]] = [[]]
+    for minus, phrase, word in _TERM.findall(text):
+        if not minus and word.lower() == "or":
+            groups.append([])
+            continue
+        term = phrase or word
+        if any(c.isalnum() for c in term):
+            single = term.isascii() and term.isalnum()
+            has = text_all(term, cols=cols) if single else text_phrase(term, cols)
+            groups[-1].append(~has if minus else has)
+    found = F.lit(False)
+    for n, terms in enumerate(g for g in groups if g):
+        both = terms[0]
+        for term in terms[1:]:
+            both = both & term
+        found = both if n == 0 else found | both
+    return found

@@ -18,10 +18,19 @@ SUMMARY_VALUES = 5
 
 
 def _newest(rows: DataFrame, limit: int | None, cols: LogColumns) -> DataFrame:
+    """The newest rows, in order.
+
+    With a limit the time of the last row to keep is found first, from times and ids
+    alone; whole rows are then read only from that time on.
+    """
     if limit is not None and limit < 0:
         raise ValueError("limit must not be negative")
-    newest = rows.orderBy(F.desc(cols.tstamp), F.desc(cols.id))
-    return newest if limit is None else newest.limit(limit)
+    order = F.desc(cols.tstamp), F.desc(cols.id)
+    if limit is None:
+        return rows.orderBy(*order)
+    kept = rows.select(cols.tstamp, cols.id).orderBy(*order).limit(limit)
+    oldest = kept.agg(F.min(cols.tstamp)).scalar()
+    return rows.where(F.col(cols.tstamp) >= oldest).orderBy(*order).limit(limit)
 
 
 def latest_events(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.flatten import (
+    bind_once,
     flatten_nodes,
     json_quote,
     merge_entries,
@@ -55,15 +56,18 @@ def parse_events(
 
     ``reason`` is NULL for a usable event and says what is wrong otherwise; the
     log columns are then NULL. Blank lines are skipped. An ``id`` column of
-    ``raw`` is kept; without one the id is a hash of the line and its file, so
-    that re-reading a line gives the same id.
+    ``raw`` is kept; without one the id is a hash of the line, its file and its
+    place in the source, so that equal lines have ids of their own. A stream has no
+    places; its importer adds them (see ``streaming/importer.py``).
 
     The three preprocessing steps work as in a syslog daemon in front of the
     import: remove one leading space, take variables from RFC 5424 structured
     data, take variables from the first pattern rule that matches.
     """
     kept = [c for c in raw.columns if c not in ("id", "reason", *LOG_SCHEMA.names)]
-    origin = [F.col("source_file")] if "source_file" in raw.columns else []
+    origin = [F.col(c) for c in ("source_file", "source_row") if c in raw.columns]
+    if "source_row" not in raw.columns and not raw.isStreaming:
+        origin.append(F.monotonically_increasing_id())
     row_id = F.col("id").cast("long") if "id" in raw.columns else F.xxhash64("_line", *origin)
     usable = F.col("reason").isNull()
     # one select per step, because a step's columns are used many times in the next
@@ -76,6 +80,7 @@ def parse_events(
             row_id.alias("id"),
             (F.col("_line").startswith("{") & _is_sealed()).alias("_is_object"),
             F.from_json("_line", RAW_EVENT_SCHEMA).alias("_e"),
+            _repeated_key().alias("_repeated"),
             "_v",
         )
         .select(
@@ -134,6 +139,22 @@ def _member(key: str) -> str:
     return f"try_variant_get(_v, \"$[0]['{key}']\", 'variant')"
 
 
+def _repeated_key() -> Column:
+    """A known key that the line gives more than once, NULL if there is none."""
+    known = [F.lit(k) for k in (*REQUIRED_KEYS, *OPTIONAL_KEYS, VARIABLES_KEY)]
+    keys = F.filter(F.json_object_keys("_line"), lambda k: k.isin(*known))
+
+    def again(found: Column) -> Column:
+        def before(k: Column, i: Column) -> Column:
+            return F.array_position(found, k) <= i
+
+        return F.when(
+            F.size(F.array_distinct(found)) < F.size(found), F.get(F.filter(found, before), F.lit(0))
+        )
+
+    return bind_once(keys, again)
+
+
 def _own_variables() -> Column:
     """The event's variables as VARIANT; a JSON null counts as absent."""
     own = _member(VARIABLES_KEY)
@@ -146,7 +167,10 @@ def _reject_reason() -> Column:
     def kind(key: str) -> str:
         return f"schema_of_variant({_member(key)})"
 
-    cases = {"NOT _is_object": "'not a JSON object'"}
+    cases = {
+        "NOT _is_object": "'not a JSON object'",
+        "_repeated IS NOT NULL": "concat('repeated ', _repeated)",
+    }
     for key in REQUIRED_KEYS:
         cases[f"coalesce({kind(key)}, '') <> 'STRING'"] = (
             f"if({_member(key)} IS NULL, 'missing {key}', '{key} is not a string')"
@@ -158,7 +182,6 @@ def _reject_reason() -> Column:
         "_generated IS NULL": "'invalid timegenerated'",
         "_severity IS NULL": "'invalid syslogseverity'",
         "_facility IS NULL": "'invalid syslogfacility'",
-        "exists(_nodes, n -> schema_of_variant(n.v) LIKE 'OBJECT%')": "'nesting too deep'",
     }
     whens = " ".join(f"WHEN {test} THEN {reason}" for test, reason in cases.items())
     return F.expr(f"CASE {whens} END")

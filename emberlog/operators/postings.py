@@ -56,13 +56,13 @@ def lookup(
     if not wanted:
         raise ValueError("nothing to look up")
     keys = [c for c in partition_columns(logs) if c in postings.columns]
-    hits = postings.where(F.col("token").isin(wanted)).select(*keys, "id")
+    hits = postings.where(F.col("token").isin(wanted)).select(*keys, "id", "token")
     if match == "all" and len(wanted) > 1:
         hits = (
             hits.groupBy(*keys, "id")
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") == len(wanted))
-            .drop("n")
+            .agg(F.collect_set("token").alias("found"))  # at most the wanted words
+            .where(F.size("found") == len(wanted))
+            .drop("found")
         )
     rows = logs if cols.id == "id" else logs.withColumn("id", F.col(cols.id))
     found = rows.join(hits, [*keys, "id"], "left_semi")

@@ -2,7 +2,7 @@
 
 A document is one row, so everything collected into it is bounded: events by
 ``limit``, field values by ``k``, histogram cells by buckets times ids. Results
-without a bound stay frames; see :func:`event_json_lines`.
+without a bound are lines; see :func:`events_response_lines`.
 """
 
 from __future__ import annotations
@@ -105,11 +105,13 @@ def events_response(
     limit: int | None = None,
     cols: LogColumns = LOG_COLUMNS,
 ) -> DataFrame:
-    """``{"events":[..],"fields":{..},"metadata":{..}}`` as one row ``json``."""
+    """``{"events":[..],"fields":{..},"metadata":{..}}`` as one row ``json``.
+
+    Without a limit the document is given as rows ``json`` in order, which are its text
+    one after the other; see :func:`events_response_lines`.
+    """
     if limit is None:
-        raise ValueError(
-            "a single document needs a limit; use event_json_lines(latest_events(...)) for all"
-        )
+        return events_response_lines(logs, start, end, where, cols).select("json")
     return _join_documents(
         {
             "events": events_document(latest_events(logs, start, end, where, limit, cols)),
@@ -119,6 +121,51 @@ def events_response(
     )
 
 
+def events_response_lines(
+    logs: DataFrame,
+    start: datetime | str,
+    end: datetime | str,
+    where: Column | str | None = None,
+    cols: LogColumns = LOG_COLUMNS,
+) -> DataFrame:
+    """``(part, timestamp, id, json)`` in order: the document of all events as lines.
+
+    Part 1 has a line per event, so no row holds more than one; the lines before and
+    after have what the summaries bound. Every event but the newest begins with a comma.
+    """
+    events = latest_events(logs, start, end, where, cols=cols)
+    newest = events.agg(F.max(F.struct("timestamp", "id")).alias("first"))
+    first = F.struct("timestamp", "id") == newest.scalar()
+    lines = events.select(
+        F.lit(1).alias("part"),
+        "timestamp",
+        "id",
+        F.concat(F.when(first, "").otherwise(","), _event_json()).alias("json"),
+    )
+    rest = _join_documents(
+        {
+            "fields": fields_document(field_summary(logs, start, end, where, cols=cols)),
+            "metadata": metadata_document(range_metadata(logs, start, end, cols=cols)),
+        }
+    )
+
+    def edge(part: int, frame: DataFrame, json: Column) -> DataFrame:
+        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("timestamp", "id")]
+        return frame.select(F.lit(part).alias("part"), *none, json.alias("json"))
+
+    some = F.col("first").isNotNull()
+    opening = F.concat(F.lit('{"events":'), F.when(some, "[").otherwise("null"))
+    closing = F.concat(
+        F.when(newest.scalar().isNotNull(), "],").otherwise(","), F.substr("json", F.lit(2))
+    )
+    return (
+        edge(0, newest, opening)
+        .union(lines)
+        .union(edge(2, rest, closing))
+        .orderBy("part", F.desc("timestamp"), F.desc("id"))
+    )
+
+
 def counts_response(
     logs: DataFrame,
     start: datetime | str,
@@ -126,11 +173,13 @@ def counts_response(
     where: Column | str | None = None,
     **options,
 ) -> DataFrame:
-    """``{"metadata":{..},"counts":{..}}`` as one row ``json``."""
+    """``{"metadata":{..},"counts":{..}}`` as one row ``json``.
+
+    Split without ``max_buckets``, the document is given as rows ``json`` in order, which
+    are its text one after the other; see :func:`counts_response_lines`.
+    """
     if options.get("split_by") is not None and options.get("max_buckets") is None:
-        raise ValueError(
-            "a single document needs max_buckets; use time_histogram(...) for all split ids"
-        )
+        return counts_response_lines(logs, start, end, where, **options).select("json")
     histogram = time_histogram(logs, start, end, where, ordered=False, **options)
     seconds = bucket_width(start, end).seconds
     return counts_document(histogram).select(
@@ -140,3 +189,49 @@ def counts_response(
             F.lit("}"),
         ).alias("json")
     )
+
+
+def counts_response_lines(
+    logs: DataFrame,
+    start: datetime | str,
+    end: datetime | str,
+    where: Column | str | None = None,
+    **options,
+) -> DataFrame:
+    """``(part, tstamp, id, json)`` in order: the document of a histogram as lines.
+
+    Part 1 has a line per time and id. The first id of a time opens the time's object;
+    there are only as many times as the width of the buckets allows.
+    """
+    histogram = time_histogram(logs, start, end, where, ordered=False, **options)
+    firsts = histogram.groupBy("tstamp").agg(F.min("id").alias("first_id"))
+    earliest = firsts.agg(F.min("tstamp").alias("first"))
+    opens = F.concat(
+        F.when(F.col("tstamp") == earliest.scalar(), "").otherwise("},"),
+        F.lit('"'),
+        format_rfc3339(F.col("tstamp")),
+        F.lit('":{'),
+    )
+    value = F.coalesce(F.col("value").cast("string"), F.lit("null"))
+    lines = histogram.join(firsts, "tstamp").select(
+        F.lit(1).alias("part"),
+        "tstamp",
+        "id",
+        F.concat(
+            F.when(F.col("id") == F.col("first_id"), opens).otherwise(","),
+            json_quote(F.col("id")),
+            F.lit(":"),
+            value,
+        ).alias("json"),
+    )
+    seconds = bucket_width(start, end).seconds
+    some, head = F.col("first").isNotNull(), f'{{"metadata":{{"counts_interval_sec":{seconds}}},'
+    edges = [
+        F.concat(F.lit(head + '"counts":'), F.when(some, "{").otherwise("null")),
+        F.when(some, "}}}").otherwise("}"),
+    ]
+    for part, json in zip((0, 2), edges):
+        none = [F.lit(None).cast(lines.schema[c].dataType).alias(c) for c in ("tstamp", "id")]
+        edge = earliest.select(F.lit(part).alias("part"), *none, json.alias("json"))
+        lines = lines.union(edge)
+    return lines.orderBy("part", "tstamp", "id")

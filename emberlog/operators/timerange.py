@@ -32,6 +32,15 @@ def _partition_literal(value: datetime | str, unit: str) -> Column:
     return F.date_trunc(unit, time_literal(value, "timestamp_ntz")).cast("date")
 
 
+def periods_from(df: DataFrame, oldest: Column) -> Column:
+    """Condition on the period columns of a frame that no row since ``oldest`` fails."""
+    found = F.lit(True)
+    for unit in PERIODS:
+        if partition_column(unit) in df.columns:
+            found = found & (F.col(partition_column(unit)) >= partition_value(oldest, unit))
+    return found
+
+
 def partition_columns(df: DataFrame) -> list[str]:
     """The period columns a log frame has, coarse to fine."""
     return [partition_column(u) for u in PERIODS if partition_column(u) in df.columns]

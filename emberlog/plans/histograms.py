@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from emberlog.functions import predicates as P
 from emberlog.functions.buckets import bucket_seconds
 from emberlog.operators.histogram import counts_metadata, time_histogram
-from emberlog.operators.responses import counts_response
+from emberlog.operators.responses import counts_response, counts_response_lines
 from emberlog.plans.base import LOGS_SQL, query
 from emberlog.sources.views import EVENT_COLUMNS as EVENTS
 from emberlog.sources.views import ORDER_COLUMNS, logs_from_lineitem, logs_from_orders
@@ -186,11 +186,6 @@ def hist_no_match(t):
     return time_histogram(t.logs, START, END, P.eq("event_type", "none such", EVENTS))
 
 
-@query("counts_metadata", "select 'counts_interval_sec' as key, 36000 as value")
-def counts_metadata_query(t):
-    return counts_metadata(t.logs, START, END)
-
-
 @query("counts_response", f"""
   select '{{"metadata":{{"counts_interval_sec":36000}},"counts":{{' || string_agg(
     '"' || strftime(tstamp, '%Y-%m-%dT%H:%M:%SZ') || '":{{"value":' || value || '}}', ',' order by tstamp
@@ -200,6 +195,24 @@ def counts_response_query(t):
     return counts_response(t.logs, START, END)
 
 
+@query("counts_response_all", f"""
+  with h as ({histogram_sql(split="user_id")})
+  select 0 as part, cast(null as varchar) as id,
+         '{{"metadata":{{"counts_interval_sec":36000}},"counts":{{' as json
+  union all
+  select 1, id, case when row_number() over (partition by tstamp order by id) > 1 then ','
+      else case when tstamp > (select min(tstamp) from h) then '}},' else '' end
+           || '"' || strftime(tstamp, '%Y-%m-%dT%H:%M:%SZ') || '":{{' end
+    || '"' || id || '":' || value from h
+  union all
+  select 2, null, '}}}}}}'
+""")
+def counts_response_all(t):
+    """The lines that together are the document of all split ids."""
+    lines = counts_response_lines(t.logs, START, END, split_by="user_id", cols=EVENTS)
+    return lines.select("part", "id", "json")
+
+
 _LADDER_SQL = """
   case when s < 120 then 1 when s < 240 then 2 when s < 600 then 5 when s < 1200 then 10
        when s < 3600 then 30 when s < 7200 then 60 when s < 14400 then 120 when s < 36000 then 300
@@ -210,6 +223,19 @@ _LADDER_SQL = """
 """
 
 
+@query("counts_metadata", f"""
+  select 'counts_interval_sec' as key, cast({_LADDER_SQL} as bigint) as value from (
+    select date_diff('second', date_trunc('second', min(ts)), date_trunc('second', max(ts))) as s
+    from events
+  )
+""")
+def counts_metadata_query(t):
+    """The width for the time that the events take up."""
+    ends = [F.date_trunc("second", f("ts")).cast("string") for f in (F.min, F.max)]
+    first, last = t.events.agg(*ends).first()
+    return counts_metadata(t.logs, first, last)
+
+
 @query("bucket_ladder", f"""
   select event_id, cast({_LADDER_SQL} as bigint) as seconds from (
     select event_id, date_diff('second', timestamp '2024-01-01', date_trunc('second', ts)) as s

@@ -17,9 +17,11 @@ from emberlog.functions.fields import field_text
 from emberlog.operators.ingest import import_events, parse_events, preprocessing
 from emberlog.operators.normalize import normalize_messages
 from emberlog.operators.partitions import partition_bounds, with_partitions
+from emberlog.operators.postings import build_postings, lookup
 from emberlog.plans.base import query
 from emberlog.schema import FACILITIES, SEVERITIES, LogColumns
-from emberlog.sources.logtable import read_logs
+from emberlog.sources.jsonlines import read_json_lines
+from emberlog.sources.logtable import read_logs, write_logs
 from emberlog.sources.views import raw_lines_from_events
 from emberlog.streaming.importer import start_import
 
@@ -156,6 +158,70 @@ def import_reasons(t):
     return parse_events(lines).select("id", "reason")
 
 
+@query("import_repeated_lines", """
+  select ts as tstamp, 1 + event_id % 3 as n, 1 + event_id % 3 as ids,
+         case when event_type = 'click' then 1 + event_id % 3 else 0 end as found
+  from events where user_id % 9 <> 8
+""")
+def import_repeated_lines(t):
+    """Events written one to three times as equal lines of text files: rows, distinct
+    ids, and rows that a word lookup finds."""
+    folder = t.work_folder()
+    lines = raw_lines_from_events(t.events)
+    copies = F.explode(F.sequence(F.lit(0), F.col("id") % 3))
+    lines.select("value", copies.alias("copy")).select("value").write.text(f"{folder}/lines")
+    good, _ = import_events(read_json_lines(t.spark, f"{folder}/lines"))
+    write_logs(good, f"{folder}/logs")
+    logs = read_logs(t.spark, f"{folder}/logs")
+    hits = lookup(logs, build_postings(logs), ["user", "click"]).select("id").distinct()
+    counted = logs.groupBy("tstamp").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")
+    )
+    found = logs.join(hits, "id").groupBy("tstamp").agg(F.count(F.lit(1)).alias("found"))
+    return counted.join(found, "tstamp", "left").select(
+        "tstamp", "n", "ids", F.coalesce("found", F.lit(0)).alias("found")
+    )
+
+
+@query("import_repeated_keys", f"""
+  select event_id as id, case when event_id % 3 = 2 then 'repeated hostname'
+    when user_id % 9 = 8 then 'invalid syslogseverity' end as reason,
+    case when event_id % 3 <> 2 and user_id % 9 <> 8 then {_K} end as k
+  from events
+""")
+def import_repeated_keys(t):
+    """Keys given twice: inside the variables, unknown ones, and known ones."""
+    kind, line = F.col("id") % 3, F.col("value")
+    twice = (
+        F.when(kind == 0, F.replace(line, F.lit('"$!":{'), F.lit('"$!":{"k":-1,')))
+        .when(kind == 1, F.replace(line, F.lit('{"msg"'), F.lit('{"x":1,"x":{"a":2},"msg"')))
+        .otherwise(F.replace(line, F.lit('{"msg"'), F.lit('{"hostname":"other","msg"')))
+    )
+    lines = raw_lines_from_events(t.events).select("id", twice.alias("value"))
+    return parse_events(lines).select(
+        "id", "reason", F.get_json_object("doc", "$['vars.k']").cast("int").alias("k")
+    )
+
+
+@query("flatten_deep", """
+  select s_suppkey, 'vars' || repeat('.a', cast(100 + s_suppkey % 100 as int)) as key,
+         '"{}' || s_suppkey || '"' as json
+  from supplier
+""")
+def flatten_deep(t):
+    """Objects nested to 200 levels, with braces inside a text."""
+    n = (F.lit(100) + F.col("s_suppkey") % 100).cast("int")
+    text = F.concat(
+        F.repeat(F.lit('{"a":'), n), F.lit('"{}'), "s_suppkey", F.lit('"'), F.repeat(F.lit("}"), n)
+    )
+    entries = flatten_json(F.col("text"), F.parse_json("text"), "vars")
+    return (
+        t.supplier.select("s_suppkey", text.alias("text"))
+        .select("s_suppkey", F.explode(entries).alias("entry"))
+        .select("s_suppkey", "entry.key", "entry.json")
+    )
+
+
 @query("search_text", f"""
   select event_id as id, {_SEARCH} as search from events where user_id % 9 <> 8
 """)

@@ -19,6 +19,7 @@ from emberlog.functions.text import (
     text_none,
     text_phrase,
     text_search,
+    text_websearch,
     tokens,
 )
 from emberlog.operators.postings import build_postings, lookup
@@ -38,20 +39,49 @@ def _where(name: str, condition, sql: str) -> None:
         return t.logs.where(condition()).select("id", field_number("vars.k").alias("k"))
 
 
+def _value(name: str, sql: str, **conditions) -> None:
+    """A query for what conditions say of each event: true, false or NULL."""
+
+    @query(name, f"select id, {sql} from {LOGS_SQL}")
+    def build(t):
+        said = [condition().alias(column) for column, condition in conditions.items()]
+        return t.logs.select("id", *said)
+
+
 _where("eq_scalar", lambda: P.eq("event_type", "click"), "event_type = 'click'")
 _where("eq_number", lambda: P.eq("vars.k", 42.0), "k = 42")
 _where("eq_fraction", lambda: P.eq("value", 12.5), "value = 12.5")
-_where("eq_type_matters", lambda: P.eq("vars.k", "42"), "false")
+_value(
+    "eq_type_matters",
+    "false as as_text, k = 42 as as_number",
+    as_text=lambda: P.eq("vars.k", "42"),
+    as_number=lambda: P.eq("vars.k", 42),
+)
 _where("lt", lambda: P.lt("vars.k", 7), "k < 7")
 _where("le", lambda: P.le("vars.k", 7), "k <= 7")
 _where("gt", lambda: P.gt("vars.k", 92.5), "k > 92.5")
 _where("ge", lambda: P.ge("vars.k", 93), "k >= 93")
-_where("gt_fraction_is_null", lambda: P.gt("value", 1), "false")
+_value(
+    "gt_fraction_is_null",
+    "cast(null as boolean) as as_int, value > 1 as as_double",
+    as_int=lambda: P.gt("value", 1),
+    as_double=lambda: P.gt("value", 1, numeric="double"),
+)
 _where("gt_double", lambda: P.gt("value", 99.5, numeric="double"), "value > 99.5")
 _where("like", lambda: P.like("event_type", r"%i_k"), "event_type like '%i_k'")
-_where("like_escape", lambda: P.like("event_type", r"\c%\_%"), r"event_type like 'c%\_%' escape '\'")
+_value(
+    "like_escape",
+    "event_type like 'c%' as plain, event_type like 'c%^_%' escape '^' as escaped",
+    plain=lambda: P.like("event_type", r"\c%"),
+    escaped=lambda: P.like("event_type", r"\c%\_%"),
+)
 _where("in_text", lambda: P.in_list("vars.k", [3, "5", 7.0]), "cast(k as varchar) in ('3', '5', '7.0')")
-_where("in_empty", lambda: P.in_list("vars.k", []), "false")
+_value(
+    "in_empty",
+    "false as of_none, k = 3 as of_one",
+    of_none=lambda: P.in_list("vars.k", []),
+    of_one=lambda: P.in_list("vars.k", [3]),
+)
 _where(
     "and_or_not",
     lambda: ~P.eq("event_type", "view") & (P.lt("vars.k", 10) | P.gt("vars.k", 90)),
@@ -139,9 +169,14 @@ def eq_empty_list(t):
     return _document_logs(t).where(P.eq("words", [])).select("id")
 
 
-@query("eq_list_on_scalar", f"select id from {WORDS_SQL} where false")
+@query("eq_list_on_scalar", f"""
+  select id, false as listed, d.lang = 'en' as plain
+  from {WORDS_SQL} w join documents d on d.doc_id = w.id
+""")
 def eq_list_on_scalar(t):
-    return _document_logs(t).where(P.eq("lang", ["en"])).select("id")
+    return _document_logs(t).select(
+        "id", P.eq("lang", ["en"]).alias("listed"), P.eq("lang", "en").alias("plain")
+    )
 
 
 @query("between_range", """
@@ -241,6 +276,14 @@ _text(
     "(list_contains(search, 'that') or list_contains(search, 'und')) "
     "and not list_contains(search, 'los')",
 )
+_text(
+    "text_websearch",
+    lambda: text_websearch('The -"of the" -una or ÉÉ or "et le" la-de or los -"de la"'),
+    f"(list_contains(search, 'the') and not contains({_FRAMED}, ' of the ') "
+    "and not list_contains(search, 'una')) or list_contains(search, 'éé') "
+    f"or (contains({_FRAMED}, ' et le ') and contains({_FRAMED}, ' la de ')) "
+    f"or (list_contains(search, 'los') and not contains({_FRAMED}, ' de la '))",
+)
 
 
 @query("tokens", f"""

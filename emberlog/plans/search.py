@@ -11,7 +11,11 @@ from emberlog.functions.fields import field_json, field_number, is_array, is_obj
 from emberlog.functions.render import event_line, field_line
 from emberlog.functions.text import tokens
 from emberlog.operators.events import field_summary, field_values, latest_events, range_metadata
-from emberlog.operators.responses import event_json_lines, events_response
+from emberlog.operators.responses import (
+    event_json_lines,
+    events_response,
+    events_response_lines,
+)
 from emberlog.operators.timerange import time_range
 from emberlog.plans.base import LOGS_SQL, WORDS_SQL, query
 from emberlog.plans.histograms import END, START
@@ -98,13 +102,8 @@ def _document_logs(t):
 @query("field_values_arrays", _summary_sql(_DOCUMENT_FIELDS, 20).replace(", rank from", " from"))
 def values_arrays(t):
     """Array elements count one by one: the most frequent words."""
-    counted = field_values(_document_logs(t)).groupBy("field", "value").agg(
-        F.count(F.lit(1)).alias("n")
-    )
-    ranked = counted.selectExpr(
-        "*", "row_number() over (partition by field order by n desc, value) as rank"
-    )
-    return ranked.where("rank <= 20").drop("rank")
+    logs = _document_logs(t).withColumn("tstamp", F.to_timestamp_ntz(F.lit(START)))
+    return field_summary(logs, START, END, sample=None, k=20).drop("rank")
 
 
 @query("json_types", f"""
@@ -212,6 +211,27 @@ def response(t):
     return events_response(t.logs, START, END, limit=25)
 
 
+@query("events_response_all", f"""
+  with summary as ({_summary_sql(_event_fields(_SAMPLE))}),
+  fields_part as (
+    select '{{' || string_agg('"' || field || '":' || j, ',' order by field) || '}}' as j from (
+      select field, '{{' || string_agg('"' || value || '":' || n, ',' order by value) || '}}' as j
+      from summary group by field
+    )
+  )
+  select 0 as part, cast(null as bigint) as id, '{{"events":[' as json
+  union all
+  select 1, id, case when row_number() over (order by tstamp desc, id desc) > 1 then ',' else '' end
+         || {_EVENT_JSON} from {LOGS_SQL}
+  union all
+  select 2, null, '],"fields":' || f.j || ',"metadata":{{"counts_interval_sec":36000,"event_count":'
+         || (select count(*) from events) || '}}}}' from fields_part f
+""")
+def response_all(t):
+    """The lines that together are the document of all events."""
+    return events_response_lines(t.logs, START, END).select("part", "id", "json")
+
+
 _NOW = "2024-01-31T00:00:00"
 _TAIL = f"""
   select id, tstamp, strftime(tstamp, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || k

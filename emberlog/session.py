@@ -8,6 +8,8 @@ from pyspark.sql import SparkSession
 def configure(spark: SparkSession) -> SparkSession:
     """Set what results depend on; sizing is left to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # of a key given twice in an object the last value counts
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     return spark
 
 

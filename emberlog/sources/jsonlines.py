@@ -7,21 +7,29 @@ from pyspark.sql import functions as F
 
 
 def _lines(frame: DataFrame) -> DataFrame:
-    return frame.select("value", F.col("_metadata.file_path").alias("source_file")).where(
-        F.col("value").rlike(r"\S")
-    )
+    return frame.where(F.col("value").rlike(r"\S"))
 
 
 def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """``(value, source_file)`` of the non-blank lines."""
-    return _lines(spark.read.text(path))
+    """``(value, source_file, source_row)`` of the non-blank lines.
+
+    ``source_row`` grows along the lines of a task and differs for every line, also for
+    equal ones; reading the same files in the same splits gives the same numbers.
+    """
+    lines = spark.read.text(path).select(
+        "value",
+        F.col("_metadata.file_path").alias("source_file"),
+        F.monotonically_increasing_id().alias("source_row"),
+    )
+    return _lines(lines)
 
 
 def stream_json_lines(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:
-    """The same as a stream over a directory that receives files."""
+    """``(value, source_file)`` as a stream over a directory that receives files."""
     reader = spark.readStream
     if max_files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return _lines(reader.text(path))
+    lines = reader.text(path)
+    return _lines(lines.select("value", F.col("_metadata.file_path").alias("source_file")))

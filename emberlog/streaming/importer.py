@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.operators.ingest import parse_events, split_events
@@ -29,10 +30,14 @@ def start_import(
     stored at least once; a row stored twice has the same hash id both times.
     """
 
+    numbered = "id" in raw.columns
     # parsing is part of the stream's own plan, so it is built only once
     parsed = parse_events(raw, **options)
 
-    def store(batch: DataFrame, _: int) -> None:
+    def store(batch: DataFrame, number: int) -> None:
+        if not numbered:  # equal lines get ids of their own
+            place = F.monotonically_increasing_id()
+            batch = batch.withColumn("id", F.xxhash64("id", F.lit(number), place))
         # kept for the two writes; lost blocks are computed again
         batch.persist()
         try:

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from emberlog.functions.buckets import as_utc, time_literal
 from emberlog.functions.predicates import as_condition
 from emberlog.functions.render import field_line
-from emberlog.operators.timerange import time_type
+from emberlog.operators.timerange import periods_from, time_type
 from emberlog.schema import LOG_COLUMNS, LogColumns
 from emberlog.session import checkpoint_folder
 
@@ -34,14 +34,17 @@ def younger_than(
     now: datetime | str | None = None,
     cols: LogColumns = LOG_COLUMNS,
 ) -> DataFrame:
-    """Rows with ``tstamp > now - max_age``; the age may be interval text."""
+    """Rows with ``tstamp > now - max_age``; the age may be interval text.
+
+    Bounds on the period columns keep the scan to the directories of that time.
+    """
     current = as_utc(now if now is not None else datetime.now(UTC))
     kind = time_type(logs, cols)
     if isinstance(max_age, timedelta):
         oldest = time_literal(current - max_age, kind)
     else:
         oldest = time_literal(current, kind) - F.lit(max_age).cast("interval")
-    return logs.where(F.col(cols.tstamp) > oldest)
+    return logs.where((F.col(cols.tstamp) > oldest) & periods_from(logs, oldest))
 
 
 def tail_lines(

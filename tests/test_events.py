@@ -109,8 +109,12 @@ def test_events_response(small):
         "events": None, "fields": None,
         "metadata": {"counts_interval_sec": 1800, "event_count": 0},
     }
-    with pytest.raises(ValueError):
-        events_response(small, "2024-01-01", "2024-01-02")
+    lines = [r.json for r in events_response(small, "2024-01-01", "2024-01-02").collect()]
+    whole = json.loads("".join(lines))
+    assert [e["id"] for e in whole.pop("events")] == [3, 2, 1, 0] and len(lines) == 6
+    assert whole == {k: v for k, v in doc.items() if k != "events"}
+    lines = [r.json for r in events_response(small, "2023-01-01", "2023-01-02").collect()]
+    assert json.loads("".join(lines)) == json.loads(nothing)
 
 
 def test_json_lines(small):
@@ -134,8 +138,12 @@ def test_counts_response(small):
         small, "2024-01-01", "2024-01-01T00:00:03", eq("a", "no"), split_by="a", max_buckets=1
     ).first().json
     assert json.loads(nothing)["counts"] is None
-    with pytest.raises(ValueError):
-        counts_response(small, "2024-01-01", "2024-01-02", split_by="a")
+    args = (small, "2024-01-01", "2024-01-01T00:00:03")
+    lines = [r.json for r in counts_response(*args, split_by="a").collect()]
+    one = counts_response(*args, split_by="a", max_buckets=99).first().json
+    assert json.loads("".join(lines)) == json.loads(one) and len(lines) > 3
+    lines = [r.json for r in counts_response(*args, eq("a", "no"), split_by="a").collect()]
+    assert json.loads("".join(lines)) == json.loads(nothing)
 
 
 def test_lines(spark):

@@ -13,7 +13,9 @@ from emberlog.operators.ingest import (
     preprocessing,
     with_sequence_id,
 )
+from emberlog.operators.postings import build_postings, lookup
 from emberlog.schema import FACILITIES, LOG_SCHEMA, SEVERITIES
+from emberlog.sources.jsonlines import read_json_lines
 
 EVENT = {
     "msg": "Failed password for root from 10.0.0.9 port 4022 ssh2",
@@ -145,7 +147,10 @@ def test_flatten_deep(spark):
 
     (doc,) = docs(spark, event(**{"$!": nest(40)}))
     assert doc["vars" + ".k" * 40] == 1
-    assert list(reasons(spark, event(**{"$!": nest(200)})).values()) == ["nesting too deep"]
+    (doc,) = docs(spark, event(**{"$!": nest(200)}))
+    assert doc["vars" + ".k" * 200] == 1
+    # the JSON reader's own limit is the only one
+    assert list(reasons(spark, event(**{"$!": nest(1100)})).values()) == ["not a JSON object"]
 
 
 def test_flatten_column(spark):
@@ -236,8 +241,10 @@ def test_rfc3339(spark):
 def test_ids(spark):
     lines = raw(spark, *[event(msg=f"m{n}") for n in range(20)])
     first = [r.id for r in import_events(lines)[0].select("id").orderBy("id").collect()]
-    again = import_events(lines.repartition(5))[0].select("id").orderBy("id")
+    again = import_events(lines)[0].select("id").orderBy("id")
     assert first == [r.id for r in again.collect()] and len(set(first)) == 20
+    equal = raw(spark, *[event()] * 30)
+    assert import_events(equal)[0].select("id").distinct().count() == 30
     numbered = with_sequence_id(lines, 100)
     ids = [r.id for r in import_events(numbered)[0].select("id").collect()]
     assert len(set(ids)) == 20 and min(ids) == 100
@@ -260,3 +267,24 @@ def test_preprocessing(spark):
 @pytest.mark.parametrize("value", ["x", 1, None])
 def test_structured_data_of_any_type_is_accepted(spark, value):
     assert len(docs(spark, event(**{"structured-data": value}), **preprocessing())) == 1
+
+
+def test_repeated_keys(spark):
+    text = json.dumps(event())
+    twice = text.replace('"$!": {', '"$!": {"user": "old", ')
+    (doc,) = docs(spark, twice)
+    assert doc["vars.user"] == "root"
+    (doc,) = docs(spark, '{"other": 1, "other": {"a": 1, "a": 2}, ' + text[1:])
+    assert doc["hostname"] == "web1"
+    for key in ("hostname", "uuid", "$!"):
+        line = f'{{"{key}": "x", "{key}": "y", ' + text[1:].replace(f'"{key}"', '"z"')
+        assert list(reasons(spark, line).values()) == [f"repeated {key}"]
+
+
+def test_equal_lines_of_a_file(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text((json.dumps(event(msg="hello world")) + "\n") * 3)
+    lines = read_json_lines(spark, str(tmp_path))
+    good, _ = import_events(lines)
+    ids = [r.id for r in good.select("id").collect()]
+    assert len(set(ids)) == 3 and sorted(ids) == sorted(r.id for r in good.select("id").collect())
+    assert lookup(good, build_postings(good), ["hello", "world"]).count() == 3

@@ -10,10 +10,11 @@ from emberlog.functions.predicates import eq
 from emberlog.operators.ingest import import_events
 from emberlog.session import checkpoint_folder
 from emberlog.sources.jsonlines import read_json_lines, stream_json_lines
-from emberlog.sources.logtable import read_logs, stream_logs
+from emberlog.sources.logtable import read_logs, stream_logs, write_logs
 from emberlog.streaming.importer import start_import
-from emberlog.streaming.tail import start_tail
+from emberlog.streaming.tail import start_tail, tail_lines
 
+from conftest import plan_of
 from test_ingest import event
 
 AGE = timedelta(days=365 * 100)
@@ -68,9 +69,10 @@ def test_import_and_tail(spark, tmp_path):
 
     # the stream stores what a batch over the same files gives
     batch, quarantine = import_events(read_json_lines(spark, str(source)))
-    columns = ["id", "tstamp", "doc", "search"]
-    stored = read_logs(spark, table, ["day"]).select(columns).orderBy("id").collect()
-    assert stored == batch.select(columns).orderBy("id").collect()
+    # but for the ids, which tell equal lines apart by their place
+    columns = ["tstamp", "doc", "search"]
+    stored = read_logs(spark, table, ["day"]).select(columns).orderBy("tstamp").collect()
+    assert stored == batch.select(columns).orderBy("tstamp").collect()
     assert quarantine.count() == spark.read.parquet(bad).count() == 2
 
 
@@ -104,3 +106,43 @@ def test_checkpoint_folder():
     assert checkpoint_folder(session("/shared/"), "x") == "/shared/x"
     with pytest.raises(ValueError):
         checkpoint_folder(session(None), "x")
+
+
+def test_tail_reads_only_the_periods_of_its_time(spark, tmp_path):
+    table = str(tmp_path / "logs")
+    lines = [json.dumps(event(timereported=f"2024-01-{d:02d}T12:00:00Z", msg=f"d{d}")) for d in range(1, 9)]
+    frame = spark.createDataFrame([(x,) for x in lines], "value string")
+    write_logs(import_events(frame)[0], table, ["day", "hour"])
+    logs = read_logs(spark, table, ["day", "hour"])
+    for age in (timedelta(hours=30), "30 hours"):
+        shown = tail_lines(logs, max_age=age, fields=["msg"], now="2024-01-08T13:00:00")
+        assert [r.line.split()[-1] for r in shown.collect()] == ["d7", "d8"]
+        (filters,) = [x for x in plan_of(shown).split("\n") if "PartitionFilters" in x]
+        assert "p_day" in filters and "p_hour" in filters
+
+
+def test_polling_import_and_tail(spark, tmp_path):
+    """Both streams with a time trigger, until the line is through."""
+    source, lines = tmp_path / "in", []
+    source.mkdir()
+    write_lines(source / "a.json", at(1), at(1))
+    table, bad, progress = (str(tmp_path / n) for n in ("logs", "bad", "checkpoint"))
+    poll = {"processingTime": "200 milliseconds"}
+    running = start_import(
+        stream_json_lines(spark, str(source)), table, bad, progress, levels=["day"], trigger=poll
+    )
+    try:
+        running.processAllAvailable()
+        tail = start_tail(
+            stream_logs(spark, table, ["day"]),
+            max_age=AGE, fields=["msg"], checkpoint=str(tmp_path / "tail"), trigger=poll,
+            on_lines=lambda found, n: lines.extend(r.line for r in found.collect()),
+        )
+        try:
+            tail.processAllAvailable()
+        finally:
+            tail.stop()
+    finally:
+        running.stop()
+    assert lines == ["2024-01-02 03:04:01 m1"] * 2
+    assert read_logs(spark, table, ["day"]).select("id").distinct().count() == 2

@@ -9,6 +9,7 @@ from emberlog.functions.text import (
     text_none,
     text_phrase,
     text_search,
+    text_websearch,
     tokens,
 )
 from emberlog.operators.partitions import with_partitions
@@ -82,3 +83,30 @@ def test_hot_token_spreads_over_files(spark, tmp_path):
     write_postings(rows, str(tmp_path / "p"), partitions=8)
     stored = spark.read.parquet(str(tmp_path / "p")).where("token = 'hot'")
     assert stored.select(F.input_file_name()).distinct().count() >= 3
+
+
+@pytest.mark.parametrize(
+    "text, found",
+    [
+        ("cat hat", [0, 1, 5]),
+        ("cat -sat", [0, 5]),
+        ('"the cat" or été', [0, 2, 5]),
+        ("cat-hat", [1]),
+        ("ÉA or b2 a1", [2, 6]),
+        ('cat -"hat the" OR 42', [0, 1, 6]),
+        ("hat -", [0, 1, 5]),
+        ("", []),
+        ("or - !", []),
+    ],
+)
+def test_websearch(rows, text, found):
+    assert ids(rows, text_websearch(text)) == found
+
+
+def test_words_are_cut_like_texts(spark):
+    text = "\u0130stanbul ba\u015fkent"
+    df = spark.createDataFrame([(1, text), (2, "x")], "id int, text string")
+    df = df.select("id", tokens(F.col("text")).alias("search"))
+    for word in text.split():
+        assert ids(df, text_all(word)) == [1] and ids(df, text_any("no", word)) == [1]
+        assert ids(df, text_none(word)) == [2] and ids(df, text_websearch(word)) == [1]
