@@ -49,7 +49,7 @@ STRENGTH = 200.0
 #: Added to each word's count in the unigram.
 ADDED = 0.5
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 
 #: Neither is a word, as words hold no white space.
 END, START = b"\n", b"\t"

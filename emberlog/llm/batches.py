@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -29,6 +32,22 @@ def struct_type(fields: Struct) -> T.StructType:
     return T.StructType([T.StructField(name, KINDS[kind][1]) for name, kind in fields])
 
 
+@cache
+def trimmer() -> Callable[[int], int] | None:
+    """The C library's call that gives free memory back, where it has one."""
+    try:
+        return ctypes.CDLL(ctypes.util.find_library("c")).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def release_memory() -> None:
+    """Give freed memory back, as Python workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if (trim := trimmer()) is not None:
+        trim(0)
+
+
 def utf8(texts: pa.Array) -> Iterator[bytes]:
     """The UTF-8 bytes of each text, one at a time; null counts as empty."""
     for text in texts.cast(pa.large_binary()):
@@ -48,6 +67,8 @@ def per_text(function: Callable[[bytes], tuple], fields: Struct) -> Callable[[st
         rows = [function(text) for text in utf8(texts)]
         columns = list(zip(*rows)) if rows else [()] * len(names)
         arrays = [pa.array(column, type=kind) for column, kind in zip(columns, types)]
+        del rows, columns
+        release_memory()
         return pa.StructArray.from_arrays(arrays, names=names)
 
     return F.arrow_udf(run, struct_type(fields))

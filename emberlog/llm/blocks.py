@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.batches import struct_type
+from emberlog.llm.batches import release_memory, struct_type
 
 PACKED = [
     ("bucket", "bigint"),
@@ -137,7 +137,12 @@ def merge(group: pa.Table) -> pa.Table:
 
 
 def merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("bucket").applyInArrow(merge, struct_type(ANSWERS))
+    def run(group: pa.Table) -> pa.Table:
+        out = merge(group)
+        release_memory()
+        return out
+
+    return runs.groupBy("bucket").applyInArrow(run, struct_type(ANSWERS))
 
 
 def answered(answers: pa.Table, kind: int, spread: np.ndarray, buckets: int) -> np.ndarray:
@@ -162,7 +167,9 @@ def each_block(blocks: DataFrame, function: Callable[[int, pa.Table], pa.Table],
     """Run ``function(block, rows)`` on every block of documents."""
 
     def run(group: pa.Table) -> pa.Table:
-        return function(group["block"][0].as_py(), group)
+        out = function(group["block"][0].as_py(), group)
+        release_memory()
+        return out
 
     return blocks.groupBy("block").applyInArrow(run, struct_type(fields))
 
@@ -171,4 +178,10 @@ def with_answers(blocks: DataFrame, answers: DataFrame, function, fields) -> Dat
     """Run ``function(rows, answers)`` on every block with the answers it was sent."""
     sent = answers.filter(F.col("block") != SUMMARY)
     both = blocks.groupBy("block").cogroup(sent.groupBy("block"))
-    return both.applyInArrow(function, struct_type(fields))
+
+    def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
+        out = function(rows, answers)
+        release_memory()
+        return out
+
+    return both.applyInArrow(run, struct_type(fields))

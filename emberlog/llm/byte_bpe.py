@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from emberlog.llm.batches import per_text
 
 #: Distinct pieces whose ids a worker keeps; the cache starts anew when it is full.
-CACHE = 400_000
+CACHE = 100_000
 
 DIGEST = [("n_tokens", "bigint"), ("ids_sha256", "string"), ("decoded_sha256", "string")]
 TOKENS = [("ids", "array<int>"), ("starts", "array<int>"), ("ends", "array<int>")]

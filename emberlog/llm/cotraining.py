@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.batches import per_text, struct_type, utf8
+from emberlog.llm.batches import per_text, release_memory, struct_type, utf8
 
 LABELLED = 8000
 POOL = 8000
@@ -314,6 +314,7 @@ def scorer(shared):
         columns = [m.to_pylist() for m in meta]
         out = [score(model, t, dict(zip(CATEGORIES + NUMBERS, v))) for t, v in zip(utf8(texts), zip(*columns))]
         arrays = [pa.array([row[k] for row in out], type=pa.float64()) for k in range(len(SCORES))]
+        release_memory()
         return pa.StructArray.from_arrays(arrays, names=[name for name, _ in SCORES])
 
     return F.arrow_udf(run, struct_type(SCORES))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from emberlog.llm.batches import utf8
+from emberlog.llm.batches import release_memory, utf8
 from emberlog.llm.blocks import mix
 
 SIMILARITY = 0.8
@@ -355,7 +355,9 @@ def searcher(shared):
     )
 
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array(shared.value.search(texts), type=kind)
+        found = pa.array(shared.value.search(texts), type=kind)
+        release_memory()
+        return found
 
     return F.arrow_udf(run, T.ArrayType(HIT))
 

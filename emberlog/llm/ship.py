@@ -12,6 +12,9 @@ import emberlog
 
 DONE = "emberlog.llm.shipped"
 
+#: Texts per Arrow batch: they may be long, and a batch is held in both processes.
+BATCH_ROWS = 2000
+
 
 def ship(spark: SparkSession) -> SparkSession:
     """Add the package's sources to the session once; Spark hands them to each worker."""
@@ -22,5 +25,6 @@ def ship(spark: SparkSession) -> SparkSession:
             for source in sorted(root.rglob("*.py")):
                 archive.write(source, source.relative_to(root.parent))
         spark.sparkContext.addPyFile(str(path))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
         spark.conf.set(DONE, str(path))
     return spark

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlog.llm.batches import utf8, with_row
+from emberlog.llm.batches import release_memory, utf8, with_row
 from emberlog.llm.blocks import (
     ANSWERS,
     PACKED,
@@ -470,6 +470,7 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         texts, _, number = distinct_texts(rows["text"])
         spans = repeated_spans(texts, answers, n)
         kept = [without(t, whole_characters(t, s)).decode("utf-8") for t, s in zip(texts, spans)]
+        release_memory()
         null = np.asarray(rows["text"].is_null())
         new = [None if gone else kept[k] for gone, k in zip(null.tolist(), number.tolist())]
         return pa.table({"row": rows["row"], "text": pa.array(new, type=pa.string())})
