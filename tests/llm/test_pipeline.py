@@ -1,0 +1,147 @@
+"""Each stage of the pipeline against brute force, on what its predecessor kept."""
+
+import hashlib
+import json
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from emberlog.llm import byte_bpe
+from emberlog.llm import decontaminate as D
+from emberlog.llm import quality_rules as Q
+from emberlog.llm import suffix_dedup as S
+from emberlog.llm.store import stored
+from llm.conftest import ascii_lower
+from llm.test_decontaminate import brute as contaminated
+from llm.test_quality_rules import brute as measured
+from llm.test_simhash import fingerprint, groups
+from llm.test_suffix_dedup import brute as repeated
+
+GOOD = "It was a fine day and the people of the town went out to see the river once more. "
+
+
+def rows_of(frame):
+    return [tuple(r) for r in frame.collect()]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, sf, tmp_path_factory):
+    """The smallest documents with extra ones for what they lack."""
+    path = str(tmp_path_factory.mktemp("sf"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    passage = " ".join(f"shared{k} é" for k in range(60))
+    extra = [GOOD + "first. " + passage, GOOD + "second one. " + passage + " end", None, ""]
+    extra += [" ".join(f"near{k}" for k in range(300))] * 2 + [f"Before it all {item} and after it."]
+    own = [(10_000 + k, t, "en", "own", len(t or "")) for k, t in enumerate(extra)]
+    docs.union(spark.createDataFrame(own, docs.schema)).write.parquet(f"{path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{path}/{name}.parquet")
+    return path
+
+
+@pytest.fixture(scope="module")
+def steps(spark, folder):
+    """Documents before and after each stage."""
+    docs, out = spark.read.parquet(f"{folder}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        after = stored(stage(spark, docs, folder), name)
+        out[name] = docs, after
+        docs = after
+    return out
+
+
+def test_columns_stay(steps):
+    for name, (before, after) in list(steps.items())[:-1]:
+        assert after.columns == before.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def test_quality_rules(spark, folder, steps, all_words):
+    before, after = steps["quality_rules"]
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    found = stored(Q.measured_documents(before), "measures")
+    cutoffs = {(r.stratum, r.rule): r.cutoff for r in Q.calibrate(found, labels).collect()}
+    shares = {r.doc_id: r for r in found.collect()}
+    want = []
+    for row in rows_of(before):
+        n, _, _, _, repeats = measured(row[1], all_words)
+        over = any(shares[row[0]][rule] > cutoffs.get((row[2], rule), 1) for rule in Q.RULES)
+        if not (n < 10 or 100 * repeats > 20 * n or over):
+            want.append(row)
+    assert sorted(rows_of(after)) == sorted(want)
+    assert 0 < len(want) < before.count()
+
+
+def test_near_duplicates(steps, all_words):
+    before, after = steps["simhash"]
+    rows = sorted(rows_of(before))
+    prints = [fingerprint(r[1], all_words, ascii_lower) for r in rows]
+    want = [r for k, (r, g) in enumerate(zip(rows, groups(prints))) if k == g]
+    assert sorted(rows_of(after)) == want and len(want) < len(rows)
+
+
+def test_repeats(steps):
+    before, after = steps["suffix_dedup"]
+    rows = sorted(rows_of(before))
+    texts = [r[1].encode() for r in rows]
+    want, cut = [], 0
+    for row, text, runs in zip(rows, texts, repeated(texts)):
+        spans = S.whole_characters(text, np.array(runs, dtype=np.int64).reshape(-1, 2))
+        kept = S.without(text, spans).decode()
+        cut += kept != row[1]
+        want.append((row[0], kept, *row[2:4], len(kept)))
+    assert sorted(rows_of(after)) == want and cut
+
+
+def test_benchmark(spark, folder, steps):
+    before, after = steps["decontaminate"]
+    items = rows_of(spark.read.parquet(f"{folder}/benchmark.parquet").select("item_id", "text"))
+    rows = rows_of(before)
+    held = {d for d, _ in contaminated([r[:2] for r in rows], items)}
+    assert sorted(rows_of(after)) == sorted(r for r in rows if r[0] not in held)
+    assert 10_006 in held
+
+
+def test_tokens(steps):
+    before, after = steps["byte_bpe"]
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    known = tiktoken.Encoding(
+        "own",
+        pat_str=public_tokenizers.PATTERN,
+        mergeable_ranks=byte_bpe.read_ranks(path),
+        special_tokens={},
+    )
+    texts = {r[0]: r[1] for r in rows_of(before)}
+    got = after.collect()
+    assert {r.doc_id for r in got} == set(texts)
+    for r in got:
+        ids = known.encode_ordinary(texts[r.doc_id])
+        assert r.ids == ids and r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
+def test_run_gives_the_last_stage(spark, folder, steps):
+    _, after = steps["byte_bpe"]
+
+    def lines(frame):
+        return sorted(json.dumps(r.asDict()) for r in frame.collect())
+
+    assert lines(corpus_pipeline.run(spark, folder)) == lines(after)
+
+
+def test_stages_take_odd_rows(spark, odd, folder, tmp_path):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd, odd.limit(0)):
+            assert stage(spark, docs, folder).columns == odd.columns
+            assert stage(spark, docs, folder).count() <= docs.count()
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, odd, folder).count() == odd.count()
+    for name in ("labels", "benchmark"):
+        empty = spark.read.parquet(f"{folder}/{name}.parquet").limit(0)
+        empty.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, odd, str(tmp_path)).count() >= 1
