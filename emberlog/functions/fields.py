@@ -16,14 +16,14 @@ from emberlog.functions.flatten import entries_text, flatten_json
 from emberlog.schema import LOG_COLUMNS, LogColumns
 
 # Fixed value: the spelling of a field name.
-_FIELD_NAME = re.compile(r"[a-zA-Z_][a-zA-Z0-9._-]*")
+FIELD_NAME = "[a-zA-Z_][a-zA-Z0-9._-]*"
 
 Scalar = int | float | Decimal | str
 
 
 def json_path(key: str) -> str:
     """JSON path of a flat key; raises ``ValueError`` on a bad field name."""
-    if not _FIELD_NAME.fullmatch(key):
+    if not re.fullmatch(FIELD_NAME, key):
         raise ValueError(f"not a field name: {key!r}")
     return f"$['{key}']"
 

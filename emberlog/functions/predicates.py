@@ -7,8 +7,6 @@ SQL, so ``where`` also drops rows whose field is absent.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,10 +38,14 @@ def _same(value: Column, literal: Scalar) -> Column:
         is_number = is_number | kind.startswith(name)
     number = literal_decimal(literal)
     near = F.try_variant_get(value, "$", "double") == F.lit(float(number))
-    if abs(number) < Decimal(10) ** 29 and -number.as_tuple().exponent <= 9:
-        exact = F.try_variant_get(value, "$", "decimal(38,9)") == F.lit(
-            format(number, "f")
-        ).cast("decimal(38,9)")
+    # all digits a decimal has go to the literal's whole part and then to the fraction;
+    # longer numbers are doubles in the document, too
+    _, digits, exponent = number.as_tuple()
+    whole, fraction = max(len(digits) + exponent, 1), max(-exponent, 0)
+    if whole + fraction <= 38:
+        kind_38 = f"decimal(38,{38 - whole})"
+        wanted = F.lit(format(number, "f")).cast(kind_38)
+        exact = F.try_variant_get(value, "$", kind_38) == wanted
         near = near & F.coalesce(exact, F.lit(True))
     return F.coalesce(near & is_number, F.lit(False))
 
@@ -107,8 +109,10 @@ def eq(
 def _compare(key, literal, numeric, cols):
     number = literal_decimal(literal)
     left = field_number(key, numeric, cols)
-    right = F.lit(float(number)) if numeric == "double" else F.lit(number)
-    return left, right
+    if numeric == "int" and -(2**31) <= number < 2**31:
+        return left, F.lit(number)
+    # a decimal beyond the integers would make the comparison true for NULL, too
+    return left.cast("double"), F.lit(float(number))
 
 
 def lt(key: str, n: Scalar, numeric: str = "int", cols: LogColumns = LOG_COLUMNS) -> Column:

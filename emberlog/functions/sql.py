@@ -9,9 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from emberlog.functions.fields import FIELD_NAME
 from emberlog.functions.text import TOKEN_SEPARATOR
 
-_PATH = "concat('$[''', k, ''']')"
+_PATH = (
+    f"if(k RLIKE '^{FIELD_NAME}$', concat('$[''', k, ''']'), "
+    "raise_error(concat('not a field name: ', k)))"
+)
 _VALUE = f"variant_get(doc_v, {_PATH}, 'variant')"
 _ITEMS = f"try_variant_get(doc_v, {_PATH}, 'array<variant>')"
 _TEXT = f"get_json_object(doc, {_PATH})"
@@ -29,7 +33,26 @@ def _number_is(v: str, wanted: str) -> str:
     return (
         f"coalesce(schema_of_variant({v}) RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' "
         f"AND try_variant_get({v}, '$', 'double') = cast({wanted} AS DOUBLE) "
-        f"AND coalesce(try_variant_get({v}, '$', 'decimal(38,9)') = {wanted}, true), false)"
+        # the fraction and the whole part, each as far as decimals go
+        f"AND coalesce(try_variant_get({v}, '$', 'decimal(38,18)') "
+        f"= try_cast({wanted} AS DECIMAL(38,18)), true) "
+        f"AND coalesce(try_variant_get({v}, '$', 'decimal(38,0)') "
+        f"= try_cast({wanted} AS DECIMAL(38,0)), true), false)"
+    )
+
+
+def _compare(sign: str) -> str:
+    """Comparison of a whole number with a literal given as text, without rounding it."""
+    return (
+        f"if(try_cast(n AS DECIMAL(38,18)) IS NULL, {_INT} {sign} cast(n AS DOUBLE), "
+        f"{_INT} {sign} try_cast(n AS DECIMAL(38,18)))"
+    )
+
+
+def _all_of(test) -> str:
+    return (
+        f"CASE WHEN {_VALUE} IS NOT NULL THEN coalesce({_ITEMS} IS NOT NULL AND forall(wanted, "
+        f"w -> exists({_ITEMS}, e -> {test('e', 'w')})), false) END"
     )
 
 
@@ -42,7 +65,23 @@ def _contains(test, wanted: str) -> str:
 
 
 _REGEX = TOKEN_SEPARATOR.replace("\\", "\\\\")
-_FRAMED = "concat(' ', array_join({}, ' '), ' ')"
+
+
+def _tokens(text: str) -> str:
+    return f"filter(split(lower({text}), '{_REGEX}'), t -> t <> '')"
+
+
+def _framed(words: str) -> str:
+    return f"concat(' ', array_join({words}, ' '), ' ')"
+
+
+# beyond ASCII a word is cut into tokens as the text was
+_HAS_WORD = (
+    "if(w RLIKE '^[A-Za-z0-9]+$', array_contains(search, lower(w)), "
+    f"contains({_framed('search')}, {_framed(_tokens('w'))}))"
+)
+# escapes before ordinary characters are dropped, as LIKE rejects them
+_PATTERN = r"regexp_replace(pattern, '(\\\\[%_\\\\])|\\\\(.)', '$1$2')"
 
 # name -> (parameters, return type, body)
 SQL_FUNCTIONS = {
@@ -56,21 +95,25 @@ SQL_FUNCTIONS = {
         _contains(_text_is, "wanted"),
     ),
     "log_eq_number": (
-        "doc_v VARIANT, k STRING, wanted DECIMAL(38,9)",
+        "doc_v VARIANT, k STRING, wanted STRING",
         "BOOLEAN",
         _contains(_number_is, "wanted"),
     ),
     "log_has_all": (
         "doc_v VARIANT, k STRING, wanted ARRAY<STRING>",
         "BOOLEAN",
-        f"CASE WHEN {_VALUE} IS NOT NULL THEN coalesce(forall(wanted, "
-        f"w -> exists({_ITEMS}, e -> {_text_is('e', 'w')})) AND {_ITEMS} IS NOT NULL, false) END",
+        _all_of(_text_is),
+    ),
+    "log_has_all_numbers": (
+        "doc_v VARIANT, k STRING, wanted ARRAY<STRING>",
+        "BOOLEAN",
+        _all_of(_number_is),
     ),
-    "log_lt": ("doc STRING, k STRING, n DECIMAL(38,9)", "BOOLEAN", f"{_INT} < n"),
-    "log_le": ("doc STRING, k STRING, n DECIMAL(38,9)", "BOOLEAN", f"{_INT} <= n"),
-    "log_gt": ("doc STRING, k STRING, n DECIMAL(38,9)", "BOOLEAN", f"{_INT} > n"),
-    "log_ge": ("doc STRING, k STRING, n DECIMAL(38,9)", "BOOLEAN", f"{_INT} >= n"),
-    "log_like": ("doc STRING, k STRING, pattern STRING", "BOOLEAN", f"{_TEXT} LIKE pattern"),
+    "log_lt": ("doc STRING, k STRING, n STRING", "BOOLEAN", _compare("<")),
+    "log_le": ("doc STRING, k STRING, n STRING", "BOOLEAN", _compare("<=")),
+    "log_gt": ("doc STRING, k STRING, n STRING", "BOOLEAN", _compare(">")),
+    "log_ge": ("doc STRING, k STRING, n STRING", "BOOLEAN", _compare(">=")),
+    "log_like": ("doc STRING, k STRING, pattern STRING", "BOOLEAN", f"{_TEXT} LIKE {_PATTERN}"),
     "log_in": (
         "doc STRING, k STRING, wanted ARRAY<STRING>",
         "BOOLEAN",
@@ -79,27 +122,27 @@ SQL_FUNCTIONS = {
     "log_tokens": (
         "txt STRING",
         "ARRAY<STRING>",
-        f"filter(split(lower(txt), '{_REGEX}'), t -> t <> '')",
+        _tokens("txt"),
     ),
     "log_all": (
         "search ARRAY<STRING>, words ARRAY<STRING>",
         "BOOLEAN",
-        "forall(words, w -> array_contains(search, lower(w)))",
+        f"forall(words, w -> {_HAS_WORD})",
     ),
     "log_any": (
         "search ARRAY<STRING>, words ARRAY<STRING>",
         "BOOLEAN",
-        "arrays_overlap(search, transform(words, w -> lower(w)))",
+        f"exists(words, w -> {_HAS_WORD})",
     ),
     "log_none": (
         "search ARRAY<STRING>, words ARRAY<STRING>",
         "BOOLEAN",
-        "NOT arrays_overlap(search, transform(words, w -> lower(w)))",
+        f"NOT exists(words, w -> {_HAS_WORD})",
     ),
     "log_phrase": (
         "search ARRAY<STRING>, phrase STRING",
         "BOOLEAN",
-        f"contains({_FRAMED.format('search')}, {_FRAMED.format('log_tokens(phrase)')})",
+        f"contains({_framed('search')}, {_framed(_tokens('phrase'))})",
     ),
 }
 

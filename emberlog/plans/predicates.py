@@ -241,6 +241,25 @@ def sql_functions(t):
     )
 
 
+@query("sql_number_functions", f"""
+  select id, k = 42 as same, k < 42 as lt, k <= 42 as le, k > 42 as gt, k >= 42 as ge,
+         k = 41 as above_fraction, event_type like 'c%' as escaped, false as scalar_has_all
+  from {LOGS_SQL}
+""")
+def sql_number_functions(t):
+    """What the SQL functions on numbers and patterns say of each event."""
+    register_sql_functions(t.spark)
+    said = {"same": "log_eq_number(doc_v, 'vars.k', 42.0)"}
+    said |= {name: f"log_{name}(doc, 'vars.k', 42)" for name in ("lt", "le", "gt", "ge")}
+    # no rounding: 40.9999999999 < k < 41.0000000001
+    said["above_fraction"] = (
+        "log_gt(doc, 'vars.k', 40.9999999999) AND log_lt(doc, 'vars.k', 41.0000000001)"
+    )
+    said["escaped"] = r"log_like(doc, 'event_type', '\\c%')"
+    said["scalar_has_all"] = "log_has_all_numbers(doc_v, 'vars.k', array('42'))"
+    return t.logs.select("id", *[F.expr(text).alias(name) for name, text in said.items()])
+
+
 @query("sql_text_functions", f"""
   select id from {WORDS_SQL}
   where list_contains(search, 'the') and not list_contains(search, 'und')

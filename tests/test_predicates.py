@@ -1,5 +1,7 @@
 """Field predicates on the edge cases of the document model."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +87,30 @@ def test_edge_table_as_sql_functions(spark, docs):
     assert values(docs, F.expr("log_all(log_tokens('a b'), array('A','B'))"))[0] is True
 
 
+def test_sql_functions_agree_with_columns(spark):
+    register_sql_functions(spark)
+    numbers = ["123456789012345678901234567890", "123456789012345678901234567891", "0.1234567891"]
+    numbers += ["0.123456789", "7", "[7, 0.5]", '"a%b"', '"c"']
+    df = spark.createDataFrame([(n,) for n in numbers], "n string").select(
+        F.concat(F.lit('{"f":'), "n", F.lit("}")).alias("doc")
+    ).withColumn("doc_v", F.parse_json("doc"))
+    for n in ("123456789012345678901234567890", "0.1234567891", "7", "0.5"):
+        column = values(df, P.eq("f", Decimal(n)))
+        assert column.count(True) == (2 if n == "7" else 1)  # also inside the array
+        assert values(df, F.expr(f"log_eq_number(doc_v, 'f', {n})")) == column
+    for sign in ("lt", "le", "gt", "ge"):
+        for n in ("7", "6.9999999999", "1e30", "-5"):
+            column = values(df, getattr(P, sign)("f", Decimal(n)))
+            assert values(df, F.expr(f"log_{sign}(doc, 'f', '{n}')")) == column
+    for pattern in (r"a\%b", r"\c", r"\\c", "a%"):
+        text = pattern.replace("\\", "\\\\")
+        assert values(df, F.expr(f"log_like(doc, 'f', '{text}')")) == values(df, P.like("f", pattern))
+    both = F.expr("log_has_all_numbers(doc_v, 'f', array('7', '0.5'))")
+    assert values(df, both) == values(df, P.eq("f", [7, 0.5]))
+    with pytest.raises(Exception, match="not a field name"):
+        values(df, F.expr("""log_text(doc, "f'] x") = 'a'"""))
+
+
 def test_lists(docs):
     assert values(docs, P.eq("f", []))[:9] == [F_, F_, F_, T, T, T, F_, F_, N]
     assert values(docs, P.in_list("f", [])) == [F_] * len(DOCS)
