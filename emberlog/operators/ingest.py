@@ -81,7 +81,7 @@ def parse_events(
             (F.col("_line").startswith("{") & _is_sealed()).alias("_is_object"),
             F.from_json("_line", RAW_EVENT_SCHEMA).alias("_e"),
             _repeated_key().alias("_repeated"),
-            "_v",
+            _known_members().alias("_m"),
         )
         .select(
             "*",
@@ -135,8 +135,14 @@ def _is_sealed() -> Column:
     return F.coalesce(seal == F.xxhash64("_line"), F.lit(False))
 
 
+def _known_members() -> Column:
+    """The values of the known keys as VARIANTs, in one extraction."""
+    keys = (*REQUIRED_KEYS, *OPTIONAL_KEYS, VARIABLES_KEY)
+    return F.try_variant_get("_v", "$[0]", f"struct<{', '.join(f'`{k}`:variant' for k in keys)}>")
+
+
 def _member(key: str) -> str:
-    return f"try_variant_get(_v, \"$[0]['{key}']\", 'variant')"
+    return f"_m.`{key}`"
 
 
 def _repeated_key() -> Column:
