@@ -191,20 +191,37 @@ class Model:
 
 
 class Facts:
-    """Names held by the documents of a sample, as numbers."""
-
-    def __init__(self, held: list[list], shapes: list[list[float]]) -> None:
-        seen: dict = {}
-        for names in held:
-            for name in names:
-                seen[name] = seen.get(name, 0) + 1
-        self.names = sorted((k for k, n in seen.items() if n >= MIN_DOCUMENTS), key=repr)
-        number = {name: k for k, name in enumerate(self.names)}
-        found = [[number[name] for name in names if name in number] for names in held]
-        self.rows = np.repeat(np.arange(len(held)), [len(f) for f in found])
-        self.numbers = np.array([k for f in found for k in f], dtype=np.int64)
-        width = len(shapes[0]) if shapes else 0
-        self.shapes = np.array(shapes, dtype=float).reshape(len(held), width)
+    """Names held by the documents of a sample, as numbers; rare names are left out."""
+
+    def __init__(self, names: list, rows: np.ndarray, numbers: np.ndarray, shapes: np.ndarray):
+        held = np.bincount(numbers, minlength=len(names))
+        kept = [k for k in np.flatnonzero(held >= MIN_DOCUMENTS).tolist()]
+        kept.sort(key=lambda k: repr(names[k]))
+        place = np.full(len(names), -1, dtype=np.int32)
+        place[kept] = np.arange(len(kept))
+        known = place[numbers] >= 0
+        self.names = [names[k] for k in kept]
+        self.rows, self.numbers, self.shapes = rows[known], place[numbers[known]], shapes
+
+    @classmethod
+    def of_texts(cls, sample: pa.Table) -> Facts:
+        """Words as the dictionary of a column: no Python object per word."""
+        words = sample["words"].combine_chunks()
+        coded = words.flatten().dictionary_encode()
+        rows = np.repeat(np.arange(len(words), dtype=np.int32), words.value_lengths().to_numpy())
+        shapes = np.array(sample["written"].to_pylist(), dtype=np.float32)
+        shapes = shapes.reshape(len(words), len(WRITTEN))
+        names = coded.dictionary.cast(pa.binary()).to_pylist()
+        return cls(names, rows, coded.indices.to_numpy(), shapes)
+
+    @classmethod
+    def of_metadata(cls, sample: pa.Table) -> Facts:
+        number: dict[tuple, int] = {}
+        listed = sample.select([*CATEGORIES, *NUMBERS]).to_pylist()
+        coded = [[number.setdefault(k, len(number)) for k in meta_keys(r)] for r in listed]
+        numbers = np.array(coded, dtype=np.int64).ravel()
+        rows = np.repeat(np.arange(len(listed)), len(CATEGORIES) + len(NUMBERS))
+        return cls(list(number), rows, numbers, np.zeros((len(listed), 0), dtype=np.float32))
 
     def telling(self, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Names whose presence depends on the label, the most telling first."""
@@ -222,7 +239,7 @@ class Facts:
         column = np.full(len(self.names), -1)
         column[chosen] = np.arange(len(chosen))
         first = 1 + self.shapes.shape[1]
-        x = np.zeros((len(self.shapes), first + len(chosen)))
+        x = np.zeros((len(self.shapes), first + len(chosen)), dtype=np.float32)
         x[:, 0], x[:, 1:first] = 1.0, self.shapes
         at = column[self.numbers]
         x[self.rows[at >= 0], first + at[at >= 0]] = 1.0
@@ -239,18 +256,18 @@ class Facts:
         return View(float(weights[0]), tuple(weights[1:first].tolist()), named), x @ weights
 
 
-def train(labelled: list[dict], pool: list[dict], rounds: int = ROUNDS) -> Model:
+def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model:
     """Co-train both views for every target."""
-    sample, n = labelled + pool, len(labelled)
-    facts = (
-        Facts([[w.encode() for w in r["words"]] for r in sample], [r["written"] for r in sample]),
-        Facts([meta_keys(r) for r in sample], [[] for _ in sample]),
-    )
+    n = len(labelled)
+    shared = ["words", "written", *CATEGORIES, *NUMBERS]
+    sample = pa.concat_tables([labelled.select(shared), pool.select(shared)])
+    facts = Facts.of_texts(sample), Facts.of_metadata(sample)
     model = Model()
     apart = np.arange(len(sample)) % CALIBRATION == 0
     for target in TARGETS:
-        known = np.array([r[target] is not None for r in labelled] + [False] * len(pool), dtype=bool)
-        y = np.array([float(r[target] or 0) for r in labelled] + [0.0] * len(pool))
+        marked = labelled[target].to_pylist() + [None] * len(pool)
+        known = np.array([m is not None for m in marked], dtype=bool)
+        y = np.array([float(m or 0) for m in marked])
         learn, keep = known & ~apart, known & apart
         prior = logit(y[known].mean() if known.any() else 0.5)
         model.prior[target] = prior
@@ -298,8 +315,7 @@ def samples(docs: DataFrame, labels: DataFrame, labelled: int, pool: int):
         found = rows.select(
             "doc_id", *named, *CATEGORIES, *NUMBERS, facts("text").alias("facts")
         ).select("doc_id", *named, *CATEGORIES, *NUMBERS, "facts.*")
-        listed = found.orderBy(*by_hash).toArrow().to_pylist()
-        out.append(listed)
+        out.append(found.orderBy(*by_hash).toArrow())
     return out
 
 

@@ -1,5 +1,7 @@
 import random
 
+import pyarrow as pa
+
 from emberlog.llm import cotraining as C
 from emberlog.llm.queries import QUERIES
 
@@ -55,8 +57,8 @@ def test_a_view_teaches_the_other():
             {"doc_id": k, "words": words, "written": shape, "lang": lang, "source": source}
             | {"n_chars": n, "quality": q, "toxic": t}
         )
-    alone = C.train(listed[:40], listed[40:], rounds=0)
-    taught = C.train(listed[:40], listed[40:], rounds=3)
+    known, pool = pa.Table.from_pylist(listed[:40]), pa.Table.from_pylist(listed[40:])
+    alone, taught = C.train(known, pool, rounds=0), C.train(known, pool, rounds=3)
     unseen, _ = corpus(200, seed=10)
 
     def right(model):
