@@ -211,8 +211,13 @@ def cutoff_table(cutoffs: DataFrame) -> DataFrame:
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """``base_failed`` and ``kept`` for measured texts; all columns stay."""
-    by_stratum = cutoff_table(cutoffs).select(F.col("stratum").alias("of"), "cutoffs")
+    """``base_failed`` and ``kept`` for measured texts; all columns stay.
+
+    The cutoffs are written first: the planner then knows their size, and broadcasts
+    them if they are small instead of shuffling texts by stratum.
+    """
+    written = stored(cutoff_table(cutoffs), "cutoffs")
+    by_stratum = written.select(F.col("stratum").alias("of"), "cutoffs")
     failed = F.coalesce(base_failed(F.col("n_words"), F.col("n_repeat_words")), F.lit(False))
     over = [
         F.coalesce(F.col(rule) > F.col("cutoffs")[rule], F.lit(False)).cast("int") for rule in RULES
