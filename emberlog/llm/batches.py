@@ -54,9 +54,14 @@ def utf8(texts: pa.Array) -> Iterator[bytes]:
         yield text.as_py() or b""
 
 
-def per_text(function: Callable[[bytes], tuple], fields: Struct) -> Callable[[str], Column]:
+def per_text(
+    function: Callable[[bytes], tuple], fields: Struct, once: bool = False
+) -> Callable[[str], Column]:
     """An Arrow UDF that maps each text's bytes to a struct of ``fields``.
 
+    ``once`` keeps filters on the result above it. Otherwise the optimizer may push such
+    a filter below and evaluate the texts a second time for it.
+
     Rows never meet: one text is in work at a time, so memory follows the
     longest text and the Arrow batch, and a lost executor costs only its batches.
     """
@@ -71,7 +76,8 @@ def per_text(function: Callable[[bytes], tuple], fields: Struct) -> Callable[[st
         release_memory()
         return pa.StructArray.from_arrays(arrays, names=names)
 
-    return F.arrow_udf(run, struct_type(fields))
+    found = F.arrow_udf(run, struct_type(fields))
+    return found.asNondeterministic() if once else found
 
 
 def with_row(docs: DataFrame, *columns: Column) -> DataFrame:

@@ -253,6 +253,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     whole texts would shuffle the texts.
     """
     cutoffs = calibrate(stored(measured_documents(docs), "measures"), labels)
-    measured = with_row(docs, F.col("lang").alias("stratum"), measures("text").alias("m"))
+    once = per_text(measure, MEASURES, once=True)
+    measured = with_row(docs, F.col("lang").alias("stratum"), once("text").alias("m"))
     judged = judge(measured.select("row", "stratum", "m.*"), cutoffs)
     return only_rows(judged.filter("kept"))

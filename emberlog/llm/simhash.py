@@ -72,8 +72,8 @@ def fingerprint(text: bytes) -> tuple[int]:
     return (int(bits.view(np.int64)[0]),)
 
 
-def fingerprint_of(text: str) -> Column:
-    return per_text(fingerprint, [("fp", "bigint")])(text)["fp"]
+def fingerprint_of(text: str, once: bool = False) -> Column:
+    return per_text(fingerprint, [("fp", "bigint")], once)(text)["fp"]
 
 
 def signed(mask: int) -> Column:
@@ -174,7 +174,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("doc_id", "fp")).alias("k"))
         .select(F.col("k.doc_id").alias("id"), F.col("k.fp").alias("print"))
     )
-    rows = with_row(docs, F.col("doc_id").alias("id"), fingerprint_of("text").alias("print"))
+    own = fingerprint_of("text", once=True).alias("print")
+    rows = with_row(docs, F.col("doc_id").alias("id"), own)
     first = Window.partitionBy("id", "print").orderBy("print")
     kept = (
         rows.filter("id is not null")
