@@ -22,6 +22,7 @@ PACKED = [
     ("bucket", "bigint"),
     ("block", "bigint"),
     ("kind", "int"),
+    ("size", "int"),
     ("keys", "binary"),
     ("counts", "binary"),
 ]
@@ -72,6 +73,19 @@ def widened(packed: bytes, size: int) -> np.ndarray:
     return np.frombuffer(packed, dtype=kind).astype(np.int64)
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as steps from one to the next, in as few bytes as the longest needs."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack_keys(packed: bytes, size: int) -> np.ndarray:
+    steps = np.zeros((size, 8), dtype=np.uint8)
+    steps[:, : len(packed) // max(size, 1)] = np.frombuffer(packed, np.uint8).reshape(size, -1)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def bucketed(spread: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of keys by bucket, and the buckets in that order."""
     bucket = (spread % np.uint64(buckets)).astype(np.int64)
@@ -92,7 +106,8 @@ def packed(
             "bucket": int(bucket[a]),
             "block": block,
             "kind": kind,
-            "keys": keys[a:b].tobytes(),
+            "size": b - a,
+            "keys": pack_keys(keys[a:b]),
             "counts": smallest(counts[a:b]),
         }
         for a, b in zip(starts, ends)
@@ -117,7 +132,8 @@ def merge(group: pa.Table) -> pa.Table:
     bucket = group["bucket"][0].as_py()
     for kind in np.unique(kinds).tolist():
         rows = np.flatnonzero(kinds == kind).tolist()
-        runs = [np.frombuffer(group["keys"][r].as_py(), dtype=np.uint64) for r in rows]
+        sizes = [group["size"][r].as_py() for r in rows]
+        runs = [unpack_keys(group["keys"][r].as_py(), n) for r, n in zip(rows, sizes)]
         keys = np.unique(np.concatenate(runs))
         total = np.zeros(len(keys), dtype=np.int64)
         places = []
