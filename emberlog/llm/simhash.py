@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlog.llm import near_copies
 from emberlog.llm.batches import only_rows, per_text, with_row
 from emberlog.llm.graph import components
 from emberlog.llm.store import stored
@@ -161,25 +162,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group, with all its columns: that of the smallest id.
+    """One document of each group of near copies, with all its columns: that of the smallest id.
 
-    Rows without an id cannot be told apart by one and are all kept. Of rows with the same
-    id in one group, the one with the smallest fingerprint stays, and one of equal rows.
+    Near copies are texts of five-word Jaccard similarity 0.8 (``near_copies.py``), not those
+    within op7's radius. Rows without an id cannot be told apart by one and are all kept. Of
+    rows with the same id in one group, one text stays, and one of equal rows.
     """
-    prints = stored(docs.select("doc_id", fingerprint_of("text").alias("fp")), "fingerprints")
-    named = prints.filter("doc_id is not null")
-    keepers = (
-        named.join(grouped(named), "fp")
-        .groupBy("root")
-        .agg(F.min(F.struct("doc_id", "fp")).alias("k"))
-        .select(F.col("k.doc_id").alias("id"), F.col("k.fp").alias("print"))
-    )
-    own = fingerprint_of("text", once=True).alias("print")
+    own = near_copies.digest_of("text").alias("print")
     rows = with_row(docs, F.col("doc_id").alias("id"), own)
     first = Window.partitionBy("id", "print").orderBy("print")
     kept = (
         rows.filter("id is not null")
-        .join(keepers, ["id", "print"])
+        .join(near_copies.keepers(docs), ["id", "print"])
         .withColumn("nth", F.row_number().over(first))
         .filter("nth = 1")
     )
