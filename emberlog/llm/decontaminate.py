@@ -11,8 +11,10 @@ advances the pointer or not by a random bit of the word and the step: texts that
 few edits soon walk in step again, so a small edit distance becomes a small Hamming
 distance. A signature is a sample of the walk's outputs; windows and items that share one
 are candidates. Walks and samples repeat until the chance to miss an item edited up to
-the limit, measured by simulation on the items, is below ``1 - RECALL``; unedited items
-always share all signatures. Candidates are verified by exact edit distance.
+the limit, bounded by simulation on the items, is below ``1 - RECALL``; unedited items
+always share all signatures. Where ``MOST_REPEATS`` do not show that, as with items of
+hundreds of words, no walks are taken: every start that can hold enough of an item's words
+is a candidate. Candidates are verified by exact edit distance.
 
 The items of a slice travel to the workers, and a slice is bounded by ``SLICE_WORDS``;
 larger benchmarks take more slices, each of which is one more expression on the documents.
@@ -42,7 +44,9 @@ RECALL = 0.99
 SAMPLED = 3
 STRETCH = 1.5
 MOST_REPEATS = 64
-TRIALS = 200
+#: Simulated copies per length, and the risk that the recall shown by them is not reached.
+TRIALS = 1000
+RISK = 0.05
 #: A word is rare if at most this many items of a slice have it.
 RARE_ITEMS = 4
 SLICE_WORDS = 200_000
@@ -72,6 +76,16 @@ def limit_of(length: int, similarity: float) -> int:
     return int((1 - similarity) * length + 1e-9)
 
 
+def most_missed(trials: int, miss: float, risk: float) -> int:
+    """Most misses in the trials that show a chance below ``miss``; -1 if none do."""
+    term, total, k = (1 - miss) ** trials, 0.0, 0
+    while total + term <= risk and k < trials and miss > 0:
+        total += term
+        term *= (trials - k) / (k + 1) * miss / (1 - miss)
+        k += 1
+    return k - 1
+
+
 @dataclass
 class Walks:
     """The repeated random walks and samples for windows of one length."""
@@ -141,10 +155,14 @@ class Slice:
         self.find_rare()
         self.walks: dict[int, Walks] = {}
         self.tables: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.all_starts = np.zeros(len(self.items), dtype=bool)
         lengths = np.array([len(i) for i in self.items])
         for length in sorted(set(lengths.tolist())):
             members = np.flatnonzero(lengths == length)
             repeats = self.repeats_for(length, members, recall)
+            if repeats is None:
+                self.all_starts[members] = True
+                continue
             self.walks[length] = Walks.of(length, repeats)
             for rare in (True, False):
                 some = members[(self.needed[members] > 0) == rare]
@@ -177,8 +195,11 @@ class Slice:
             out.append((keys[order], members[order]))
         return out
 
-    def repeats_for(self, length: int, members: np.ndarray, recall: float) -> int:
-        """Repetitions that reach the recall for items with as many edits as allowed."""
+    def repeats_for(self, length: int, members: np.ndarray, recall: float) -> int | None:
+        """Repetitions that reach the recall for items with as many edits as allowed.
+
+        None if ``MOST_REPEATS`` do not.
+        """
         edits = limit_of(length, self.similarity)
         if not edits:
             return 1
@@ -193,13 +214,13 @@ class Slice:
         starts = np.arange(TRIALS) * (length + 1)
         a = self.hashes[np.concatenate(plain)]
         b = self.hashes[np.concatenate(edited).astype(np.int64)]
-        missed = np.ones(TRIALS, dtype=bool)
+        missed, most = np.ones(TRIALS, dtype=bool), most_missed(TRIALS, 1 - recall, RISK)
         for repeat in range(MOST_REPEATS):
             same = walks.signatures(repeat, a, starts) == walks.signatures(repeat, b, starts)
             missed &= ~same
-            if missed.mean() <= 1 - recall:
+            if missed.sum() <= most:
                 return repeat + 1
-        return MOST_REPEATS
+        return None
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
         """The items that each text holds, with the best place of each."""
@@ -214,7 +235,8 @@ class Slice:
             begins.append(at)
             at += len(words) + len(gap)
         codes, begins = np.concatenate(parts), np.array(begins)
-        found = self.candidates(codes)
+        ends = np.append(begins[1:], len(codes)) - len(gap)
+        found = self.candidates(codes, begins, ends)
         if not len(found):
             return out
         texts_of = np.searchsorted(begins, found[:, 1], side="right") - 1
@@ -252,16 +274,25 @@ class Slice:
         place = edit_place(wanted, words)
         return place if place[0] <= reach else None
 
-    def candidates(self, codes: np.ndarray) -> np.ndarray:
-        """Rows of (item, start) whose signatures agree in some repetition."""
+    def candidates(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of (item, start) whose signatures agree in some repetition.
+
+        Of items without signatures, starts that cover all that the item can have.
+        """
         known = np.concatenate([[0], np.cumsum(codes > 0, dtype=np.int32)])
-        begins = self.rare_starts(codes)
+        rare_starts, of_items = self.rare_starts(codes)
         hashes = self.hashes[codes]
         found = [np.zeros((0, 2), dtype=np.int64)]
+        for item in np.flatnonzero(self.all_starts).tolist():
+            starts = of_items.get(item) if self.needed[item] else self.common_starts(item, codes)
+            if starts is not None and len(starts):
+                text = np.searchsorted(begins, starts, side="right") - 1
+                starts = thinned(starts[(text >= 0) & (starts < ends[text])], len(self.items[item]))
+                found.append(np.stack([np.full(len(starts), item), starts], axis=1))
         for (length, rare), tables in self.tables.items():
             walks, need = self.walks[length], length - limit_of(length, self.similarity)
             if rare:
-                starts = begins.get(length, np.zeros(0, dtype=np.int64))
+                starts = rare_starts.get(length, np.zeros(0, dtype=np.int64))
             else:
                 starts = np.flatnonzero(known[length:] - known[:-length] >= need)
             # batches end in a gap longer than any item, so no window reaches past it
@@ -280,9 +311,21 @@ class Slice:
                     found.append(np.stack([which, np.repeat(starts[hit], n)], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
+    def common_starts(self, item: int, codes: np.ndarray) -> np.ndarray:
+        """Starts of stretches with as many of the item's words as it cannot do without."""
+        own = np.zeros(len(self.codes) + 1, dtype=bool)
+        own[self.items[item]] = True
+        length = len(self.items[item])
+        edits = limit_of(length, self.similarity)
+        held = np.concatenate([[0], np.cumsum(own[codes], dtype=np.int64)])
+        ends = np.minimum(np.arange(len(codes)) + length + edits, len(codes))
+        return np.flatnonzero(held[ends] - held[:-1] >= length - edits)
+
+    def rare_starts(self, codes: np.ndarray) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+        """Starts from which an item's rare words can follow.
 
-    def rare_starts(self, codes: np.ndarray) -> dict[int, np.ndarray]:
-        """Per item length, the starts from which an item's rare words can follow."""
+        They are given per item length, and per item for those without signatures.
+        """
         at = np.flatnonzero(codes)
         first, count = self.rare_edges[codes[at]], np.diff(self.rare_edges)[codes[at]]
         at, first, count = at[count > 0], first[count > 0], count[count > 0]
@@ -297,15 +340,32 @@ class Slice:
         able = (self.needed[items] > 0) & (last < len(items))
         able[able] = items[last[able]] == items[able]
         able[able] = places[last[able]] - places[able] < spans[able]
-        out = {}
         k = np.flatnonzero(able)
         lows, highs = places[last[k]] - spans[k] + 1, places[k]
-        for length in np.unique(lengths[k]).tolist():
-            own = lengths[k] == length
-            n = highs[own] - lows[own] + 1
-            step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            out[length] = np.unique(np.repeat(lows[own], n) + step)
-        return out
+        whole = self.all_starts[items[k]]
+
+        def per(keys: np.ndarray, some: np.ndarray) -> dict[int, np.ndarray]:
+            out = {}
+            for key in np.unique(keys[some]).tolist():
+                own = some & (keys == key)
+                n = highs[own] - lows[own] + 1
+                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                out[key] = np.unique(np.repeat(lows[own], n) + step)
+            return out
+
+        return per(lengths[k], ~whole), per(items[k], whole)
+
+
+def thinned(starts: np.ndarray, length: int) -> np.ndarray:
+    """Of ascending starts, those whose verification covers the others.
+
+    Verifying a start looks at all stretches that begin up to ``length`` words after it.
+    """
+    out, at = [], 0
+    while at < len(starts):
+        out.append(int(starts[at]))
+        at = int(np.searchsorted(starts, out[-1] + length, side="right"))
+    return np.array(out, dtype=np.int64)
 
 
 def edited_copy(item: np.ndarray, edits: int, kinds: int, random: np.random.Generator) -> np.ndarray:

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from emberlog.llm import decontaminate as D
 from emberlog.llm.queries import QUERIES
@@ -99,3 +100,33 @@ def test_odd_rows(spark, odd):
     assert D.contaminated(odd.limit(0), items).count() == 0
     assert D.contaminated(odd, items.limit(0)).count() == 0
     assert D.without_contaminated(odd, items.limit(0)).count() == odd.count()
+
+
+def held_of_long_items(kinds, seed):
+    """Items of 300 words edited up to the limit in documents, and how many are found."""
+    rng, random_edits = random.Random(seed), np.random.default_rng(seed)
+    items = [[f"w{rng.randrange(kinds)}" for _ in range(300)] for _ in range(8)]
+    texts, wanted = [], set()
+    for d in range(40):
+        k = rng.randrange(len(items))
+        numbers = D.edited_copy(np.arange(300), D.limit_of(300, 0.8), 0, random_edits)
+        held = [items[k][n] for n in numbers]
+        filler = [[f"x{rng.randrange(99)}" for _ in range(rng.randrange(900))] for _ in range(2)]
+        texts.append(" ".join([*filler[0], *held, *filler[1]]))
+        if best(items[k], texts[-1].split()) <= D.limit_of(300, 0.8):
+            wanted.add((d, k))
+    own = D.Slice([(k, " ".join(i).encode()) for k, i in enumerate(items)], D.SIMILARITY, D.RECALL)
+    found = own.search(pa.array(texts))
+    return own, wanted, {(d, hit["item_id"]) for d, hits in enumerate(found) for hit in hits}
+
+
+def test_long_items_lose_no_edited_copy():
+    own, wanted, found = held_of_long_items(kinds=5000, seed=8)  # with rare words
+    assert (own.needed > 0).all() and len(wanted) > 35 and wanted <= found
+    own, wanted, found = held_of_long_items(kinds=60, seed=9)  # common words alone
+    assert (own.needed == 0).all() and len(wanted) > 35 and wanted <= found
+
+
+def test_misses_that_show_a_recall():
+    assert D.most_missed(1000, 0.01, 0.05) == 4
+    assert D.most_missed(200, 0.01, 0.05) == -1 and D.most_missed(1000, 0, 0.05) == -1
