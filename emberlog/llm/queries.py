@@ -12,11 +12,14 @@ from emberlog.llm import (
     backoff_lm,
     byte_bpe,
     cotraining,
+    cross_tokenizer,
     decontaminate,
+    hard_negatives,
     html_text,
     licences,
     quality_rules,
     simhash,
+    source_mix,
     suffix_dedup,
 )
 from emberlog.llm.ship import ship
@@ -128,3 +131,22 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_html_text")
 def op10_html_text(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.extract(table(spark, folder, "pages"))
+
+
+@query("op11_cross_tokenizer")
+def op11_cross_tokenizer(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    pair = cross_tokenizer.Pair(spark, a, b)
+    return cross_tokenizer.align_documents(table(spark, folder, "documents"), pair)
+
+
+@query("op12_source_mix")
+def op12_source_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return source_mix.mix_documents(table(spark, folder, "documents"))
+
+
+@query("op13_hard_negatives")
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, folder, "embeddings"))
