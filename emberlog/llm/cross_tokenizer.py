@@ -41,10 +41,14 @@ from emberlog.llm.batches import release_memory, struct_type, utf8
 from emberlog.llm.byte_bpe import byte_characters
 from emberlog.llm.store import stored
 
-#: Distinct units whose alignment a worker keeps, and the longest one kept.
-CACHE = 200_000
+#: Distinct units of a generation; a worker keeps two, so frequent ones stay.
+CACHE = 150_000
 CACHED_LENGTH = 64
 
+#: Characters of texts that are worked on together, and units encoded at once.
+TOGETHER = 1_000_000
+ENCODED = 4000
+
 #: Links after which a task starts a new chunk: 8 MB of links.
 CHUNK_LINKS = 2_000_000
 
@@ -78,7 +82,7 @@ MEASURES = [
 ]
 
 Tokens = list[tuple[int, int]]
-#: Tokens of A and of B, groups as text, and links as packed pairs.
+#: Tokens of A and of B, groups as text, each ended by ";", and links as packed pairs.
 Unit = tuple[int, int, str, bytes]
 NOTHING: Unit = (0, 0, "", b"")
 
@@ -121,7 +125,14 @@ class Aligner:
         if any(PIECE_SPACE in piece.lstrip(PIECE_SPACE) for piece in pieces):
             raise ValueError("a piece goes on after a space")
         self.space = self.b.piece_to_id(PIECE_SPACE)
+        self.a_sizes = np.zeros(max(self.a_bytes) + 1, dtype=np.int64)
+        for i, piece in self.a_bytes.items():
+            self.a_sizes[i] = len(piece)
+        self.b_sizes = np.array([len(piece) for piece in self.b_bytes])
+        #: Each id as written before an id of the same side, before the other side, and last.
+        self.written = [f"{i}{end}" for i in range(len(self.a_sizes)) for end in ",|;"]
         self.known: dict[str, Unit | None] = {}
+        self.former: dict[str, Unit | None] = {}
 
     @staticmethod
     def bytes_of_piece(piece: str) -> bytes:
@@ -144,39 +155,76 @@ class Aligner:
         if b"".join([self.b_bytes[i] for i, _ in b]) != own:
             return None
         found = list(groups_of(a, b))
-        written = ";".join(
-            [",".join(map(str, left)) + "|" + ",".join(map(str, right)) for left, right in found]
-        )
+        written = [
+            ",".join(map(str, left)) + "|" + ",".join(map(str, right)) + ";" for left, right in found
+        ]
         links = np.array([left[-1] * B_IDS + right[-1] for left, right in found], dtype="<i4")
-        return len(a), len(b), written, links.tobytes()
+        return len(a), len(b), "".join(written), links.tobytes()
+
+    def encoded(self, units: list[str]) -> list[Unit] | None:
+        """The alignments of units that end in no white space; None if any bytes differ."""
+        whole = " " + " ".join(units)
+        a = np.array(self.a.encode(whole, add_special_tokens=False).ids)
+        lists = self.b.encode(units, num_threads=1)
+        b = np.array([i for ids in lists for i in ids])
+        raw = whole.encode()
+        if b"".join([self.a_bytes[i] for i in a.tolist()]) != raw:
+            return None
+        if b"".join([self.b_bytes[i] for i in b.tolist()]) != raw:
+            return None
+        a_ends, b_ends = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.cumsum([len(unit.encode()) + 1 for unit in units])
+        if not (np.isin(ends, a_ends).all() and np.isin(ends, b_ends).all()):
+            return None
+        common, last_a, last_b = np.intersect1d(a_ends, b_ends, assume_unique=True, return_indices=True)
+        # each token's group, and how it is written: 0 goes on, 1 ends A's side, 2 ends the group
+        groups = np.concatenate([np.searchsorted(common, a_ends) * 2, np.searchsorted(common, b_ends) * 2 + 1])
+        codes = np.concatenate([a, b]) * 3
+        codes[last_a] += 1
+        codes[len(a) + last_b] += 2
+        codes = codes[np.argsort(groups, kind="stable")].tolist()
+        written = [self.written[code] for code in codes]
+        links = (a[last_a] * B_IDS + b[last_b]).astype("<i4").tobytes()
+        upto = [np.searchsorted(e, ends, side="right") for e in (a_ends, b_ends, common)]
+        n_a, n_b, n_groups = [np.diff(u, prepend=0).tolist() for u in upto]
+        out, at, link = [], 0, 0
+        for left, right, size in zip(n_a, n_b, n_groups):
+            to = at + left + right
+            out.append((left, right, "".join(written[at:to]), links[link : link + 4 * size]))
+            at, link = to, link + 4 * size
+        return out
 
-    def units(self, text: str) -> list[Unit] | None:
-        """The alignment of a text's units in order; None if the bytes differ."""
+    def learn(self, units: set[str]) -> None:
+        """Put the alignments of the units among the known ones."""
+        if len(self.known) >= CACHE:
+            self.known, self.former = {}, self.known
+        new = units - self.known.keys()
+        self.known.update({unit: self.former[unit] for unit in new & self.former.keys()})
+        new = sorted(new - self.former.keys())
+        inside = [unit for unit in new if unit and not unit[-1].isspace()]
+        for at in range(0, len(inside), ENCODED):
+            part = inside[at : at + ENCODED]
+            self.known.update(zip(part, self.encoded(part) or map(self.unit, part)))
+        self.known.update({unit: self.unit(unit) for unit in new if not unit or unit[-1].isspace()})
+
+    def align(self, raws: list[bytes]) -> list[Unit]:
+        """The alignments of whole texts."""
+        texts = [raw.decode("utf-8", "replace") for raw in raws]
+        parts = [UNITS.split(text) if text else [] for text in texts]
+        self.learn(set().union(*parts))
         known, out = self.known, []
-        for part in UNITS.split(text):
-            found = known.get(part, NOTHING)
-            if found is NOTHING:
-                found = self.unit(part)
-                if len(part) <= CACHED_LENGTH:
-                    if len(known) >= CACHE:
-                        known.clear()
-                    known[part] = found
-            if found is None:
-                return None
-            out.append(found)
+        for raw, text, units in zip(raws, texts, parts):
+            found = [known[unit] for unit in units]
+            if not raw or None in found or "\ufffd" in text and text.encode() != raw:
+                out.append(NOTHING)
+                continue
+            a, b, written, links = zip(*found)
+            out.append((sum(a), sum(b), "".join(written)[:-1], b"".join(links)))
+        for unit in set().union(*parts):
+            if len(unit) > CACHED_LENGTH:
+                del known[unit]
         return out
 
-    def align(self, raw: bytes) -> Unit:
-        """The alignment of a whole text."""
-        text = raw.decode("utf-8", "replace")
-        if not raw or "�" in text and text.encode() != raw:
-            return NOTHING
-        found = self.units(text)
-        if found is None:
-            return NOTHING
-        a, b, written, links = zip(*found)
-        return sum(a), sum(b), ";".join(written), b"".join(links)
-
 
 @lru_cache(maxsize=2)
 def aligner(a_json: str, b_model: bytes) -> Aligner:
@@ -192,6 +240,18 @@ class Pair:
         self.files: Broadcast[tuple[str, bytes]] = spark.sparkContext.broadcast(files)
 
 
+def aligned(own: Aligner, raws: list[bytes]) -> Iterator[Unit]:
+    """The alignments of texts, some of bounded size together."""
+    part, size = [], 0
+    for raw in raws:
+        part.append(raw)
+        size += len(raw)
+        if size >= TOGETHER:
+            yield from own.align(part)
+            part, size = [], 0
+    yield from own.align(part)
+
+
 def batch(rows: list[dict]) -> pa.RecordBatch:
     from emberlog.llm.batches import KINDS
 
@@ -221,10 +281,10 @@ def aligned_texts(docs: DataFrame, pair: Pair) -> DataFrame:
         first = TaskContext.get().partitionId() << 32
         chunk, size, links, copies = first, 0, [], []
         for part in batches:
+            texts = list(utf8(part["text"]))
+            known = zip(part["copies"].to_pylist(), part["key"].to_pylist(), aligned(own, texts))
             rows = []
-            columns = zip(utf8(part["text"]), part["copies"].to_pylist(), part["key"].to_pylist())
-            for text, n, key in columns:
-                n_a, n_b, written, found = own.align(text)
+            for n, key, (n_a, n_b, written, found) in known:
                 row = {"chunk": chunk, "key": key, "n_a": n_a, "n_b": n_b, "links": found}
                 digest = hashlib.sha256(written.encode()).hexdigest() if n_a else ""
                 rows.append(row | {"groups_sha256": digest})
