@@ -20,6 +20,8 @@ FIELD_NAME = "[a-zA-Z_][a-zA-Z0-9._-]*"
 
 Scalar = int | float | Decimal | str
 
+_LONG_WHOLE = r"^DECIMAL\((19|2\d|3\d),0\)$"
+
 
 def json_path(key: str) -> str:
     """JSON path of a flat key; raises ``ValueError`` on a bad field name."""
@@ -34,9 +36,27 @@ def field_text(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     if found := cols.promoted.get(key):
         column = F.col(found.column)
         return column if found.kind == "text" else column.cast("string")
+    if cols.shredded:
+        return variant_text(field_json(key, cols))
     return F.get_json_object(F.col(cols.doc), path)
 
 
+def variant_text(value: Column) -> Column:
+    """Text of a VARIANT as the document has it.
+
+    A VARIANT drops the zeros that end a fraction, so a fraction is printed as a double,
+    as the document's getter prints it; a DECIMAL of 19 digits or more without a fraction
+    is a long whole number. Three rare forms print otherwise than there: whole numbers of
+    more than 38 digits and those beyond doubles as doubles, ``-0.0`` without its sign, and
+    fractions inside arrays and objects in their shortest form.
+    """
+    kind = F.schema_of_variant(value)
+    fraction = kind.startswith("DECIMAL") & ~kind.rlike(_LONG_WHOLE)
+    return F.when(fraction, F.try_variant_get(value, "$", "double").cast("string")).otherwise(
+        F.try_variant_get(value, "$", "string")
+    )
+
+
 def field_json(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
     """Field as VARIANT: NULL when absent, variant null for a JSON null."""
     path = json_path(key)

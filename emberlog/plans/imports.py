@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from emberlog.functions.buckets import PERIODS, partition_name, period_ceiling, period_floor
@@ -20,10 +21,11 @@ from emberlog.operators.partitions import partition_bounds, with_partitions
 from emberlog.operators.postings import build_postings, lookup
 from emberlog.plans.base import query
 from emberlog.schema import FACILITIES, SEVERITIES, LogColumns
+from emberlog.sources.committed import log_table
 from emberlog.sources.jsonlines import read_json_lines
 from emberlog.sources.logtable import read_logs, write_logs
 from emberlog.sources.views import raw_lines_from_events
-from emberlog.streaming.importer import start_import
+from emberlog.streaming.importer import start_committed_import, start_import
 
 
 def _case(code: str, names: dict[str, str]) -> str:
@@ -531,3 +533,36 @@ def import_stream(t):
         trigger={"availableNow": True},
     ).awaitTermination()
     return read_logs(t.spark, f"{folder}/logs", ["month", "day"]).select("id", "tstamp", "doc")
+
+
+@query("import_replayed", f"""
+  select event_id as id, ts as tstamp, {_DOC} as doc from events where user_id % 9 <> 8
+""")
+def import_replayed(t):
+    """The raw lines as a stream into a committed table. The first run stops between the
+    write and the commit of a batch, the second repeats the batch, the third finds nothing."""
+    folder = t.work_folder()
+
+    def follow(before_commit=None):
+        lines = t.spark.readStream.schema(t.events.schema).option(
+            "pathGlobFilter", "events.parquet"
+        ).parquet(t.folder)
+        start_committed_import(
+            raw_lines_from_events(lines),
+            f"{folder}/logs",
+            f"{folder}/quarantine",
+            f"{folder}/checkpoint",
+            levels=["month", "day"],
+            trigger={"availableNow": True},
+            before_commit=before_commit,
+        ).awaitTermination()
+
+    def stop():
+        raise InterruptedError("between write and commit")
+
+    try:
+        follow(stop)
+    except StreamingQueryException:
+        follow()
+    follow()
+    return log_table(t.spark, f"{folder}/logs", ["month", "day"]).read().select("id", "tstamp", "doc")

@@ -19,6 +19,8 @@ from emberlog.operators.responses import (
 from emberlog.operators.timerange import time_range
 from emberlog.plans.base import LOGS_SQL, WORDS_SQL, query
 from emberlog.plans.histograms import END, START
+from emberlog.schema import SHREDDED_COLUMNS
+from emberlog.sources.committed import log_table
 from emberlog.sources.logtable import as_logs, read_logs, stream_logs, write_logs
 from emberlog.sources.views import EVENT_COLUMNS
 from emberlog.streaming.tail import start_tail, tail_lines
@@ -304,3 +306,49 @@ def stored_range(t):
         "2024-01-20T18:00:00",
     )
     return rows.select("id", "tstamp", field_number("vars.k").alias("k"))
+
+
+def _stored(t):
+    """The logs in a stored table whose documents are shredded."""
+    folder = t.work_folder()
+    logs = t.logs.withColumn("tstamp", F.col("tstamp").cast("timestamp"))
+    write_logs(logs, folder, ["month"], promoted=())
+    return read_logs(t.spark, folder, ["month"], promoted=())
+
+
+@query("stored_eq", f"""
+  select id, tstamp from {LOGS_SQL} where k = 42 or event_type = 'click' and user_id = 7
+""")
+def stored_eq(t):
+    """Equality on fields of a stored table; reads a column per field, no documents."""
+    hit = P.eq("vars.k", 42, SHREDDED_COLUMNS) | (
+        P.eq("event_type", "click", SHREDDED_COLUMNS) & P.eq("user_id", 7.0, SHREDDED_COLUMNS)
+    )
+    return _stored(t).where(hit).select("id", "tstamp")
+
+
+@query("stored_compare", f"""
+  select id, tstamp from {LOGS_SQL}
+  where k >= 90 and value < 50.5 and event_type like 'p%' or k in (3, 5) and event_type <> 'view'
+""")
+def stored_compare(t):
+    """Comparisons, LIKE and membership on fields of a stored table."""
+    cols = SHREDDED_COLUMNS
+    first = P.ge("vars.k", 90, cols=cols) & P.lt("value", 50.5, "double", cols)
+    other = P.in_list("vars.k", [3, 5], cols) & ~P.eq("event_type", "view", cols)
+    return _stored(t).where(first & P.like("event_type", "p%", cols) | other).select("id", "tstamp")
+
+
+@query("compacted_range", f"""
+  select id, tstamp, k from {LOGS_SQL}
+  where tstamp between timestamp '2024-01-10 06:00:00' and timestamp '2024-01-20 18:00:00'
+""")
+def compacted_range(t):
+    """A range of a table that was stored in several commits and then compacted."""
+    table = log_table(t.spark, t.work_folder(), ["month", "day"], promoted=())
+    logs = t.logs.withColumn("tstamp", F.col("tstamp").cast("timestamp"))
+    for part in range(4):
+        table.append(logs.where(F.pmod("id", F.lit(4)) == part))
+    table.compact()
+    rows = time_range(table.read(), "2024-01-10T06:00:00", "2024-01-20T18:00:00")
+    return rows.select("id", "tstamp", field_number("vars.k", cols=SHREDDED_COLUMNS).alias("k"))

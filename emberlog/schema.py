@@ -121,6 +121,10 @@ class LogColumns:
     ``promoted`` maps field names to columns that hold the same values. Getters
     and predicates on these fields then work on the columns, so that scans read
     only them and filters reach the Parquet reader.
+
+    ``shredded`` tells that ``doc_v`` is stored with a column per frequent key. Getters
+    then take text and numbers from it as well and never from ``doc``, so a scan reads
+    the one key and not the documents.
     """
 
     id: str = "id"
@@ -129,6 +133,7 @@ class LogColumns:
     doc_v: str = "doc_v"
     search: str = "search"
     promoted: Mapping[str, Promoted] = field(default_factory=dict)
+    shredded: bool = False
 
     def promote(self, **columns: str) -> LogColumns:
         """Add string columns, given as ``field="column"``."""
@@ -142,5 +147,8 @@ class LogColumns:
 
 LOG_COLUMNS = LogColumns()
 
-# Columns of a stored log table with the default promoted fields.
-STORED_COLUMNS = LOG_COLUMNS.promote(**{name: name for name in DEFAULT_PROMOTED})
+# Columns of a stored log table, without and with the default promoted fields.
+SHREDDED_COLUMNS = replace(LOG_COLUMNS, shredded=True)
+STORED_COLUMNS = SHREDDED_COLUMNS.promote(
+    **{name: name for name in DEFAULT_PROMOTED}
+)

@@ -5,11 +5,22 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
+_SHREDDING = (
+    "writeShredding.enabled",
+    "inferShreddingSchema",
+    "allowReadingShredded",
+    "pushVariantIntoScan",
+)
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Set what results depend on; sizing is left to the cluster."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     # of a key given twice in an object the last value counts
     spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    # stored documents get a typed column per frequent key, and scans read only those used
+    for name in _SHREDDING:
+        spark.conf.set(f"spark.sql.variant.{name}", "true")
     return spark
 
 
