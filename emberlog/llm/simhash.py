@@ -164,8 +164,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, with all its columns: that of the smallest id.
 
-    Near copies are texts of five-word Jaccard similarity 0.8 (``near_copies.py``), not those
-    within op7's radius. Rows without an id cannot be told apart by one and are all kept. Of
+    Near copies are texts of five-word Jaccard similarity 0.8 (``near_copies.py``): this
+    module's grid over five-word fingerprints, and MinHash bands beyond its radius, propose
+    them, and the exact similarity decides. Rows without an id cannot be told apart by one and are all kept. Of
     rows with the same id in one group, one text stays, and one of equal rows.
     """
     own = near_copies.digest_of("text").alias("print")
@@ -173,7 +174,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     first = Window.partitionBy("id", "print").orderBy("print")
     kept = (
         rows.filter("id is not null")
-        .join(near_copies.keepers(docs), ["id", "print"])
+        .join(near_copies.keepers(docs, links), ["id", "print"])
         .withColumn("nth", F.row_number().over(first))
         .filter("nth = 1")
     )

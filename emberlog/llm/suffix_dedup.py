@@ -1,8 +1,11 @@
 """Exact removal of repeated passages with per-shard suffix arrays.
 
-A byte is removed if a string of ``LENGTH`` bytes that covers it starts anywhere else.
+A symbol is removed if a string of ``length`` symbols that covers it starts anywhere else.
+Symbols are the bytes of a text with strings of 400 (op8), or its words, as 64-bit hashes,
+with strings of 51 (the pipeline's stage, for passages of over 50 words: 400 bytes are 65
+words on average, so byte strings of that length miss more than half of these).
 
-1. Anchors. For each possible start the least hash of the ``ANCHOR``-byte strings inside
+1. Anchors. For each possible start the least hash of the ``anchor``-symbol strings inside
    its window is the start's anchor. Equal windows have equal anchors, so a start whose
    anchor stands only once in the corpus cannot be repeated. Anchors are counted over all
    blocks, and starts with an anchor that stands twice or more are candidates; this
@@ -11,7 +14,7 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it starts anywhere
    regions by prefix doubling that re-sorts only unsettled groups (Larsson and Sadakane)
    and takes the common prefixes of neighbours by Kasai's rule: it compares only where
    the character before differs and carries the rest over. Starts whose neighbours share
-   ``LENGTH`` bytes form one group, a single start a group of its own.
+   ``length`` symbols form one group, a single start a group of its own.
 3. Merge. Shards send one digest per group, with its number of starts, in sorted runs;
    buckets merge the runs by binary search and send the totals back. A start whose
    string stands twice or more in all shards together is repeated.
@@ -21,7 +24,7 @@ texts and long groups of copies need no special way: work is linear in the shard
 are of bounded size, and what is sent per shard is at most one digest per distinct string.
 Strings are told apart by 64-bit digests within buckets chosen by a second hash.
 
-A null text is empty. Texts shorter than ``LENGTH`` lose nothing. A repeated row is text
+A null text is empty. Texts shorter than ``length`` lose nothing. A repeated row is text
 that stands elsewhere, whatever its id. An empty table gives an empty result.
 """
 
@@ -51,11 +54,21 @@ from emberlog.llm.blocks import (
     with_answers,
 )
 
-LENGTH = 400
-ANCHOR = 200
 BLOCK_BYTES = 8 << 20
 
-#: Bytes hashed at once; positions inside must fit the low bits of an anchor's rank.
+@dataclass(frozen=True)
+class Shape:
+    """Symbols of a repeated string and of its anchor, and whether they are words."""
+
+    length: int
+    anchor: int
+    words: bool = False
+
+
+BYTES = Shape(400, 200)
+WORDS = Shape(51, 25, words=True)
+
+#: Symbols hashed at once; positions inside must fit the low bits of an anchor's rank.
 CHUNK = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
 
@@ -86,7 +99,7 @@ POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 def power_table(factor: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a factor and of its inverse, for positions of a chunk."""
     if factor not in POWERS:
-        size = 2 * CHUNK + LENGTH
+        size = 2 * CHUNK + BYTES.length
         POWERS[factor] = powers(factor, size), powers(pow(factor, -1, 1 << 64), size)
     return POWERS[factor]
 
@@ -129,37 +142,98 @@ class Chunk:
     anchors: np.ndarray  # hash of each start's anchor
 
 
-def chunks(texts: list[bytes]) -> Iterator[Chunk]:
-    """The texts of ``LENGTH`` bytes or more, in chunks; long texts are cut between starts."""
+def chunks(texts: list[np.ndarray], shape: Shape) -> Iterator[Chunk]:
+    """The texts of ``length`` symbols or more, in chunks; long ones are cut between starts."""
     waiting, held = [], 0
     for number, text in enumerate(texts):
-        for at in range(0, max(len(text) - LENGTH + 1, 0), CHUNK):
-            piece = text[at : at + CHUNK + LENGTH - 1]
+        for at in range(0, max(len(text) - shape.length + 1, 0), CHUNK):
+            piece = text[at : at + CHUNK + shape.length - 1]
             if held and held + len(piece) > CHUNK:
-                yield chunk_of(waiting)
+                yield chunk_of(waiting, shape)
                 waiting, held = [], 0
             waiting.append((number, at, piece))
             held += len(piece)
     if waiting:
-        yield chunk_of(waiting)
+        yield chunk_of(waiting, shape)
 
 
-def chunk_of(pieces: list[tuple[int, int, bytes]]) -> Chunk:
-    data = np.frombuffer(b"".join(p for _, _, p in pieces), dtype=np.uint8)
+def chunk_of(pieces: list[tuple[int, int, np.ndarray]], shape: Shape) -> Chunk:
+    data = np.concatenate([p for _, _, p in pieces])
     sizes = np.array([len(p) for _, _, p in pieces])
     begins = np.cumsum(sizes) - sizes
-    able = sizes - LENGTH + 1
+    able = sizes - shape.length + 1
     within = np.arange(able.sum()) - np.repeat(np.cumsum(able) - able, able)
     starts = np.repeat(begins, able) + within
-    hashes = mix(string_hashes(sums(data, FACTORS[0]), ANCHOR, FACTORS[0]))
+    hashes = mix(string_hashes(sums(data, FACTORS[0]), shape.anchor, FACTORS[0]))
     # the place in the low bits: of equal hashes the leftmost is the anchor
     ranks = (hashes & ~PLACE) | np.arange(len(hashes), dtype=np.uint64)
-    places = (window_least(ranks, LENGTH - ANCHOR + 1)[starts] & PLACE).astype(np.int64)
+    least = window_least(ranks, shape.length - shape.anchor + 1)
+    places = (least[starts] & PLACE).astype(np.int64)
     numbers = np.repeat([n for n, _, _ in pieces], able)
     offsets = np.repeat([at for _, at, _ in pieces], able) + within
     return Chunk(data, starts, numbers, offsets, places, hashes[places])
 
 
+# -- words -----------------------------------------------------------------------------
+
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+#: Bytes of a text whose words are hashed at once, if a space ends them there.
+STRIPE = 1 << 22
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each word, cut at ASCII white space."""
+    inside = np.zeros(len(text) + 2, dtype=np.int8)
+    inside[1:-1] = ~SPACE[np.frombuffer(text, np.uint8)]
+    turns = np.diff(inside)
+    return np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A hash of each word of a text, whatever stands around it."""
+    parts, at = [], 0
+    while at < len(text):
+        to = at + STRIPE
+        while to < len(text) and not SPACE[text[to]]:
+            to += 1
+        parts.append(stripe_hashes(text[at:to]))
+        at = to
+    return np.concatenate([np.zeros(0, np.uint64), *parts])
+
+
+def stripe_hashes(text: bytes) -> np.ndarray:
+    begins, ends = word_bounds(text)
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    sizes = ends - begins
+    data = np.frombuffer(text, np.uint8)
+    data = data[~SPACE[data]].astype(np.uint64) + np.uint64(1)
+    firsts = np.cumsum(sizes) - sizes
+    within = np.arange(len(data)) - np.repeat(firsts, sizes)
+    if int(sizes.max()) <= 2 * CHUNK:
+        factors = power_table(FACTORS[1])[0][within]
+    else:
+        factors = powers(FACTORS[1], int(sizes.max()))[within]
+    return mix(np.add.reduceat(data * factors, firsts) ^ mix(sizes.astype(np.uint64)))
+
+
+def symbols(texts: list[bytes], shape: Shape) -> list[np.ndarray]:
+    return [word_hashes(t) if shape.words else np.frombuffer(t, np.uint8) for t in texts]
+
+
+def byte_spans(text: bytes, spans: np.ndarray) -> np.ndarray:
+    """Spans of words as spans of bytes."""
+    if not len(spans):
+        return spans
+    begins, ends = word_bounds(text)
+    return np.stack([begins[spans[:, 0]], ends[spans[:, 1] - 1]], axis=1)
+
+
+# -- candidates ------------------------------------------------------------------------
+
+
 def distinct_texts(column: pa.ChunkedArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct texts, how often each stands, and the text of each row."""
     number: dict[bytes, int] = {}
@@ -174,20 +248,22 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return known, np.bincount(at, weights=counts, minlength=len(known)).astype(np.int64)
 
 
-def anchor_counts(texts: list[bytes], copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def anchor_counts(
+    texts: list[np.ndarray], copies: np.ndarray, shape: Shape
+) -> tuple[np.ndarray, np.ndarray]:
     """Anchors of a shard and the number of places each stands at."""
     keys, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for chunk in chunks(texts):
+    for chunk in chunks(texts, shape):
         new = np.flatnonzero(np.diff(chunk.places, prepend=-1) != 0)
         keys.append(chunk.anchors[new])
         counts.append(copies[chunk.texts[new]])
     return summed(np.concatenate(keys), np.concatenate(counts))
 
 
-def count_anchors(buckets: int):
+def count_anchors(buckets: int, shape: Shape):
     def run(block: int, rows: pa.Table) -> pa.Table:
         texts, copies, _ = distinct_texts(rows["text"])
-        keys, counts = anchor_counts(texts, copies)
+        keys, counts = anchor_counts(symbols(texts, shape), copies, shape)
         return table_of(packed(block, ANCHORS, keys, spread(keys), counts, buckets), PACKED)
 
     return run
@@ -211,28 +287,30 @@ class Candidates:
     spread: np.ndarray
 
 
-def candidates(texts: list[bytes], answers: pa.Table, buckets: int) -> Candidates:
+def candidates(
+    texts: list[np.ndarray], answers: pa.Table, buckets: int, shape: Shape
+) -> Candidates:
     """Starts whose anchor stands twice or more in the corpus."""
-    parts = list(chunks_anchors(texts))
+    parts = list(chunks_anchors(texts, shape))
     keys = np.unique(np.concatenate([np.zeros(0, np.uint64), *(a for a in parts)]))
     repeated = keys[answered(answers, ANCHORS, spread(keys), buckets) > 1]
     found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2]
     if len(repeated):
-        for chunk in chunks(texts):
+        for chunk in chunks(texts, shape):
             new = np.diff(chunk.places, prepend=-1) != 0
             known = is_in(chunk.anchors[new], repeated)
             chosen = known[np.cumsum(new) - 1]
             at = chunk.starts[chosen]
             digests = [
-                string_hashes(sums(chunk.data, factor), LENGTH, factor, at) for factor in FACTORS
+                string_hashes(sums(chunk.data, factor), shape.length, factor, at) for factor in FACTORS
             ]
             first, other = mix(digests[0]), mix(digests[1])
             found.append((chunk.texts[chosen], chunk.offsets[chosen], first ^ other, other))
     return Candidates(*(np.concatenate(x) for x in zip(*found)))
 
 
-def chunks_anchors(texts: list[bytes]) -> Iterator[np.ndarray]:
-    for chunk in chunks(texts):
+def chunks_anchors(texts: list[np.ndarray], shape: Shape) -> Iterator[np.ndarray]:
+    for chunk in chunks(texts, shape):
         yield chunk.anchors[np.diff(chunk.places, prepend=-1) != 0]
 
 
@@ -247,25 +325,30 @@ def is_in(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 def suffix_array(data: np.ndarray, left: np.ndarray) -> np.ndarray:
     """Suffixes of regions in order; ``left`` is the number of bytes to each region's end.
 
-    The byte at a region's end (``left`` 0) is a separator that equals nothing. Suffixes
-    are ranked by their first eight bytes, then by twice as many a round; a round sorts
+    The symbol at a region's end (``left`` 0) is a separator that equals nothing. Suffixes
+    are ranked by their first eight bytes or first word, then by twice as many a round; a round sorts
     only suffixes that still share a rank.
     """
     n = len(data)
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
-    keys = np.ndarray((n,), dtype=">u8", buffer=padded.tobytes(), strides=(1,)).astype(np.uint64)
-    # what follows a separator must not count: shorter suffixes keep only their own bytes
-    short = np.flatnonzero(left < 8)
-    keys[short] &= ~((np.uint64(1) << (np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64)))) - np.uint64(1)) if len(short) else np.uint64(0)
+    width = 8 if data.dtype == np.uint8 else 1
+    if width == 1:
+        keys = data.copy()
+    else:
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        keys = np.ndarray((n,), dtype=">u8", buffer=padded.tobytes(), strides=(1,)).astype(np.uint64)
+        # what follows a separator must not count: shorter suffixes keep only their own bytes
+        short = np.flatnonzero(left < 8)
+        missing = np.uint64(8) * (np.uint64(8) - left[short].astype(np.uint64))
+        keys[short] &= ~((np.uint64(1) << missing) - np.uint64(1))
     keys[left == 0] = np.uint64(0)
-    order = np.lexsort((np.where(left < 8, np.arange(n), -1), keys)).astype(np.int32)
+    order = np.lexsort((np.where(left < width, np.arange(n), -1), keys)).astype(np.int32)
     sorted_keys = keys[order]
     new = np.ones(n, dtype=bool)
-    new[1:] = (sorted_keys[1:] != sorted_keys[:-1]) | (left[order][1:] < 8) | (left[order][:-1] < 8)
+    new[1:] = sorted_keys[1:] != sorted_keys[:-1]
+    new[1:] |= (left[order][1:] < width) | (left[order][:-1] < width)
     del keys, sorted_keys
     rank = np.empty(n, dtype=np.int32)
     rank[order] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
-    width = 8
     slots = unsettled(new)
     while len(slots):
         suffix = order[slots]
@@ -293,8 +376,8 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray) -> np
     """Common prefix of each suffix with the one before it in order, by text place.
 
     Where the characters before the two suffixes are equal, the value is one less than
-    that of the place before (Kasai); only the other places are compared, eight bytes a
-    step.
+    that of the place before (Kasai); only the other places are compared, eight bytes or
+    one word a step.
     """
     n = len(data)
     before = np.full(n, -1, dtype=np.int32)
@@ -308,46 +391,52 @@ def common_prefixes(data: np.ndarray, left: np.ndarray, order: np.ndarray) -> np
     todo = np.flatnonzero(~carried & (before >= 0))
     length = np.zeros(len(todo), dtype=np.int32)
     most = np.minimum(left[todo], left[before[todo]])
-    padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)]).tobytes()
-    words = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(1,))
+    width = 8 if data.dtype == np.uint8 else 1
+    padded = np.concatenate([data, np.zeros(8, dtype=data.dtype)]).tobytes()
+    units = np.ndarray((n,), dtype="<u8", buffer=padded, strides=(data.itemsize,))
     live = np.arange(len(todo))
     while len(live):
         a, b = todo[live] + length[live], before[todo[live]] + length[live]
-        differ = words[np.minimum(a, n - 1)] ^ words[np.minimum(b, n - 1)]
+        differ = units[np.minimum(a, n - 1)] ^ units[np.minimum(b, n - 1)]
         low = differ & (~differ + np.uint64(1))
-        equal = np.where(differ == 0, 8, np.floor(np.log2(np.maximum(low, 1))).astype(np.int32) // 8)
-        length[live] += equal.astype(np.int32)
-        live = live[(equal == 8) & (length[live] < most[live])]
+        bits = np.floor(np.log2(np.maximum(low, 1))).astype(np.int32)
+        equal = np.where(differ == 0, width, bits // 8 if width == 8 else 0).astype(np.int32)
+        length[live] += equal
+        live = live[(equal == width) & (length[live] < most[live])]
     values[todo] = np.minimum(length, most)
     falling = np.where(carried, np.iinfo(np.int32).min, values + place)
     return np.maximum.accumulate(falling) - place
 
 
-def regions(texts: list[bytes], found: Candidates) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidate regions one after the other: bytes, bytes left, and each start's place."""
+def regions(
+    texts: list[np.ndarray], found: Candidates, shape: Shape
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate regions one after the other: symbols, symbols left, and each start's place."""
     if not len(found.offsets):
         return np.zeros(0, np.uint8), np.zeros(0, np.int32), np.zeros(0, np.int64)
     breaks = np.flatnonzero((np.diff(found.texts) != 0) | (np.diff(found.offsets) != 1)) + 1
     firsts = np.concatenate([[0], breaks])
     lasts = np.concatenate([breaks, [len(found.offsets)]]) - 1
     parts = [
-        texts[t][a : b + LENGTH] + b"\0"
+        np.append(texts[t][a : b + shape.length], texts[t].dtype.type(0))
         for t, a, b in zip(
             found.texts[firsts].tolist(), found.offsets[firsts].tolist(), found.offsets[lasts].tolist()
         )
     ]
     sizes = np.array([len(p) for p in parts])
     begins = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    data = np.concatenate(parts)
     left = (np.repeat(begins + sizes - 1, sizes) - np.arange(len(data))).astype(np.int32)
     runs = lasts - firsts + 1
     places = np.repeat(begins, runs) + np.arange(len(found.offsets)) - np.repeat(firsts, runs)
     return data, left, places
 
 
-def string_groups(texts: list[bytes], copies: np.ndarray, found: Candidates) -> tuple[np.ndarray, np.ndarray]:
+def string_groups(
+    texts: list[np.ndarray], copies: np.ndarray, found: Candidates, shape: Shape
+) -> tuple[np.ndarray, np.ndarray]:
     """A start for each distinct candidate string of the shard, and how often it stands."""
-    data, left, places = regions(texts, found)
+    data, left, places = regions(texts, found, shape)
     if not len(places):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = suffix_array(data, left)
@@ -357,19 +446,20 @@ def string_groups(texts: list[bytes], copies: np.ndarray, found: Candidates) ->
     number = start[order]
     is_start = number >= 0
     # suffixes between two starts of a group share the prefix as well, so are starts too
-    group = np.cumsum((shared < LENGTH) | ~is_start)[is_start]
+    group = np.cumsum((shared < shape.length) | ~is_start)[is_start]
     number = number[is_start]
     first = np.flatnonzero(np.diff(group, prepend=-1) != 0)
     return number[first], np.add.reduceat(copies[found.texts[number]], first)
 
 
-def count_strings(buckets: int):
+def count_strings(buckets: int, shape: Shape):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             return table_of([], PACKED)
         texts, copies, _ = distinct_texts(rows["text"])
-        found = candidates(texts, answers, buckets)
-        first, counts = string_groups(texts, copies, found)
+        texts = symbols(texts, shape)
+        found = candidates(texts, answers, buckets, shape)
+        first, counts = string_groups(texts, copies, found, shape)
         order = np.argsort(found.digests[first])
         digests, counts, other = found.digests[first][order], counts[order], found.spread[first][order]
         # equal digests of different strings, should they occur, count as one
@@ -381,18 +471,22 @@ def count_strings(buckets: int):
     return run
 
 
-def repeated_spans(texts: list[bytes], answers: pa.Table, buckets: int) -> list[np.ndarray]:
-    """Per text the removed runs, as rows of begin and end."""
-    found = candidates(texts, answers, buckets)
+def repeated_spans(
+    texts: list[bytes], answers: pa.Table, buckets: int, shape: Shape
+) -> list[np.ndarray]:
+    """Per text the removed runs of symbols, as rows of begin and end."""
+    found = candidates(symbols(texts, shape), answers, buckets, shape)
     digests, first, at = np.unique(found.digests, return_index=True, return_inverse=True)
     totals = answered(answers, STRINGS, found.spread[first], buckets)
     twice = totals[at] > 1
     numbers, offsets = found.texts[twice], found.offsets[twice]
     fresh = np.ones(len(offsets), dtype=bool)
-    fresh[1:] = (np.diff(numbers) != 0) | (offsets[1:] > offsets[:-1] + LENGTH)
+    fresh[1:] = (np.diff(numbers) != 0) | (offsets[1:] > offsets[:-1] + shape.length)
     begins = np.flatnonzero(fresh)
     ends = np.concatenate([begins[1:], [len(offsets)]]).astype(np.int64) - 1
-    spans = np.stack([offsets[begins], offsets[ends] + LENGTH], axis=1) if len(begins) else np.zeros((0, 2), np.int64)
+    spans = np.zeros((0, 2), np.int64)
+    if len(begins):
+        spans = np.stack([offsets[begins], offsets[ends] + shape.length], axis=1)
     cuts = np.searchsorted(numbers[begins], np.arange(len(texts) + 1))
     return [spans[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
@@ -405,26 +499,13 @@ def without(text: bytes, spans: np.ndarray) -> bytes:
     return b"".join([*kept, text[at:]])
 
 
-def whole_characters(text: bytes, spans: np.ndarray) -> np.ndarray:
-    """The spans without the bytes of characters that they cover only in part."""
-    out = []
-    for a, b in spans.tolist():
-        while a < b and text[a] & 0xC0 == 0x80:
-            a += 1
-        while a < b and b < len(text) and text[b] & 0xC0 == 0x80:
-            b -= 1
-        if a < b:
-            out.append((a, b))
-    return np.array(out, dtype=np.int64).reshape(-1, 2)
-
-
 def digest_block(buckets: int):
     def run(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not len(rows):
             return table_of([], REMOVED)
         texts, _, number = distinct_texts(rows["text"])
         facts = []
-        for text, spans in zip(texts, repeated_spans(texts, answers, buckets)):
+        for text, spans in zip(texts, repeated_spans(texts, answers, buckets, BYTES)):
             kept = without(text, spans)
             sha = hashlib.sha256(kept).hexdigest()
             bounds = spans[:, 0].tolist(), spans[:, 1].tolist()
@@ -439,10 +520,10 @@ def digest_block(buckets: int):
     return run
 
 
-def repeated_strings(blocks: DataFrame, buckets: int) -> DataFrame:
+def repeated_strings(blocks: DataFrame, buckets: int, shape: Shape) -> DataFrame:
     """What every block needs to know: totals of its anchors and of its strings."""
-    anchors = merged(each_block(blocks, count_anchors(buckets), PACKED))
-    strings = merged(with_answers(blocks, anchors, count_strings(buckets), PACKED))
+    anchors = merged(each_block(blocks, count_anchors(buckets, shape), PACKED))
+    strings = merged(with_answers(blocks, anchors, count_strings(buckets, shape), PACKED))
     names = [name for name, _ in ANSWERS]
     return anchors.select(names).union(strings.select(names))
 
@@ -451,14 +532,15 @@ def repeated_bytes(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     """Per document what is removed: sizes, digest of the rest, and the spans."""
     n = block_count(docs, block_bytes)
     blocks = docs.select(block_of(n).alias("block"), "doc_id", "text")
-    return with_answers(blocks, repeated_strings(blocks, n), digest_block(n), REMOVED)
+    return with_answers(blocks, repeated_strings(blocks, n, BYTES), digest_block(n), REMOVED)
 
 
 def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The documents with repeated passages cut from their texts; all columns stay.
+    """The documents without passages of over 50 words that stand anywhere else.
 
-    Characters covered only in part are kept, so texts stay valid. ``n_chars``, where
-    documents have it, is that of the new text.
+    Passages are whole words, whatever white space is between them; that inside goes with
+    them, that around them stays. All columns stay; ``n_chars``, where documents have it, is
+    that of the new text.
     """
     n = block_count(docs, block_bytes)
     rows = with_row(docs, block_of(n).alias("block"), F.col("text"))
@@ -468,15 +550,15 @@ def without_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFram
         if not len(rows):
             return rows.select(["row", "text"])
         texts, _, number = distinct_texts(rows["text"])
-        spans = repeated_spans(texts, answers, n)
-        kept = [without(t, whole_characters(t, s)).decode("utf-8") for t, s in zip(texts, spans)]
+        spans = repeated_spans(texts, answers, n, WORDS)
+        kept = [without(t, byte_spans(t, s)).decode("utf-8") for t, s in zip(texts, spans)]
         release_memory()
         null = np.asarray(rows["text"].is_null())
         new = [None if gone else kept[k] for gone, k in zip(null.tolist(), number.tolist())]
         return pa.table({"row": rows["row"], "text": pa.array(new, type=pa.string())})
 
     blocks = rows.select("block", "row", "text")
-    sent = repeated_strings(rows.select("block", "row", "text"), n)
+    sent = repeated_strings(rows.select("block", "row", "text"), n, WORDS)
     both = blocks.groupBy("block").cogroup(sent.filter("block >= 0").groupBy("block"))
     out = both.applyInArrow(cut, rows.select("row", "text").schema)
     fresh = {"text": F.col("text"), "n_chars": F.length("text").cast("bigint")}

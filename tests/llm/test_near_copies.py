@@ -82,3 +82,38 @@ def test_bands_miss_few_pairs_at_the_limit():
         drawn = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
         missed += not set(N.bands_of(drawn[:90])) & set(N.bands_of(np.delete(drawn, range(80, 90))))
     assert missed <= 6
+
+
+def test_estimates_miss_few_pairs_at_the_limit():
+    rng, missed = np.random.default_rng(4), 0
+    for _ in range(3000):
+        drawn = rng.integers(0, 1 << 64, 100, dtype=np.uint64)
+        one, other = N.least_values(drawn[:90]), N.least_values(np.delete(drawn, range(80, 90)))
+        missed += (one.astype(np.uint8) == other.astype(np.uint8)).mean() < N.ESTIMATE
+    assert missed <= 2
+
+
+def test_a_large_group_is_tiled(spark, document, monkeypatch):
+    """Copies of one text that are near it and not each other, cut into many tiles."""
+    monkeypatch.setattr(N, "TILE", 8)
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(200)]
+    texts = [edited(base, 4, rng) for _ in range(60)] + [" ".join(base)]
+    texts += [" ".join(base[:100] + [f"x{n}-{k}" for k in range(80)]) for n in range(40)]  # a shared half
+    assert max(similarity(texts[0], t) for t in texts[1:60]) < 0.85
+    want = [k for k, g in enumerate(groups(texts)) if k == g]
+    assert want[0] == 0 and len(want) == 41
+    assert kept(spark, document, texts) == want
+
+
+def test_links_are_fewer_than_texts(spark, document):
+    """A group of near copies gives a link a text, whatever its size."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts = [edited(base, 1, rng) for _ in range(120)]
+    docs = document([(k, t, "en", "s", 1) for k, t in enumerate(texts)])
+    from emberlog.llm import simhash
+
+    points = docs.select("doc_id", N.signature_of("text").alias("s")).select("s.*", "doc_id")
+    points = points.withColumnRenamed("doc_id", "id")
+    assert N.links(points, docs, simhash.links).count() == 119

@@ -2,8 +2,8 @@
 
 import hashlib
 import json
+import re
 
-import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -12,12 +12,10 @@ import corpus_pipeline
 from emberlog.llm import byte_bpe
 from emberlog.llm import decontaminate as D
 from emberlog.llm import quality_rules as Q
-from emberlog.llm import suffix_dedup as S
 from emberlog.llm.store import stored
-from llm.conftest import ascii_lower
 from llm.test_decontaminate import brute as contaminated
+from llm.test_near_copies import groups as near_groups
 from llm.test_quality_rules import brute as measured
-from llm.test_simhash import fingerprint, groups
 from llm.test_suffix_dedup import brute as repeated
 
 GOOD = "It was a fine day and the people of the town went out to see the river once more. "
@@ -75,25 +73,30 @@ def test_quality_rules(spark, folder, steps, all_words):
     assert 0 < len(want) < before.count()
 
 
-def test_near_duplicates(steps, all_words):
+def test_near_duplicates(steps):
+    """Against the exact similarity of all pairs."""
     before, after = steps["simhash"]
     rows = sorted(rows_of(before))
-    prints = [fingerprint(r[1], all_words, ascii_lower) for r in rows]
-    want = [r for k, (r, g) in enumerate(zip(rows, groups(prints))) if k == g]
+    want = [r for k, (r, g) in enumerate(zip(rows, near_groups([r[1] or "" for r in rows]))) if k == g]
     assert sorted(rows_of(after)) == want and len(want) < len(rows)
 
 
 def test_repeats(steps):
+    """Against counts of all runs of 51 words."""
     before, after = steps["suffix_dedup"]
     rows = sorted(rows_of(before))
-    texts = [r[1].encode() for r in rows]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "") for r in rows]
     want, cut = [], 0
-    for row, text, runs in zip(rows, texts, repeated(texts)):
-        spans = S.whole_characters(text, np.array(runs, dtype=np.int64).reshape(-1, 2))
-        kept = S.without(text, spans).decode()
+    for row, runs in zip(rows, repeated([tuple(w) for w in words], 51)):
+        at = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", row[1] or "")]
+        kept, end = [], 0
+        for a, b in runs:
+            kept.append(row[1][end : at[a][0]])
+            end = at[b - 1][1]
+        kept = "".join([*kept, (row[1] or "")[end:]])
         cut += kept != row[1]
-        want.append((row[0], kept, *row[2:4], len(kept)))
-    assert sorted(rows_of(after)) == want and cut
+        want.append((row[0], None if row[1] is None else kept, *row[2:4], row[1] and len(kept)))
+    assert sorted(rows_of(after)) == want and cut > 2
 
 
 def test_benchmark(spark, folder, steps):

@@ -93,12 +93,45 @@ def test_suffix_array_and_common_prefixes():
 
 
 def test_texts_stay_valid_and_columns_stay(document):
-    shared = "é" * 300
-    docs = document([(1, "a" + shared + "b", "x", "y", 302), (2, shared[:250] + "漢" + "z", "x", "y", 252)])
+    """The stage cuts runs of 51 words, whatever white space is between, and no shorter ones."""
+    words = [f"é{k}漢" for k in range(60)]
+    texts = ["a " + " ".join(words) + " b", "\n\t".join(words[:51]) + " c", "d " + " ".join(words[10:]) + "\x00e"]
+    docs = document([(k, t, "x", "y", len(t)) for k, t in enumerate(texts)])
     rows = {r.doc_id: r for r in S.without_repeats(docs).collect()}
     assert S.without_repeats(docs).columns == docs.columns
-    assert rows[1].text == "ab" and rows[2].text == "漢z"
-    assert rows[1].n_chars == 2 and rows[1].lang == "x"
+    assert [rows[0].text, rows[1].text] == ["a " + " " + " ".join(words[51:]) + " b", " c"]
+    assert rows[2].text == texts[2]  # 50 whole words, the last one is another
+    assert all(r.n_chars == len(r.text) for r in rows.values())
+
+
+@pytest.mark.parametrize("block_bytes", [2_000, 1 << 20])
+def test_word_strings(document, block_bytes):
+    rng = random.Random(8)
+
+    def noise(n):
+        return [rng.choice(["a", "bé", "漢", "the", "x" * 30]) for _ in range(n)]
+
+    passage, whole = noise(120), noise(200)
+    lists = [noise(40) + passage + noise(30), noise(9) + passage[:60], passage[:50] + noise(40)]
+    lists += [whole] * 4 + [["a"] * 130, ["a", "b"] * 60, ["a"] * 51, noise(10) * 12, [], noise(51)]
+    texts = [rng.choice([" ", "\n", "  "]).join(words) for words in lists]
+    docs = document([(k, t, "x", "y", len(t)) for k, t in enumerate(texts)])
+    want = []
+    for text, words, runs in zip(texts, lists, brute([tuple(w) for w in lists], 51)):
+        bounds = list(zip(*S.word_bounds(text.encode())))
+        spans = [(bounds[a][0], bounds[b - 1][1]) for a, b in runs]
+        want.append(S.without(text.encode(), np.array(spans, dtype=np.int64).reshape(-1, 2)).decode())
+        assert [text.encode()[a:b].decode() for a, b in bounds] == words
+    found = S.without_repeats(docs, block_bytes).collect()
+    assert {r.doc_id: r.text for r in found} == dict(enumerate(want))
+
+
+def test_long_words_are_hashed_alike(monkeypatch):
+    text = (" ".join(["w" * n for n in range(1, 60)]) + " ").encode() * 3
+    want = S.word_hashes(text)
+    monkeypatch.setattr(S, "STRIPE", 7)
+    assert len(want) == 177 and (S.word_hashes(text) == want).all() and (want[:59] == want[59:118]).all()
+
 
 
 def test_odd_rows(odd):
