@@ -163,10 +163,3 @@ def in_list(key: str, values: Iterable[Scalar], cols: LogColumns = LOG_COLUMNS)
 
 def match_all() -> Column:
     return F.lit(True)
-
-
-def as_condition(where: Column | str | None) -> Column:
-    """A filter given as Column, SQL text (see ``register_sql_functions``) or nothing."""
-    if where is None or (isinstance(where, str) and not where.strip()):
-        return match_all()
-    return F.expr(where) if isinstance(where, str) else where

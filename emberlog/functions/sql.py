@@ -2,7 +2,8 @@
 
 ``register_sql_functions(spark)`` makes e.g.
 ``logs.where("log_eq(doc_v, 'hostname', 'web1') AND log_gt(doc, 'vars.port', 1024)")``
-work. They are inlined SQL functions, so Catalyst sees through them.
+work. They are inlined SQL functions, so Catalyst sees through them. Filters given to the
+operators as text do not run these but the Columns (see ``functions/filters.py``).
 """
 
 from __future__ import annotations
@@ -29,15 +30,21 @@ def _text_is(v: str, wanted: str) -> str:
     )
 
 
+def _shortest(number: str) -> str:
+    """Text of a number without what does not count, as a VARIANT prints it."""
+    text = f"regexp_replace(trim({number}), '^[+]|(?<=[.][0-9]{{0,99}})0+$', '')"
+    text = f"regexp_replace({text}, '[.]$', '')"
+    text = f"regexp_replace({text}, '^(-?)0*(?=[0-9])', '$1')"
+    return f"regexp_replace(regexp_replace({text}, '^(-?)[.]', '$10.'), '^-0$', '0')"
+
+
 def _number_is(v: str, wanted: str) -> str:
+    """Equal numbers: as doubles, and digit by digit where neither side is a double."""
     return (
         f"coalesce(schema_of_variant({v}) RLIKE '^(BIGINT|DECIMAL|DOUBLE|FLOAT)' "
-        f"AND try_variant_get({v}, '$', 'double') = cast({wanted} AS DOUBLE) "
-        # the fraction and the whole part, each as far as decimals go
-        f"AND coalesce(try_variant_get({v}, '$', 'decimal(38,18)') "
-        f"= try_cast({wanted} AS DECIMAL(38,18)), true) "
-        f"AND coalesce(try_variant_get({v}, '$', 'decimal(38,0)') "
-        f"= try_cast({wanted} AS DECIMAL(38,0)), true), false)"
+        f"AND try_variant_get({v}, '$', 'double') = try_cast({wanted} AS DOUBLE) "
+        f"AND (schema_of_variant({v}) RLIKE '^(DOUBLE|FLOAT)' OR {wanted} RLIKE '[eE]' "
+        f"OR try_variant_get({v}, '$', 'string') = {_shortest(wanted)}), false)"
     )
 
 

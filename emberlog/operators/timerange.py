@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions.buckets import PERIODS, as_utc, time_literal
-from emberlog.functions.predicates import as_condition
+from emberlog.functions.filters import as_condition
 from emberlog.schema import LOG_COLUMNS, LogColumns
 
 # Hours and minutes are kept as sortable numbers, longer periods as dates.
@@ -74,4 +74,4 @@ def time_range(
                 _partition_literal(start, unit), _partition_literal(end, unit)
             )
     rows = logs.where(in_range)
-    return rows if where is None else rows.where(as_condition(where))
+    return rows if where is None else rows.where(as_condition(where, cols))

@@ -12,6 +12,7 @@ from emberlog.functions.fields import (
     field_text,
     int_or_null,
 )
+from emberlog.functions.filters import as_condition
 from emberlog.functions.sql import register_sql_functions
 from emberlog.functions.text import (
     text_all,
@@ -22,7 +23,12 @@ from emberlog.functions.text import (
     text_websearch,
     tokens,
 )
-from emberlog.operators.postings import build_postings, lookup
+from emberlog.operators.postings import (
+    build_postings,
+    lookup,
+    lookup_phrase,
+    write_positions,
+)
 from emberlog.operators.timerange import time_range
 from emberlog.plans.base import LOGS_SQL, WORDS_SQL, query
 from emberlog.schema import LogColumns
@@ -87,7 +93,7 @@ _where(
     lambda: ~P.eq("event_type", "view") & (P.lt("vars.k", 10) | P.gt("vars.k", 90)),
     "not event_type = 'view' and (k < 10 or k > 90)",
 )
-_where("match_all", lambda: P.as_condition(None), "true")
+_where("match_all", lambda: as_condition(None), "true")
 
 def _promoted(name: str, condition, sql: str) -> None:
     """The same on the columns that stand for the fields."""
@@ -236,7 +242,7 @@ def sql_functions(t):
       log_eq(doc_v, 'event_type', 'click') AND log_gt(doc, 'vars.k', 50)
       OR log_like(doc, 'event_type', 'v%') AND log_in(doc, 'vars.k', array('1', '2', '3'))
     """
-    return t.logs.where(P.as_condition(condition)).select(
+    return t.logs.where(as_condition(condition)).select(
         "id", field_text("event_type").alias("event_type")
     )
 
@@ -354,6 +360,29 @@ def postings_lookup_any(t):
     return lookup(t.words, build_postings(t.words), ["und", "los"], "any").select("id")
 
 
+@query("postings_phrase", f"select id from {WORDS_SQL} where contains({_FRAMED}, ' of the ')")
+def postings_phrase(t):
+    """A phrase found by shifted positions in stored postings."""
+    path = t.work_folder()
+    write_positions(t.words, path)
+    return lookup_phrase(t.words, t.spark.read.parquet(path), "Of THE").select("id")
+
+
+@query("sql_filter", f"""
+  select id, k from {LOGS_SQL} where event_type = 'click' and k = 42 and user_id < 500
+    or event_type like 'v%' and k in (1, 2) and not (value > 60) or id = 17
+""")
+def sql_filter(t):
+    """A filter as text, rewritten onto the columns that stand for fields."""
+    text = """
+      log_eq(doc_v, 'event_type', 'click') AND log_eq_number(doc_v, 'vars.k', 42.0)
+        AND log_lt(doc, 'user_id', 500)
+      OR log_like(doc, 'event_type', 'v%') AND log_in(doc, 'vars.k', array(1, '2')) AND NOT (value > 60)
+      OR id = 17
+    """
+    return t.logs.where(as_condition(text, EVENTS)).select("id", "k")
+
+
 @query("ship_date_flags", """
   select date_trunc('month', l_shipdate)::timestamp as month, l_returnflag as flag, count(*) as n
   from lineitem where l_returnflag in ('A', 'R') group by all

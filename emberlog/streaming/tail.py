@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from emberlog.functions.buckets import as_utc, time_literal
-from emberlog.functions.predicates import as_condition
+from emberlog.functions.filters import as_condition
 from emberlog.functions.render import field_line
 from emberlog.operators.timerange import periods_from, time_type
 from emberlog.schema import LOG_COLUMNS, LogColumns
@@ -67,7 +67,7 @@ def tail_lines(
     if last_id is not None:
         rows = after_id(rows, last_id, cols)
     if where is not None:
-        rows = rows.where(as_condition(where))
+        rows = rows.where(as_condition(where, cols))
     # the document is rendered only for the rows that are kept
     order = [cols.id] if by_id else [cols.tstamp, cols.id]
     if max_lines is not None:

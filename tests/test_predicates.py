@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from emberlog.functions import predicates as P
+from emberlog.functions.filters import as_condition
 from emberlog.functions.fields import (
     field_json,
     field_number,
@@ -157,7 +158,7 @@ def test_logic(docs):
     # the absent field stays out of both a condition and its negation
     assert docs.where(P.eq("f", 1)).count() + docs.where(~P.eq("f", 1)).count() == 10
     assert docs.where(P.match_all()).count() == len(DOCS)
-    assert docs.where(P.as_condition("  ")).count() == len(DOCS)
+    assert docs.where(as_condition("  ")).count() == len(DOCS)
 
 
 def test_int_or_null(spark):
