@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from emberlog.functions import predicates as P
 from emberlog.functions.buckets import bucket_seconds
-from emberlog.operators.histogram import counts_metadata, time_histogram
+from emberlog.operators.histogram import counts_metadata_of, time_histogram
 from emberlog.operators.responses import counts_response, counts_response_lines
 from emberlog.plans.base import LOGS_SQL, query
 from emberlog.sources.views import EVENT_COLUMNS as EVENTS
@@ -231,9 +231,7 @@ _LADDER_SQL = """
 """)
 def counts_metadata_query(t):
     """The width for the time that the events take up."""
-    ends = [F.date_trunc("second", f("ts")).cast("string") for f in (F.min, F.max)]
-    first, last = t.events.agg(*ends).first()
-    return counts_metadata(t.logs, first, last)
+    return counts_metadata_of(t.logs)
 
 
 @query("bucket_ladder", f"""

@@ -23,7 +23,7 @@ from emberlog.schema import SHREDDED_COLUMNS
 from emberlog.sources.committed import log_table
 from emberlog.sources.logtable import as_logs, read_logs, stream_logs, write_logs
 from emberlog.sources.views import EVENT_COLUMNS
-from emberlog.streaming.tail import start_tail, tail_lines
+from emberlog.streaming.tail import POLL_MS, start_tail, tail_lines
 
 _NEWEST = f"select id, tstamp as timestamp, doc as source from {LOGS_SQL}"
 
@@ -274,9 +274,16 @@ def tail_after_id(t):
 """)
 def tail_stream(t):
     """The event table stored as a log table and followed as a stream to its end."""
+    query, lines = _followed(t, {"availableNow": True})
+    query.awaitTermination()
+    return lines()
+
+
+def _followed(t, trigger):
+    """A tail of the stored event table, and its lines so far as ``() -> DataFrame``."""
     folder = t.work_folder()
     write_logs(t.logs.withColumn("tstamp", F.col("tstamp").cast("timestamp")), f"{folder}/logs")
-    start_tail(
+    query = start_tail(
         stream_logs(t.spark, f"{folder}/logs"),
         P.lt("vars.k", 50),
         max_age=timedelta(days=36500),
@@ -284,9 +291,23 @@ def tail_stream(t):
         fields=["event_type", "vars.k"],
         on_lines=lambda lines, _: lines.write.mode("append").parquet(f"{folder}/lines"),
         checkpoint=f"{folder}/checkpoint",
-        trigger={"availableNow": True},
-    ).awaitTermination()
-    return t.spark.read.parquet(f"{folder}/lines").select("id", "line")
+        trigger=trigger,
+    )
+    return query, lambda: t.spark.read.parquet(f"{folder}/lines").select("id", "line")
+
+
+@query("tail_polled", f"""
+  select id, strftime(tstamp, '%Y-%m-%d %H:%M:%S') || ' ' || event_type || ' ' || k as line
+  from {LOGS_SQL} where k < 50
+""")
+def tail_polled(t):
+    """The same by polls at a fixed interval, stopped once all that is stored was shown."""
+    query, lines = _followed(t, {"processingTime": f"{POLL_MS} milliseconds"})
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return lines()
 
 
 @query("stored_range", f"""
