@@ -1,4 +1,9 @@
-"""Corpus cleaning in stages; each stage's documents are written and reread by the next."""
+"""Corpus cleaning in stages; each stage's documents are written and reread by the next.
+
+All stages take empty tables, nulls in any column, very long texts and extra columns of any
+name, and keep the columns of documents; what a null, a tie or a repeated row gives is said
+at each stage.
+"""
 
 from __future__ import annotations
 
@@ -15,31 +20,36 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts have too few words and go;
+    equal rows share their verdict."""
     labels = ship(spark).read.parquet(f"{sf_dir}/labels.parquet")
     return quality_rules.keep_good(docs, labels)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, that of the smallest id. Null and empty
+    texts are copies of each other, equal rows become one, rows without an id all stay."""
     ship(spark)
     return simhash.keep_one(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that stand anywhere else."""
+    """Documents without the passages of over 50 words that stand anywhere else; every copy of
+    one is cut, so equal texts of over 50 words lose all of these. Null texts stay null."""
     ship(spark)
     return suffix_dedup.without_repeats(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, whole or edited. Null and empty texts stay, and
+    equal rows share their fate."""
     items = ship(spark).read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontaminate.without_contaminated(docs, items)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of the texts, with digests of the ids and of the bytes decoded from them."""
+    """Token ids of the texts, with digests of the ids and of the bytes decoded from them. Null
+    and empty texts have none; each row is encoded by itself."""
     return byte_bpe.tokenized(docs, bpe_of(ship(spark)))
 
 
