@@ -174,6 +174,23 @@ def time_histogram(
         *[m.alias(name) for name, m in _measures(aggregate, x, None).items()], *extra
     )
 
+    return zero_filled(
+        cells, spine, keys, aggregate, max_buckets, missing_is_zero, suffix, time_type(logs, cols), ordered
+    )
+
+
+def zero_filled(
+    cells: DataFrame,
+    spine: Spine,
+    keys: list[str],
+    aggregate: str,
+    max_buckets: int | None,
+    missing_is_zero: bool,
+    suffix: str = "",
+    kind: str = "timestamp",
+    ordered: bool = True,
+) -> DataFrame:
+    """The histogram of ``cells``: one row per key and bucket, with its measures."""
     # At most one entry per position of the spine, so the map is small.
     per_id = cells.groupBy(*keys).agg(
         F.map_from_entries(
@@ -193,11 +210,7 @@ def time_histogram(
     result = (
         per_id.where(F.lit(not spine.is_empty))
         .select("id", "cells", F.explode(positions).alias("bucket"))
-        .select(
-            spine.label(F.col("bucket")).cast(time_type(logs, cols)).alias("tstamp"),
-            "id",
-            found.alias("value"),
-        )
+        .select(spine.label(F.col("bucket")).cast(kind).alias("tstamp"), "id", found.alias("value"))
     )
     return result.orderBy("tstamp", "id") if ordered else result
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberlog.functions.buckets import PERIODS, as_utc, time_literal
@@ -32,6 +33,15 @@ def _partition_literal(value: datetime | str, unit: str) -> Column:
     return F.date_trunc(unit, time_literal(value, "timestamp_ntz")).cast("date")
 
 
+def period_path(spark: SparkSession, value: datetime | str, units: Sequence[str]) -> str:
+    """Directory of the period that holds a time; as text it grows with the time."""
+    if not units:
+        return ""
+    texts = [_partition_literal(value, unit).cast("string") for unit in units]
+    found = spark.range(1).select(*texts).first()
+    return "/".join(f"{partition_column(unit)}={text}" for unit, text in zip(units, found))
+
+
 def periods_from(df: DataFrame, oldest: Column) -> Column:
     """Condition on the period columns of a frame that no row since ``oldest`` fails."""
     found = F.lit(True)

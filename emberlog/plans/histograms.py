@@ -8,7 +8,10 @@ from emberlog.functions import predicates as P
 from emberlog.functions.buckets import bucket_seconds
 from emberlog.operators.histogram import counts_metadata_of, time_histogram
 from emberlog.operators.responses import counts_response, counts_response_lines
+from emberlog.operators.rollup import Rollup
 from emberlog.plans.base import LOGS_SQL, query
+from emberlog.schema import SHREDDED_COLUMNS
+from emberlog.sources.committed import log_table
 from emberlog.sources.views import EVENT_COLUMNS as EVENTS
 from emberlog.sources.views import ORDER_COLUMNS, logs_from_lineitem, logs_from_orders
 
@@ -259,3 +262,31 @@ def bucket_ladder_days(t):
     return t.lineitem.select(
         "l_orderkey", "l_linenumber", bucket_seconds(since).alias("seconds")
     )
+
+
+def _rollup(t, value=None):
+    """A rollup by event type of the logs, two commits of which it has and one not yet."""
+    logs = t.logs.withColumn("tstamp", F.col("tstamp").cast("timestamp"))
+    table = log_table(t.spark, t.work_folder(), ["day"], promoted=())
+    rollup = Rollup(table, t.work_folder(), "event_type", value, unit="hour", cols=SHREDDED_COLUMNS)
+    for part in range(3):
+        table.append(logs.where(F.pmod("id", F.lit(3)) == part))
+        if part < 2:
+            rollup.refresh()
+    return rollup
+
+
+@query("hist_from_rollup", histogram_sql(split="event_type", limit=3))
+def hist_from_rollup(t):
+    """hist_split_topn from kept partials, and the rows of the commit they lack."""
+    return _rollup(t).histogram(START, END, max_buckets=3)
+
+
+@query("hist_rollup_sum", histogram_sql(
+    split="event_type", first="2024-01-03 05:17:00", points=109, step="5 hours", value="round(sum(l.value), 2)",
+    where="tstamp between timestamp '2024-01-03 05:17:00' and timestamp '2024-01-25 21:43:10'",
+))
+def hist_rollup_sum(t):
+    """A range that cuts cells: their rows are read."""
+    found = _rollup(t, "value").histogram("2024-01-03 05:17:00", "2024-01-25 21:43:10", aggregate="sum")
+    return rounded(found)

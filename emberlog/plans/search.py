@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from datetime import timedelta
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlog.functions import predicates as P
@@ -16,6 +18,7 @@ from emberlog.operators.responses import (
     events_response,
     events_response_lines,
 )
+from emberlog.operators.stored import latest_stored, range_estimate
 from emberlog.operators.timerange import time_range
 from emberlog.plans.base import LOGS_SQL, WORDS_SQL, query
 from emberlog.plans.histograms import END, START
@@ -373,3 +376,48 @@ def compacted_range(t):
     table.compact()
     rows = time_range(table.read(), "2024-01-10T06:00:00", "2024-01-20T18:00:00")
     return rows.select("id", "tstamp", field_number("vars.k", cols=SHREDDED_COLUMNS).alias("k"))
+
+
+def _committed(t, commits=3):
+    """The logs in a table of daily directories, stored by several commits."""
+    table = log_table(t.spark, t.work_folder(), ["day"], promoted=())
+    logs = t.logs.withColumn("tstamp", F.col("tstamp").cast("timestamp"))
+    for part in range(commits):
+        table.append(logs.where(F.pmod("id", F.lit(commits)) == part))
+    return table
+
+
+@query("latest_stored", f"""
+  {_NEWEST} where tstamp <= timestamp '2024-01-25 06:30:00' and event_type = 'click'
+  order by tstamp desc, id desc limit 100
+""")
+def latest_of_stored(t):
+    """The newest matches of a stored table; days before those that hold them stay unread."""
+    match = P.eq("event_type", "click", SHREDDED_COLUMNS)
+    return latest_stored(_committed(t), START, "2024-01-25T06:30:00", match, 100, SHREDDED_COLUMNS)
+
+
+_RANGES = [
+    (f"2024-01-{1 + k:02d} {2 * k:02d}:{5 * k:02d}:00", f"2024-01-{20 + k:02d} {22 - k:02d}:30:00")
+    for k in range(10)
+]
+
+
+@query("range_estimate", " union all ".join(
+    f"select {k} as range_no, count(*) as n, true as close from events "
+    f"where ts between timestamp '{start}' and timestamp '{end}'"
+    for k, (start, end) in enumerate(_RANGES)
+))
+def estimates(t):
+    """Exact counts of ten ranges, and whether the estimates from statistics are within 2 %."""
+    table = _committed(t)
+    exact = F.count(F.lit(1)).alias("n")
+    found = []
+    for k, (start, end) in enumerate(_RANGES):
+        n = time_range(table.read(), start, end).agg(exact)
+        guess = range_estimate(table, start, end).select(F.col("n").alias("guess"))
+        near = F.abs(F.col("guess") - F.col("n")) <= F.col("n") * 0.02
+        # one row each
+        both = n.join(guess, F.lit(True))
+        found.append(both.select(F.lit(k).alias("range_no"), "n", near.alias("close")))
+    return reduce(DataFrame.unionAll, found)
