@@ -7,19 +7,29 @@ pseudo-labels of lower weight. In the end each view is calibrated on labelled do
 kept apart (Platt scaling), and the calibrated log-odds add up, as views that are
 independent given the label do.
 
-The classifiers are fitted on the driver from bounded samples: at most ``LABELLED``
-labelled and ``POOL`` unlabelled documents, the first by a hash of their id, whatever the
-corpus. Of the words in ``MIN_DOCUMENTS`` documents of the sample, a classifier uses the
-``MOST_WORDS`` that depend most on the label, if a chi-squared test says they do. Every document is scored, from its whole text, in place.
+The classifiers are fitted on the driver, from a bounded sample of the labels: at most
+``LABELLED`` labelled documents, the first by a hash of their id. Of the words in
+``MIN_DOCUMENTS`` documents of the sample, a classifier uses the ``MOST_WORDS`` that depend
+most on the label, if a chi-squared test says they do. All other documents are the pool,
+whatever their number: in each round Spark scores every one of them, and its tasks return
+the number of confident documents per class and the exact sum of their gradients at the
+learner's weights, a few hundred numbers. The learner then minimises the loss of the labels
+plus the pool's, which is bounded by its gradient and the greatest curvature a logistic loss
+has over the sample's features. All confident documents of a class weigh alike, together at
+most ``PSEUDO_WEIGHT`` times the labelled ones, so the shares of the classes stay as labelled.
+Sums are in whole steps of 2^-24, so that their order does not matter.
 
 A null text has no words, null metadata is a value of its own. Labels without an id or a
-value are ignored; of several labels of one id the worst counts. With no labels, or of
-one class only, a score is the share of that class. Repeated rows score alike.
+value are ignored; of several labels of one id the worst counts, and of several texts the
+least one. With no labels, or of one class only, a score is the share of that class.
+Repeated rows score alike; unlabelled ones teach as often as they stand there. A very long
+text is read whole, one at a time. No documents give no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,17 +40,18 @@ from pyspark.sql import functions as F
 from emberlog.llm.batches import per_text, release_memory, struct_type, utf8
 
 LABELLED = 8000
-POOL = 8000
 MIN_DOCUMENTS = 5
 MOST_WORDS = 400
 CHI_SQUARED = 15.0
 PENALTY = 1.0
 ROUNDS = 3
-#: Probability from which a view is confident, most pseudo-labels a round and class, and
-#: their weight beside true labels.
+#: Probability from which a view is confident, and the weight of pseudo-labels beside true ones.
 CONFIDENT = 0.95
-EXCHANGED = 1000
 PSEUDO_WEIGHT = 0.5
+#: Steps a unit in which gradients are summed.
+STEPS = 1 << 24
+#: Greatest curvature of the logistic loss.
+CURVATURE = 0.25
 #: Every fourth labelled document is kept for calibration.
 CALIBRATION = 4
 #: A document is kept if its quality is at least this and its toxicity below.
@@ -96,26 +107,39 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Ridge logistic regression by Newton steps with halving; column 0 is the offset."""
+def fit(
+    x: np.ndarray,
+    y: np.ndarray,
+    start: np.ndarray | None = None,
+    pull: np.ndarray | None = None,
+    bend: np.ndarray | None = None,
+) -> np.ndarray:
+    """Ridge logistic regression by Newton steps with halving; column 0 is the offset.
+
+    ``pull`` and ``bend`` are the gradient and curvature at ``start`` of a further loss.
+    """
     penalty = np.full(x.shape[1], PENALTY)
     penalty[0] = 1e-6
-    at = np.zeros(x.shape[1])
+    start = np.zeros(x.shape[1]) if start is None else start
+    pull = np.zeros(x.shape[1]) if pull is None else pull
+    bend = np.zeros((x.shape[1], x.shape[1])) if bend is None else bend
+    at = start.copy()
 
     def loss(w: np.ndarray) -> float:
-        z = x @ w
-        return float((weight * (np.logaddexp(0, z) - y * z)).sum() + (penalty * w * w).sum() / 2)
+        z, d = x @ w, w - start
+        own = (np.logaddexp(0, z) - y * z).sum() + (penalty * w * w).sum() / 2
+        return float(own + pull @ d + d @ bend @ d / 2)
 
     now = loss(at)
     for _ in range(30):
         p = sigmoid(x @ at)
-        slope = x.T @ (weight * (p - y)) + penalty * at
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(penalty)
+        slope = x.T @ (p - y) + penalty * at + pull + bend @ (at - start)
+        curve = (x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty) + bend
         step, size = np.linalg.solve(curve, slope), 1.0
         while (new := loss(at - size * step)) > now and size > 1e-4:
             size /= 2
         at = at - size * step
-        if now - new < 1e-6 * max(now, 1):
+        if now - new < 1e-6 * max(abs(now), 1):
             break
         now = new
     return at
@@ -148,12 +172,6 @@ def platt(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(at[0] / spread), float(at[1] - at[0] * middle / spread)
 
 
-def sizes(values: dict, column: str) -> int:
-    """A number by its order of magnitude, -1 if there is none."""
-    size = values.get(column)
-    return -1 if size is None else int(math.log2(1 + max(size, 0)))
-
-
 def magnitude(size: int | float | None) -> int:
     """A number by its order of magnitude, -1 if there is none."""
     return -1 if size is None else int(math.log2(1 + max(size, 0)))
@@ -174,13 +192,22 @@ class View:
     named: dict = field(default_factory=dict)
     scale: tuple[float, float] = (0.0, 0.0)
 
-    def log_odds(self, names, shape=()) -> float:
-        """Calibrated log-odds of a document with these names."""
+    def margin(self, names, shape=()) -> float:
+        """Log-odds of a document with these names, not calibrated."""
         named = self.named
         margin = self.offset + sum(a * b for a, b in zip(self.shape, shape))
-        margin += sum(named[name] for name in names if name in named)
+        return margin + sum(named[name] for name in names if name in named)
+
+    def log_odds(self, names, shape=()) -> float:
+        return self.calibrated(self.margin(names, shape))
+
+    def calibrated(self, margin: float) -> float:
         return self.scale[0] * margin + self.scale[1]
 
+    @property
+    def size(self) -> int:
+        return 1 + len(self.shape) + len(self.named)
+
 
 @dataclass
 class Model:
@@ -245,27 +272,91 @@ class Facts:
         x[self.rows[at >= 0], first + at[at >= 0]] = 1.0
         return x
 
-    def learn(self, y: np.ndarray, weight: np.ndarray) -> tuple[View, np.ndarray]:
-        """A fitted view, not yet calibrated, and the margins of the sample."""
-        chosen = self.telling(y, weight)
-        x = self.matrix(chosen)
-        used = weight > 0
-        weights = fit(x[used], y[used], weight[used])
-        first = 1 + self.shapes.shape[1]
-        named = {self.names[k]: float(w) for k, w in zip(chosen, weights[first:])}
-        return View(float(weights[0]), tuple(weights[1:first].tolist()), named), x @ weights
 
-
-def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model:
-    """Co-train both views for every target."""
-    n = len(labelled)
-    shared = ["words", "written", *CATEGORIES, *NUMBERS]
-    sample = pa.concat_tables([labelled.select(shared), pool.select(shared)])
-    facts = Facts.of_texts(sample), Facts.of_metadata(sample)
+class Learner:
+    """One view of one target: the labelled features, and the weights learnt so far."""
+
+    def __init__(self, facts: Facts, y: np.ndarray, learn: np.ndarray, keep: np.ndarray) -> None:
+        chosen = facts.telling(y, learn.astype(float))
+        self.names = [facts.names[k] for k in chosen]
+        self.x, self.y, self.learn, self.keep = facts.matrix(chosen).astype(float), y, learn, keep
+        self.first = 1 + facts.shapes.shape[1]
+        self.weights: np.ndarray | None = None
+
+    def study(self, lessons: list[np.ndarray] | None = None) -> View:
+        """Fit to the labels, and to the pool's ``lessons``: per class the number of
+        confident documents and the sum of their gradients."""
+        x, y = self.x[self.learn], self.y[self.learn]
+        pull, bend = np.zeros(x.shape[1]), np.zeros((x.shape[1], x.shape[1]))
+        for label, sums in enumerate(lessons or []):
+            n, own = int(sums[0]), x[y == label]
+            if n:
+                weight = PSEUDO_WEIGHT * min(1.0, len(own) / n)
+                pull += weight * sums[1:] / STEPS
+                bend += weight * n * CURVATURE * (own.T @ own) / len(own)
+        self.weights = fit(x, y, self.weights, pull, bend)
+        margins = self.x @ self.weights
+        scale = platt(margins[self.keep], self.y[self.keep])
+        offset, shape = float(self.weights[0]), tuple(self.weights[1 : self.first].tolist())
+        named = {name: float(w) for name, w in zip(self.names, self.weights[self.first :])}
+        return View(offset, shape, named, scale)
+
+
+class Lessons:
+    """What confident views teach the other ones: sums over documents, by class.
+
+    ``sums`` has for each target, learning view and label the number of documents, then a
+    sum for each weight.
+    """
+
+    def __init__(self, model: Model) -> None:
+        self.model = model
+        self.taught = [t for t in TARGETS if any(v.scale[0] for v in model.views[t])]
+        self.places = {
+            (t, k): {name: 2 + len(v.shape) + i for i, name in enumerate(v.named)}
+            for t in self.taught
+            for k, v in enumerate(model.views[t])
+        }
+        self.sums = {
+            (TARGETS.index(t), k, label): np.zeros(1 + model.views[t][k].size, dtype=np.int64)
+            for t, k in self.places
+            for label in (0, 1)
+        }
+
+    def read(self, text: bytes, meta: dict) -> None:
+        words = words_of(text)
+        held = [(set(words), written(text, words)), (meta_keys(meta), [])]
+        for target in self.taught:
+            views = self.model.views[target]
+            margins = [view.margin(*own) for view, own in zip(views, held)]
+            for teacher, learner in ((0, 1), (1, 0)):
+                sure = float(sigmoid(np.float64(views[teacher].calibrated(margins[teacher]))))
+                if max(sure, 1 - sure) >= CONFIDENT:
+                    self.add(target, learner, int(sure > 0.5), margins[learner], *held[learner])
+
+    def add(self, target: str, learner: int, label: int, margin: float, names, shape) -> None:
+        slope = float(sigmoid(np.float64(margin))) - label
+        sums, places = self.sums[TARGETS.index(target), learner, label], self.places[target, learner]
+        sums[0] += 1
+        sums[1] += round(slope * STEPS)
+        for k, value in enumerate(shape):
+            sums[2 + k] += round(slope * value * STEPS)
+        at = [places[name] for name in names if name in places]
+        sums[at] += round(slope * STEPS)
+
+
+def train(
+    labelled: pa.Table,
+    ask: Callable[[Model], dict[tuple[int, int, int], np.ndarray]],
+    rounds: int = ROUNDS,
+) -> Model:
+    """Co-train both views for every target; ``ask`` gives the pool's sums for a model."""
+    facts = Facts.of_texts(labelled), Facts.of_metadata(labelled)
     model = Model()
-    apart = np.arange(len(sample)) % CALIBRATION == 0
+    apart = np.arange(len(labelled)) % CALIBRATION == 0
+    learners: dict[str, list[Learner]] = {}
     for target in TARGETS:
-        marked = labelled[target].to_pylist() + [None] * len(pool)
+        marked = labelled[target].to_pylist()
         known = np.array([m is not None for m in marked], dtype=bool)
         y = np.array([float(m or 0) for m in marked])
         learn, keep = known & ~apart, known & apart
@@ -274,29 +365,57 @@ def train(labelled: pa.Table, pool: pa.Table, rounds: int = ROUNDS) -> Model:
         if len(set(y[learn])) < 2 or len(set(y[keep])) < 2:
             model.views[target] = View(scale=(0.0, prior)), View(scale=(0.0, prior))
             continue
-        marks = [y.copy(), y.copy()]
-        weight = [learn.astype(float), learn.astype(float)]
-        for turn in range(rounds + 1):
-            views, sure = [], []
-            for own, mark, part in zip(facts, marks, weight):
-                view, margins = own.learn(mark, part)
-                view.scale = platt(margins[keep], y[keep])
-                views.append(view)
-                sure.append(sigmoid(view.scale[0] * margins + view.scale[1]))
-            model.views[target] = views[0], views[1]
-            if turn == rounds:
-                break
-            for one, other in ((0, 1), (1, 0)):  # each view teaches the other
-                free = (np.arange(len(sample)) >= n) & (weight[other] == 0)
-                for label, chance in ((1.0, sure[one]), (0.0, 1 - sure[one])):
-                    able = np.flatnonzero(free & (chance >= CONFIDENT))
-                    best = able[np.argsort(-chance[able], kind="stable")][:EXCHANGED]
-                    marks[other][best], weight[other][best] = label, PSEUDO_WEIGHT
+        learners[target] = [Learner(own, y, learn, keep) for own in facts]
+        model.views[target] = tuple(own.study() for own in learners[target])
+    for _ in range(rounds if learners else 0):
+        sums = ask(model)
+        for target, pair in learners.items():
+            number = TARGETS.index(target)
+            model.views[target] = tuple(
+                own.study([sums[number, k, label] for label in (0, 1)]) for k, own in enumerate(pair)
+            )
     return model
 
 
-def samples(docs: DataFrame, labels: DataFrame, labelled: int, pool: int):
-    """Facts of the labelled sample and of the pool, each the first ids by hash."""
+SUMS = "target int, view int, label int, place int, value bigint"
+
+
+def ask_pool(pool: DataFrame) -> Callable[[Model], dict[tuple[int, int, int], np.ndarray]]:
+    """Sums over the documents of a pool; a task returns one number a weight."""
+    rows = pool.select("text", *CATEGORIES, *NUMBERS)
+
+    def ask(model: Model) -> dict[tuple[int, int, int], np.ndarray]:
+        # bounded by the labelled sample
+        shared = pool.sparkSession.sparkContext.broadcast(model)
+
+        def run(batches):
+            lessons = Lessons(shared.value)
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in CATEGORIES + NUMBERS]
+                for text, values in zip(utf8(batch.column("text")), zip(*columns)):
+                    lessons.read(text, dict(zip(CATEGORIES + NUMBERS, values)))
+                release_memory()
+            for key, sums in lessons.sums.items():
+                places = np.flatnonzero(sums)
+                arrays = [pa.array([part] * len(places), type=pa.int32()) for part in key]
+                arrays += [pa.array(places, type=pa.int32()), pa.array(sums[places])]
+                yield pa.RecordBatch.from_arrays(
+                    arrays, names=["target", "view", "label", "place", "value"]
+                )
+
+        keys = ["target", "view", "label", "place"]
+        found = rows.mapInArrow(run, SUMS).groupBy(*keys).agg(F.sum("value").alias("value"))
+        out = Lessons(model).sums
+        for row in found.collect():  # as many rows as weights
+            out[row.target, row.view, row.label][row.place] = row.value
+        shared.unpersist()
+        return out
+
+    return ask
+
+
+def sampled(docs: DataFrame, labels: DataFrame, labelled: int) -> tuple[pa.Table, DataFrame]:
+    """Facts of the labelled sample, the first ids by hash, and the other documents."""
     known = (
         labels.filter("doc_id is not null")
         .groupBy("doc_id")
@@ -305,18 +424,22 @@ def samples(docs: DataFrame, labels: DataFrame, labelled: int, pool: int):
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = docs.filter("doc_id is not null").select("doc_id")
     chosen = known.join(ids, "doc_id", "left_semi").orderBy(*by_hash).limit(labelled)
-    rest = ids.join(known, "doc_id", "left_anti").distinct().orderBy(*by_hash).limit(pool)
-    facts = per_text(sample_facts, SAMPLED)
-    out = []
-    for part in (chosen, rest):
-        # at most the size of a sample: small enough to broadcast
-        rows = docs.join(F.broadcast(part), "doc_id").dropDuplicates(["doc_id"])
-        named = [c for c in TARGETS if c in part.columns]
-        found = rows.select(
-            "doc_id", *named, *CATEGORIES, *NUMBERS, facts("text").alias("facts")
-        ).select("doc_id", *named, *CATEGORIES, *NUMBERS, "facts.*")
-        out.append(found.orderBy(*by_hash).toArrow())
-    return out
+    # at most the size of the sample: small enough to broadcast
+    rows = docs.select("doc_id", "text", *CATEGORIES, *NUMBERS).join(F.broadcast(chosen), "doc_id")
+    least = F.min(F.struct("text", *CATEGORIES, *NUMBERS)).alias("row")
+    facts = per_text(sample_facts, SAMPLED)("row.text").alias("facts")
+    found = (
+        rows.groupBy("doc_id", *TARGETS)
+        .agg(least)
+        .select("doc_id", *TARGETS, *[f"row.{c}" for c in CATEGORIES + NUMBERS], facts)
+        .select("doc_id", *TARGETS, *CATEGORIES, *NUMBERS, "facts.*")
+        .orderBy(*by_hash)
+        .toArrow()
+    )
+    ids = docs.sparkSession.createDataFrame(
+        [(k,) for k in found["doc_id"].to_pylist()], docs.select("doc_id").schema
+    )
+    return found, docs.join(F.broadcast(ids), "doc_id", "left_anti")
 
 
 SCORES = [("quality_score", "double"), ("toxic_score", "double")] + [
@@ -348,12 +471,11 @@ def score(model: Model, text: bytes, meta: dict) -> list[float]:
     return sigmoid(np.array([*combined, *views])).tolist()
 
 
-def document_scores(
-    docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL
-) -> Column:
-    """Scores of a document as a struct column, from a model fitted on samples."""
-    model = train(*samples(docs, labels, labelled, pool))
-    # bounded by the samples: the words of at most ``labelled + pool`` documents
+def document_scores(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Column:
+    """Scores of a document as a struct column, from a model co-trained on all documents."""
+    sample, pool = sampled(docs, labels, labelled)
+    model = train(sample, ask_pool(pool))
+    # bounded by the sample: at most ``MOST_WORDS`` words and the values of its metadata
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return scorer(shared)("text", *CATEGORIES, *NUMBERS)
 

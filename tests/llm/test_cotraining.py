@@ -1,3 +1,4 @@
+import math
 import random
 
 import pyarrow as pa
@@ -57,8 +58,15 @@ def test_a_view_teaches_the_other():
             {"doc_id": k, "words": words, "written": shape, "lang": lang, "source": source}
             | {"n_chars": n, "quality": q, "toxic": t}
         )
-    known, pool = pa.Table.from_pylist(listed[:40]), pa.Table.from_pylist(listed[40:])
-    alone, taught = C.train(known, pool, rounds=0), C.train(known, pool, rounds=3)
+    known = pa.Table.from_pylist(listed[:40])
+
+    def ask(model):
+        lessons = C.Lessons(model)
+        for _, text, lang, source, n in rows[40:]:
+            lessons.read(text.encode(), {"lang": lang, "source": source, "n_chars": n})
+        return lessons.sums
+
+    alone, taught = C.train(known, ask, rounds=0), C.train(known, ask, rounds=3)
     unseen, _ = corpus(200, seed=10)
 
     def right(model):
@@ -71,6 +79,64 @@ def test_a_view_teaches_the_other():
     assert right(taught) >= right(alone) and right(taught) >= 190
 
 
+def test_a_round_counts_every_document_of_the_pool(spark, document):
+    """One round against gradients taken document by document, weight by weight."""
+    rows, labels = corpus(900, seed=4)
+    rows += [rows[-1]] * 300 + [(None, None, None, None, None)] * 2
+    docs = document(rows).repartition(7)
+    sample, pool = C.sampled(docs, spark.createDataFrame(labels[:200], LABEL), 150)
+    assert len(sample) == 150 and pool.count() == len(rows) - 150
+    models = []
+
+    def keep(model):
+        models.append(model)
+        return C.Lessons(model).sums
+
+    C.train(sample, keep, rounds=1)
+    model = models[0]
+    got = C.ask_pool(pool)(model)
+    left = {k for k in sample["doc_id"].to_pylist()}
+    want = {key: [0] * len(sums) for key, sums in got.items()}
+    for k, text, lang, source, n in rows:
+        if k in left:
+            continue
+        raw = (text or "").encode()
+        words = C.words_of(raw)
+        meta = {("lang", lang), ("source", source), ("n_chars", C.magnitude(n))}
+        held = [(set(words), C.written(raw, words)), (meta, [])]
+        for number, target in enumerate(C.TARGETS):
+            views = model.views[target]
+            margins = [
+                v.offset + sum(a * b for a, b in zip(v.shape, shape)) + sum(v.named.get(x, 0) for x in names)
+                for v, (names, shape) in zip(views, held)
+            ]
+            for one in (0, 1):
+                sure = 1 / (1 + math.exp(-views[one].scale[0] * margins[one] - views[one].scale[1]))
+                if 0.05 < sure < 0.95:
+                    continue
+                names, shape = held[1 - one]
+                label = int(sure > 0.5)
+                x = [1, *shape, *(float(name in names) for name in views[1 - one].named)]
+                slope = 1 / (1 + math.exp(-margins[1 - one])) - label
+                sums = want[number, 1 - one, label]
+                sums[0] += 1
+                for i, value in enumerate(x):
+                    sums[1 + i] += slope * value * C.STEPS
+    assert sum(w[0] for w in want.values()) > 500
+    for key, sums in want.items():
+        assert got[key][0] == sums[0]
+        assert all(abs(a - b) <= len(rows) for a, b in zip(got[key], sums)), key
+    again = C.ask_pool(pool.repartition(3))(model)
+    assert all((again[key] == got[key]).all() for key in got)
+
+
+def test_of_two_texts_of_an_id_the_least_counts(spark, document):
+    docs = document([(1, "b b", "en", "s", 3), (1, "a", "en", "s", 1), (2, "c", "de", "s", 1)])
+    sample, pool = C.sampled(docs, spark.createDataFrame([(1, 1, 0), (1, 0, 0)], LABEL), 10)
+    assert sample["words"].to_pylist() == [["a"]] and sample["quality"].to_pylist() == [0]
+    assert [r.doc_id for r in pool.collect()] == [2]
+
+
 def test_odd_rows(spark, odd):
     labels = spark.createDataFrame([(None, 1, 0), (3, 1, 0), (3, 0, 1), (4, None, None), (6, 1, 0)], LABEL)
     rows = C.score_documents(odd, labels).collect()
