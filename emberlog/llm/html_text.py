@@ -6,11 +6,13 @@ out by tag, role or class. The first pass decides each other block by where it s
 by its length, link density and stop-word density; short or doubtful blocks stay open.
 The second pass gives an open block the label of its nearest decided neighbours.
 
-A page with an article or main element has its text there, whatever the words; only on
-pages without one do the densities decide. Character references are decoded, white space
+An article or main element of some length has the page's text, whatever its words. One of
+few and short blocks may be a teaser: it has the text only if the passes find no longer text
+outside it; else the passes decide on all blocks, and its short ones go. Inside an article a class or id leaves
+a part out only if all its words say so. Character references are decoded, white space
 inside a block becomes one space, and blocks are joined by line breaks; nothing else is
-dropped or shortened. Null and empty pages have an empty text. Pages are worked on one by
-one, so repeated rows give repeated results.
+dropped or shortened. Null and empty pages have an empty text, no pages give no rows. Pages
+are worked on whole, one by one, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ LOW_STOP_WORDS = 0.15
 HIGH_STOP_WORDS = 0.3
 #: Share of link characters from which a list item is a menu entry.
 MENU_ITEM = 0.9
+#: Most blocks of an article that may be a teaser, if it has fewer than ``LONG`` characters.
+TEASER = 3
 
 #: Frequent words of the languages at hand.
 STOP_WORDS = frozenset(
@@ -79,6 +83,11 @@ OUTSIDE_WORDS = frozenset(
     subscription toolbar widget
     """.split()
 )
+#: Words that say nothing of what a part is for.
+BOX_WORDS = frozenset(
+    "area bar block box button buttons container content inner item items links list section "
+    "slot text title unit wrap wrapper".split()
+)
 ARTICLE_NAMES = frozenset(
     """
     article-body article-content article-text entry-content main-content post-body post-content
@@ -108,7 +117,7 @@ MAIN_TEXT = [("text", "string"), ("n_chars", "bigint")]
 class Element:
     name: str
     outside: bool
-    article: bool
+    article: int | None
 
 
 @dataclass
@@ -116,11 +125,16 @@ class Block:
     text: str
     tag: str
     links: int
-    article: bool
+    article: int | None
+
+    @property
+    def letters(self) -> int:
+        """Characters but white space, as links are counted."""
+        return len(self.text) - self.text.count(" ")
 
     @property
     def link_density(self) -> float:
-        return self.links / max(len(self.text), 1)
+        return self.links / max(self.letters, 1)
 
     @property
     def stop_density(self) -> float:
@@ -135,14 +149,25 @@ def attributes_of(source: str) -> dict[str, str]:
     return found
 
 
-def element_of(name: str, attributes: dict[str, str], inside: Element | None) -> Element:
+def says_outside(names: list[str], in_article: bool) -> bool:
+    """Whether class and id names tell of a part outside the article."""
+    for name in names:
+        words = {word for word in re.split(r"[^a-z0-9]+", name) if word}
+        if OUTSIDE_WORDS & words and (not in_article or words <= OUTSIDE_WORDS | BOX_WORDS):
+            return True
+    return False
+
+
+def element_of(
+    name: str, attributes: dict[str, str], inside: Element | None, number: int
+) -> Element:
+    """An element; ``number`` is that of an article that starts with it."""
     names = f"{attributes.get('class', '')} {attributes.get('id', '')}".split()
     words = {word for n in names for word in re.split(r"[^a-z0-9]+", n)}
     role = attributes.get("role", "")
-    in_article = inside is not None and inside.article
-    article = (
-        in_article
-        or name in ARTICLE
+    in_article = inside is not None and inside.article is not None
+    starts = (
+        name in ARTICLE
         or role == "main"
         or "articlebody" in attributes.get("itemprop", "")
         or bool(ARTICLE_NAMES.intersection(names))
@@ -155,10 +180,11 @@ def element_of(name: str, attributes: dict[str, str], inside: Element | None) ->
         or "hidden" in attributes
         or attributes.get("aria-hidden") == "true"
         or "display:none" in attributes.get("style", "").replace(" ", "")
-        or (name not in ("html", "body", *ARTICLE) and bool(OUTSIDE_WORDS & words))
+        or (name not in ("html", "body", *ARTICLE) and says_outside(names, in_article))
         or (name in ARTICLE and bool({"comment", "comments", "reply"} & words))
         or (not in_article and "header" in words and name not in ("html", "body", *HEADINGS))
     )
+    article = inside.article if in_article else number if starts else None
     return Element(name, outside, article)
 
 
@@ -171,6 +197,7 @@ class Page:
         self.parts: list[str] = []
         self.links, self.in_link = 0, False
         self.tag = "body"
+        self.articles = 0
         at, end = 0, len(html)
         while at < end:
             token = TOKEN.match(html, at)
@@ -212,9 +239,12 @@ class Page:
                 self.close_implied({"p"})
             elif name == "li":
                 self.close_implied({"li", "p"})
+            elif name in ARTICLE:
+                self.end_unclosed(name)
         if block or name in LEFT_OUT or source:
             inside = self.open[-1] if self.open else None
-            element = element_of(name, attributes_of(source), inside)
+            element = element_of(name, attributes_of(source), inside, self.articles)
+            self.articles += element.article == self.articles
             if not block and not element.outside and name not in LEFT_OUT:
                 return  # an inline element that changes nothing
             if not block and name == "a":
@@ -238,21 +268,28 @@ class Page:
         while self.open and self.open[-1].name in names:
             self.open.pop()
 
+    def end_unclosed(self, name: str) -> None:
+        """A main element is never inside these, and an article never inside a menu."""
+        never = {"nav", "aside", "header", "footer"} if name == "main" else {"nav"}
+        for k, element in enumerate(self.open):
+            if element.name in never:
+                del self.open[k:]
+                break
+
     def end_block(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            article = bool(self.open) and self.open[-1].article
+            article = self.open[-1].article if self.open else None
             self.blocks.append(Block(text, self.tag, self.links, article))
         self.parts, self.links, self.in_link = [], 0, False
 
 
-def first_pass(block: Block, has_article: bool) -> str:
-    if has_article:
-        menu = block.tag == "li" and block.link_density >= MENU_ITEM
-        return GOOD if block.article and not menu else BAD
+def first_pass(block: Block) -> str:
+    if block.tag in HEADINGS:
+        return OPEN
     if block.link_density > MAX_LINKS:
         return BAD
-    if len(block.text) < SHORT or block.tag in HEADINGS:
+    if len(block.text) < SHORT:
         return BAD if block.links else OPEN
     stops = block.stop_density
     if stops >= HIGH_STOP_WORDS:
@@ -294,11 +331,38 @@ def settle(labels: list[str], which: str, alone: str) -> list[str]:
     return out
 
 
+def of_articles(blocks: list[Block], labels: list[str]) -> set[int] | None:
+    """Articles that have the page's text; None if the labels decide."""
+    size: dict[int, list[int]] = {}
+    for block in blocks:
+        if block.article is not None:
+            held = size.setdefault(block.article, [0, 0])
+            held[0] += 1
+            held[1] += round(len(block.text) * (1 - min(block.link_density, 1.0)))
+    whole = {k for k, (count, length) in size.items() if count > TEASER or length >= LONG}
+    if whole or not size:
+        return whole or None
+    beside = sum(len(b.text) for b, x in zip(blocks, labels) if x == GOOD and b.article is None)
+    return None if beside > sum(length for _, length in size.values()) else set(size)
+
+
 def main_blocks(html: str) -> list[str]:
     blocks = Page(html).blocks
-    has_article = any(block.article for block in blocks)
-    labels = second_pass([first_pass(block, has_article) for block in blocks])
-    return [block.text for block, label in zip(blocks, labels) if label == GOOD]
+    first = [first_pass(block) for block in blocks]
+    labels = second_pass(first)
+    articles = of_articles(blocks, labels)
+    if articles is None:
+        return [
+            block.text
+            for block, open_or_not, label in zip(blocks, first, labels)
+            # short blocks of a teaser stay out, whatever stands next to it
+            if label == GOOD and not (block.article is not None and open_or_not == OPEN)
+        ]
+    return [
+        block.text
+        for block in blocks
+        if block.article in articles and not (block.tag == "li" and block.link_density >= MENU_ITEM)
+    ]
 
 
 def main_text(html: bytes) -> tuple[str, int]:

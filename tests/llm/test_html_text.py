@@ -1,4 +1,5 @@
 import html as entities
+import random
 import re
 
 from emberlog.llm import html_text as H
@@ -56,6 +57,55 @@ def test_short_blocks_follow_their_neighbours():
     assert blocks("<p>short alone</p>") == []
 
 
+def test_a_teaser_beside_the_story():
+    story = f"<div><h2><a href=1>Linked title</a></h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
+    text = LONG.strip()
+    for page in (f"{story}<article>Teaser card</article>", f"<article><h3>Card</h3><p>More</p></article>{story}"):
+        assert blocks(page) == ["Linked title", text, "Short.", text]
+    assert blocks(f"<article><p>{LONG}</p></article><article>Teaser</article>") == [text]
+
+
+def test_class_words_inside_an_article():
+    page = """<article><div class="elementor-widget"><p>one</p></div><p class="share-price">two</p>
+    <div class="ad-slot">x</div><div class="newsletter">x</div><div id="related-links">x</div><p>three</p></article>"""
+    assert blocks(page) == ["one", "two", "three"]
+
+
+def test_menus_never_closed():
+    assert blocks(f"<nav><a href=1>Home</a><article><p>{LONG}</p></article>") == [LONG.strip()]
+    assert blocks(f"<aside><p>x</p><main><p>{LONG}</p></main>") == [LONG.strip()]
+
+
+def test_linked_items_go_whatever_their_number_of_words():
+    page = f"<article><p>{LONG}</p><ul><li><a href=1>one</a></li><li><a href=1>one two three four five</a></li></ul></article>"
+    assert blocks(page) == [LONG.strip()]
+
+
+def brute_labels(found):
+    """Both passes as said: decided blocks, then doubtful and short ones by nearest neighbour."""
+    labels = [H.first_pass(b) for b in found]
+    for which, alone in ((H.MAYBE, H.GOOD), (H.OPEN, H.BAD)):
+        sure = [(k, x) for k, x in enumerate(labels) if x in (H.GOOD, H.BAD)]
+        out = list(labels)
+        for k, x in enumerate(labels):
+            if x == which:
+                least = min((abs(k - j) for j, _ in sure), default=0)
+                near = {y for j, y in sure if abs(k - j) == least}
+                out[k] = near.pop() if len(near) == 1 else alone
+        labels = out
+    return labels
+
+
+def test_passes_against_brute_force():
+    rng = random.Random(5)
+    kinds = [LONG, LONG[:80], "short one", "word salad " * 9, "<a href=1>link and link</a> " * 9]
+    for _ in range(300):
+        page = "".join(f"<{t}>{rng.choice(kinds)}</{t}>" for t in rng.choices(["p", "div", "h2", "li"], k=rng.randint(1, 14)))
+        found = H.Page(page).blocks
+        want = [b.text for b, x in zip(found, brute_labels(found)) if x == H.GOOD]
+        assert H.main_blocks(page) == want
+
+
 def test_broken_markup():
     assert blocks("<article><p>a < b && c <3 <p>x<") == ["a < b && c <3", "x<"]
     assert blocks("<article><p>open <b>bold <i>both</article>") == ["open bold both"]
