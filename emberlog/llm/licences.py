@@ -1,16 +1,17 @@
 """Licence scan with a positional index of rare licence words.
 
 Templates are notices: a label, words, and key phrases that must be there. For each
-template the index holds its rarest words, by document frequency over the whole corpus,
-with their positions. A file looks up the index words it has; every occurrence proposes
+template the index holds its rarest words and the rarest of each key phrase, by document
+frequency over the whole corpus, with their positions. A file looks up the index words it has; every occurrence proposes
 where the template would start, and proposals that agree on the start are intersected. A
-start with enough agreeing words counts if all key phrases stand at their places; its
-score is the share of the template's words found in place.
+start with enough agreeing words counts if all key phrases stand at their places; where they
+do, their words agree, so none is missed. Its score is the share of the template's words
+found in place; words that the file has not before its first key phrase are missing ones.
 
 A short phrase is a template whose key phrase is all of it: the start proposed by its
 rarest word is enough to propose it, so every place is found.
 
-Nulls and empty texts have no words and no labels. Each file is judged by itself with the
+Nulls and empty texts have no words and no labels; very long texts are read whole, one at a time. Each file is judged by itself with the
 index alone, so repeated rows give repeated results. In an empty corpus all words are
 equally rare and the index falls back to alphabetical order.
 """
@@ -174,15 +175,19 @@ class Index:
         self.places: dict[bytes, list[tuple[int, int]]] = {}
         self.needed = []
         for t, known in enumerate(templates):
-            ranked = sorted(
-                set(known.words),
-                key=lambda w: (-math.log((docs + 1) / (counts.get(w, 0) + 1)), w),
-            )
-            rare = ranked[: 1 if known.base else RARE_WORDS]
-            for word in rare:
+            def rarest(words: tuple[bytes, ...], n: int) -> list[bytes]:
+                return sorted(
+                    set(words),
+                    key=lambda w: (-math.log((docs + 1) / (counts.get(w, 0) + 1)), w),
+                )[:n]
+
+            # the rarest words of each key phrase too: where all of these stand, enough agree
+            of_keys = {w for _, key in known.keys for w in rarest(key, AGREE)}
+            rare = rarest(known.words, 1) if known.base else {*rarest(known.words, RARE_WORDS), *of_keys}
+            for word in sorted(rare):
                 at = [i for i, w in enumerate(known.words) if w == word]
                 self.places.setdefault(word, []).extend((t, i) for i in at)
-            self.needed.append(1 if known.base else min(AGREE, len(rare)))
+            self.needed.append(1 if known.base else min(AGREE, len(of_keys)))
 
     def scan(self, text: bytes) -> tuple:
         words = words_of(text)
@@ -191,12 +196,12 @@ class Index:
         for i, word in enumerate(words):
             if word in places:
                 for t, at in places[word]:
-                    if i >= at:
-                        agreeing[t, i - at] = agreeing.get((t, i - at), 0) + 1
+                    agreeing[t, i - at] = agreeing.get((t, i - at), 0) + 1
         found, base = [], set()
         for (t, start), votes in agreeing.items():
             if votes >= self.needed[t] and self.has_keys(words, t, start):
-                found.append((start, self.templates[t].label, self.share(words, t, start)))
+                # a notice may lack the words before its first key phrase
+                found.append((max(start, 0), self.templates[t].label, self.share(words, t, start)))
                 if self.templates[t].base:
                     base.add((start, self.templates[t].label))
         found.sort()
@@ -215,13 +220,14 @@ class Index:
 
     def has_keys(self, words: list[bytes], t: int, start: int) -> bool:
         return all(
-            tuple(words[start + at : start + at + len(key)]) == key
+            start + at >= 0 and tuple(words[start + at : start + at + len(key)]) == key
             for at, key in self.templates[t].keys
         )
 
     def share(self, words: list[bytes], t: int, start: int) -> float:
         own = self.templates[t].words
-        return sum(a == b for a, b in zip(own, words[start : start + len(own)])) / len(own)
+        there = zip(own[max(-start, 0) :], words[max(start, 0) : start + len(own)])
+        return sum(a == b for a, b in there) / len(own)
 
 
 def word_counts(docs: DataFrame, templates: list[Template]) -> tuple[int, dict[bytes, int]]:

@@ -1,3 +1,4 @@
+import random
 import re
 
 from emberlog.llm import licences as L
@@ -40,6 +41,40 @@ def test_every_notice_is_found_and_altered_ones_by_share(document):
     assert got[len(texts) + 1].labels == "" and got[len(texts) + 1].score == 0.0
 
 
+def brute_labels(text):
+    """Labels and score by trying every template at every word."""
+    words = L.words_of((text or "").encode())
+    labels, score = set(), 0.0
+    for known in L.TEMPLATES:
+        for start in range(-len(known.words), len(words)):
+            at = {i: words[start + i] for i in range(len(known.words)) if 0 <= start + i < len(words)}
+            if all(at.get(p + i) == w for p, key in known.keys for i, w in enumerate(key)):
+                labels.add(known.label)
+                share = sum(at.get(i) == w for i, w in enumerate(known.words)) / len(known.words)
+                score = max(score, share)
+    return ",".join(sorted(labels)), score
+
+
+def test_labels_against_brute_force(spark, sf, document):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()]
+    words = sorted({w for t in L.TEMPLATES for w in t.words}) + [b"x"]
+    rng = random.Random(6)
+    for t in L.TEMPLATES:
+        for _ in range(12):  # cut, altered outside the keys and anywhere, and in the middle of others
+            own = list(t.words)[rng.randrange(3) :]
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            before = rng.choices(words, k=rng.choice([0, 0, 1, 30]))
+            texts.append(b" ".join([*before, *own, *rng.choices(words, k=rng.choice([0, 20]))]).decode())
+        texts += [b" ".join(key).decode() for _, key in t.keys]
+    texts.append("permission is hereby granted free of charge")
+    got = {r.doc_id: r for r in L.scan_licences(document([(k, t, "en", "s", 1) for k, t in enumerate(texts)])).collect()}
+    for k, text in enumerate(texts):
+        labels, score = brute_labels(text)
+        assert got[k].labels == labels and abs(got[k].score - score) < 1e-9, text
+    assert sum(bool(r.labels) for r in got.values()) > 80
+
+
 def test_all_places_and_case(document):
     text = "Under The MIT License.\nunder the mit-license; under the mit licenses, cc BY nc"
     [r] = L.scan_licences(document([(1, text, None, None, None)])).collect()
