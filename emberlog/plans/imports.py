@@ -20,7 +20,7 @@ from emberlog.operators.normalize import normalize_messages
 from emberlog.operators.partitions import partition_bounds, with_partitions
 from emberlog.operators.postings import build_postings, lookup
 from emberlog.plans.base import query
-from emberlog.schema import FACILITIES, SEVERITIES, LogColumns
+from emberlog.schema import FACILITIES, SEVERITIES, SHREDDED_COLUMNS, LogColumns
 from emberlog.sources.committed import log_table
 from emberlog.sources.jsonlines import read_json_lines
 from emberlog.sources.logtable import read_logs, write_logs
@@ -167,20 +167,30 @@ def import_reasons(t):
 """)
 def import_repeated_lines(t):
     """Events written one to three times as equal lines of text files: rows, distinct
-    ids, and rows that a word lookup finds."""
+    ids, and rows that a word lookup finds. Events may share their time and all else, so
+    the lines of one are known by the event's number, which they carry as ``uuid``."""
     folder = t.work_folder()
     lines = raw_lines_from_events(t.events)
+    numbered = F.replace(
+        F.col("value"), F.lit('{"msg"'), F.concat(F.lit('{"uuid":"'), "id", F.lit('","msg"'))
+    )
     copies = F.explode(F.sequence(F.lit(0), F.col("id") % 3))
-    lines.select("value", copies.alias("copy")).select("value").write.text(f"{folder}/lines")
+    lines.select(numbered.alias("value"), copies.alias("copy")).select("value").write.text(
+        f"{folder}/lines"
+    )
     good, _ = import_events(read_json_lines(t.spark, f"{folder}/lines"))
     write_logs(good, f"{folder}/logs")
     logs = read_logs(t.spark, f"{folder}/logs")
     hits = lookup(logs, build_postings(logs), ["user", "click"]).select("id").distinct()
-    counted = logs.groupBy("tstamp").agg(
-        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids")
+    event = field_text("uuid", SHREDDED_COLUMNS).alias("event")
+    rows = logs.select("id", "tstamp", event)
+    counted = rows.groupBy("event").agg(
+        F.min("tstamp").alias("tstamp"),
+        F.count(F.lit(1)).alias("n"),
+        F.count_distinct("id").alias("ids"),
     )
-    found = logs.join(hits, "id").groupBy("tstamp").agg(F.count(F.lit(1)).alias("found"))
-    return counted.join(found, "tstamp", "left").select(
+    found = rows.join(hits, "id").groupBy("event").agg(F.count(F.lit(1)).alias("found"))
+    return counted.join(found, "event", "left").select(
         "tstamp", "n", "ids", F.coalesce("found", F.lit(0)).alias("found")
     )
 
