@@ -20,6 +20,21 @@ FIELD_NAME = "[a-zA-Z_][a-zA-Z0-9._-]*"
 
 Scalar = int | float | Decimal | str
 
+def _up_to(most: str) -> str:
+    """A pattern of the whole numbers from 0 to ``most``, without zeros before them."""
+    shorter = [f"[0-9]{{1,{len(most) - 1}}}"]
+    smaller = [
+        f"{most[:n]}[0-{int(digit) - 1}][0-9]{{{len(most) - n - 1}}}"
+        for n, digit in enumerate(most)
+        if digit != "0"
+    ]
+    return "|".join([*shorter, *smaller, most])
+
+
+# What a cast to an integer accepts: spaces and control characters around it are ignored.
+_BLANK = r"[\x00-\x20\x7F]*"
+INTEGER = rf"^{_BLANK}(?:\+?0*(?:{_up_to(str(2**31 - 1))})|-0*(?:{_up_to(str(2**31))})){_BLANK}\z"
+
 _LONG_WHOLE = r"^DECIMAL\((19|2\d|3\d),0\)$"
 
 
@@ -66,8 +81,11 @@ def field_json(key: str, cols: LogColumns = LOG_COLUMNS) -> Column:
 
 
 def int_or_null(text: Column) -> Column:
-    """Text to 32-bit integer, NULL for anything else."""
-    return text.try_cast("int")
+    """Text to 32-bit integer, NULL for anything else.
+
+    The pattern keeps other texts from the cast, which builds an error for each of them.
+    """
+    return F.when(text.rlike(INTEGER), text.try_cast("int"))
 
 
 def field_number(

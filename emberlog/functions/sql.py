@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from emberlog.functions.fields import FIELD_NAME
+from emberlog.functions.fields import FIELD_NAME, INTEGER
 from emberlog.functions.text import TOKEN_SEPARATOR
 
 _PATH = (
@@ -95,7 +95,9 @@ SQL_FUNCTIONS = {
     "log_text": ("doc STRING, k STRING", "STRING", _TEXT),
     "log_json": ("doc_v VARIANT, k STRING", "VARIANT", _VALUE),
     "log_int": ("doc STRING, k STRING", "INT", _INT),
-    "to_number_or_null": ("input STRING", "INT", "try_cast(input AS INT)"),
+    "to_number_or_null": (
+        "input STRING", "INT", f"CASE WHEN input RLIKE r'{INTEGER}' THEN try_cast(input AS INT) END"
+    ),
     "log_eq": (
         "doc_v VARIANT, k STRING, wanted STRING",
         "BOOLEAN",

@@ -222,13 +222,20 @@ def field_getters(t):
   group by doc_id
 """)
 def int_or_null_query(t):
-    words = t.documents.select(
-        "doc_id", F.explode(F.split("text", "[ \n\t\r]+")).alias("w")
-    ).select("doc_id", int_or_null(F.col("w")).alias("i"))
-    return words.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_words"),
-        F.count("i").alias("n_ints"),
-        F.coalesce(F.sum(F.col("i").cast("long")), F.lit(0)).alias("total"),
+    words = F.split("text", "[ \n\t\r]+")
+    numbers = F.filter(F.transform("words", int_or_null), lambda i: i.isNotNull())
+    total = F.aggregate("ints", F.lit(0).cast("long"), lambda so_far, i: so_far + i)
+    # a text is counted where it is read; a shuffle gets one row of it
+    counted = (
+        t.documents.where(F.col("text").isNotNull())
+        .select("doc_id", words.alias("words"))
+        .select("doc_id", F.size("words").alias("n_words"), numbers.alias("ints"))
+        .select("doc_id", "n_words", F.size("ints").alias("n_ints"), total.alias("total"))
+    )
+    return counted.groupBy("doc_id").agg(
+        F.sum("n_words").alias("n_words"),
+        F.sum("n_ints").alias("n_ints"),
+        F.sum("total").alias("total"),
     )
 
 

@@ -3,7 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from check_queries import compare, connect
+from emberlog.functions.fields import int_or_null
+from emberlog.functions.sql import register_sql_functions
+from conftest import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -24,3 +28,20 @@ def test_events_of_one_time_stay_apart(spark, doubled):
     db.execute(f"create view events as select * from read_parquet('{doubled}/events.parquet/*.parquet')")
     problem, rows = compare("import_repeated_lines", spark, db, doubled)
     assert not problem and rows > 1000
+
+
+def test_other_texts_than_integers_are_not_cast(spark):
+    texts = ["7", " +007\t", "-2147483648", "2147483648", "99999999999", "7.0", "1e3", "", "x", "-"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    found = frame.select(int_or_null(F.col("t")).alias("i"))
+    assert [r.i for r in found.collect()] == [7, 7, -(2**31)] + [None] * 7
+    # a failing cast builds an error, so a pattern stands before it
+    assert "RLIKE" in plan_of(found)
+    register_sql_functions(spark)
+    assert [r[0] for r in frame.selectExpr("to_number_or_null(t)").collect()] == [
+        r.i for r in found.collect()
+    ]
+
+
+def test_integers_are_counted_where_a_text_is_read(spark):
+    assert "Generate" not in plan_of(entry.queries()["int_or_null"](spark, FOLDER))
