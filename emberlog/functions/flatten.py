@@ -36,8 +36,9 @@ def _children(node: Column, members: Column) -> Column:
     """Members of an object node as nodes, in key order."""
 
     def child(key: Column, text: Column, value: Column) -> Column:
+        below = F.when(node["path"].isNull(), key)
         return F.struct(
-            F.concat(node["path"], F.array(key)).alias("path"),
+            below.otherwise(F.concat(node["path"], F.lit("."), key)).alias("path"),
             text.alias("text"),
             value.alias("v"),
         )
@@ -72,30 +73,33 @@ def nesting(text: Column) -> Column:
         now = acc["now"] + F.when(brace == "{", 1).otherwise(-1)
         return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
 
-    return (
-        F.when(~text.contains("{"), F.lit(0))
-        .when(braces == "{}", F.lit(1))
-        .otherwise(F.aggregate(F.split(braces, ""), start, walk, lambda acc: acc["most"]))
-    )
+    def deepest(braces: Column) -> Column:
+        return F.when(braces == "{}", F.lit(1)).otherwise(
+            F.aggregate(F.split(braces, ""), start, walk, lambda acc: acc["most"])
+        )
+
+    return F.when(~text.contains("{"), F.lit(0)).otherwise(bind_once(braces, deepest))
 
 
 def flatten_nodes(text: Column, value: Column, prefix: str | None = None) -> Column:
-    """All leaves below a JSON value, as (path, text, variant) nodes in key order.
+    """All leaves below a JSON value, as (path, text, variant) nodes in key order; the path
+    is dotted, and NULL for the value itself without a prefix.
 
     Arrays and scalars are leaves; an empty object has none. The walk goes as deep as
     the objects do. ``text`` of a node is NULL where its spelling does not matter.
     """
-    path = F.array(F.lit(prefix)) if prefix else F.array().cast("array<string>")
     spelled = F.when(text.rlike(_SPELLING_MATTERS), text)
+    path = F.lit(prefix).cast("string")
     root = F.array(F.struct(path.alias("path"), spelled.alias("text"), value.alias("v")))
-    levels = nesting(text)
-    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(
-        F.array().cast("array<int>")
-    )
-    node = "array<struct<path:array<string>,text:string,v:variant>>"
-    return F.when(
-        value.isNotNull(), F.aggregate(steps, root.cast(node), lambda acc, _: _one_level(acc))
-    )
+    node = "array<struct<path:string,text:string,v:variant>>"
+
+    def walk(levels: Column) -> Column:
+        steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.aggregate(steps, root.cast(node), lambda acc, _: _one_level(acc))
+
+    return F.when(value.isNotNull(), bind_once(nesting(text), walk))
 
 
 def leaf_json(text: Column, value: Column) -> Column:
@@ -129,7 +133,7 @@ def node_entries(nodes: Column) -> Column:
     return F.transform(
         nodes,
         lambda n: F.struct(
-            F.array_join(n["path"], ".").alias("key"), leaf_json(n["text"], n["v"]).alias("json")
+            F.coalesce(n["path"], F.lit("")).alias("key"), leaf_json(n["text"], n["v"]).alias("json")
         ),
     )
 

@@ -31,6 +31,17 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, rows: DataFrame, key: str) -> DataFrame:
+        """Rows dealt by their key over the session's shuffle partitions, for work that is
+        dear per row: a file of narrow rows is read by few tasks, one per row group."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return rows.repartition(tasks, key)
+
+    def raw_lines(self, events: DataFrame | None = None, **options) -> DataFrame:
+        """The events as raw lines, spread for the import."""
+        rows = self.events if events is None else events
+        return views.raw_lines_from_events(self.spread(rows, "event_id"), **options)
+
     @property
     def logs(self) -> DataFrame:
         return views.logs_from_events(self.events)

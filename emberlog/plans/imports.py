@@ -228,7 +228,8 @@ def flatten_deep(t):
     )
     entries = flatten_json(F.col("text"), F.parse_json("text"), "vars")
     return (
-        t.supplier.select("s_suppkey", text.alias("text"))
+        t.spread(t.supplier, "s_suppkey")
+        .select("s_suppkey", text.alias("text"))
         .select("s_suppkey", F.explode(entries).alias("entry"))
         .select("s_suppkey", "entry.key", "entry.json")
     )

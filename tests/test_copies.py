@@ -45,3 +45,8 @@ def test_other_texts_than_integers_are_not_cast(spark):
 
 def test_integers_are_counted_where_a_text_is_read(spark):
     assert "Generate" not in plan_of(entry.queries()["int_or_null"](spark, FOLDER))
+
+
+@pytest.mark.parametrize("name", ["flatten_deep"])
+def test_rows_of_one_row_group_become_many_tasks(spark, name):
+    assert "REPARTITION_BY_NUM" in plan_of(entry.queries()[name](spark, FOLDER))
