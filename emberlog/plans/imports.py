@@ -156,7 +156,7 @@ def import_reasons(t):
         .when(kind == 4, F.regexp_replace(line, '"syslogseverity":"."', '"syslogseverity":"8"'))
         .otherwise(line)
     )
-    lines = raw_lines_from_events(t.events).select("id", broken.alias("value"))
+    lines = t.raw_lines().select("id", broken.alias("value"))
     return parse_events(lines).select("id", "reason")
 
 

@@ -90,7 +90,9 @@ def raw_lines_from_events(
     ``replacement`` becomes the variable ``msg``; NULL leaves it out.
     """
     absent = F.lit(None).cast("string")
-    k = F.get_json_object("props", "$.k").cast("int")
+    # a column, because it is used many times
+    numbered = events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("_k")
     user = F.col("user_id").cast("string")
     host = F.concat(F.lit("web"), (F.col("user_id") % 10).cast("string"))
     time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
@@ -119,4 +121,4 @@ def raw_lines_from_events(
         "$!": variables,
     }
     line = F.to_json(F.struct(*[c.alias(name) for name, c in raw.items()]))
-    return events.select(F.col("event_id").alias("id"), line.alias("value"))
+    return numbered.select(F.col("event_id").alias("id"), line.alias("value"))
