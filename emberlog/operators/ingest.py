@@ -317,19 +317,25 @@ def _emit_where(parsed: DataFrame, condition: Column, columns: list[str]) -> Dat
     return parsed.select(F.inline(F.when(condition, F.array(row))))
 
 
-def split_events(parsed: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
-    """``(good, quarantine)`` of parsed events."""
+def split_events(
+    parsed: DataFrame, line: str = "value", columns: Sequence[str] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """``(good, quarantine)`` of parsed events. Of the log columns those named are given and
+    the others are not computed; a later select alone does not spare them."""
     extra = [c for c in ("source_file",) if c in parsed.columns]
     reason = F.col("reason")
     return (
-        _emit_where(parsed, reason.isNull(), LOG_SCHEMA.names),
+        _emit_where(parsed, reason.isNull(), list(columns or LOG_SCHEMA.names)),
         _emit_where(parsed, reason.isNotNull(), ["id", line, "reason", *extra]),
     )
 
 
-def import_events(raw: DataFrame, line: str = "value", **options) -> tuple[DataFrame, DataFrame]:
-    """Raw lines to ``(good, quarantine)``; options as in :func:`parse_events`."""
-    return split_events(parse_events(raw, line=line, **options), line)
+def import_events(
+    raw: DataFrame, line: str = "value", columns: Sequence[str] | None = None, **options
+) -> tuple[DataFrame, DataFrame]:
+    """Raw lines to ``(good, quarantine)``; ``columns`` as in :func:`split_events`, options as
+    in :func:`parse_events`."""
+    return split_events(parse_events(raw, line=line, **options), line, columns)
 
 
 def preprocessing(rules: Sequence[Rule] = RULES) -> dict:

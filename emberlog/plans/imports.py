@@ -251,7 +251,7 @@ def search_text(t):
 """)
 def message_swap(t):
     short = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("short "), "event_type"))
-    good, _ = import_events(raw_lines_from_events(t.events, replacement=short))
+    good, _ = import_events(t.raw_lines(replacement=short), columns=["id", "doc"])
     return good.select(
         "id", field_text("msg").alias("msg"), field_text("vars.msg").alias("vars_msg")
     )
