@@ -275,8 +275,8 @@ def structured_data(t):
         r'[ev@1 Name="%s" q="say \"%s\" \\ \]"][u id="%s"]',
         "event_type", "event_type", F.col("user_id").cast("string"),
     )
-    lines = raw_lines_from_events(t.events, structured_data=data)
-    good, _ = import_events(lines, **preprocessing())
+    lines = t.raw_lines(structured_data=data)
+    good, _ = import_events(lines, columns=["id", "doc"], **preprocessing())
     return good.select(
         "id",
         F.get_json_object("doc", "$['vars.rfc5424-sd.ev@1.name']").alias("name"),
