@@ -151,8 +151,9 @@ def _rendered(t):
             F.struct(F.struct("user_id").alias("by"), F.col("event_type").alias("a")).alias("o"),
         )
     )
+    events = t.spread(t.events, "event_id")
     return as_logs(
-        t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("tstamp"), doc.alias("doc"))
+        events.select(F.col("event_id").alias("id"), F.col("ts").alias("tstamp"), doc.alias("doc"))
     )
 
 

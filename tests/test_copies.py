@@ -47,6 +47,6 @@ def test_integers_are_counted_where_a_text_is_read(spark):
     assert "Generate" not in plan_of(entry.queries()["int_or_null"](spark, FOLDER))
 
 
-@pytest.mark.parametrize("name", ["flatten_deep", "import_reasons", "message_swap", "structured_data"])
+@pytest.mark.parametrize("name", ["flatten_deep", "import_reasons", "message_swap", "structured_data", "render_fields"])
 def test_rows_of_one_row_group_become_many_tasks(spark, name):
     assert "REPARTITION_BY_NUM" in plan_of(entry.queries()[name](spark, FOLDER))
