@@ -536,7 +536,7 @@ def import_stream(t):
         "pathGlobFilter", "events.parquet"
     ).parquet(t.folder)
     start_import(
-        raw_lines_from_events(lines),
+        t.raw_lines(lines),
         f"{folder}/logs",
         f"{folder}/quarantine",
         f"{folder}/checkpoint",

@@ -15,6 +15,12 @@ from emberlog.sources.committed import CommittedTable, log_table
 from emberlog.sources.logtable import write_logs
 
 
+def _lines_of_bad_rows(batch: DataFrame) -> DataFrame:
+    """A batch without the lines of its usable rows, which nobody needs any more: they are a
+    good part of what is kept for the writes."""
+    return batch.withColumn("value", F.when(F.col("reason").isNotNull(), F.col("value")))
+
+
 def start_import(
     raw: DataFrame,
     table_path: str,
@@ -40,6 +46,7 @@ def start_import(
         if not numbered:  # equal lines get ids of their own
             place = F.monotonically_increasing_id()
             batch = batch.withColumn("id", F.xxhash64("id", F.lit(number), place))
+        batch = _lines_of_bad_rows(batch)
         # kept for the two writes; lost blocks are computed again
         batch.persist()
         try:
@@ -92,6 +99,7 @@ def start_committed_import(
         if not numbered:
             place = F.monotonically_increasing_id()
             rows = rows.withColumn("id", F.xxhash64("id", F.lit(number), place))
+        rows = _lines_of_bad_rows(rows)
         rows.persist()
         try:
             good, bad = split_events(rows)

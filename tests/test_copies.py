@@ -7,6 +7,8 @@ import __spark_entry__ as entry
 from check_queries import compare, connect
 from emberlog.functions.fields import int_or_null
 from emberlog.functions.sql import register_sql_functions
+from emberlog.plans.base import Tables
+from emberlog.streaming.importer import _lines_of_bad_rows
 from conftest import plan_of
 
 FOLDER = "/root/testdata/sf0.001"
@@ -47,6 +49,21 @@ def test_integers_are_counted_where_a_text_is_read(spark):
     assert "Generate" not in plan_of(entry.queries()["int_or_null"](spark, FOLDER))
 
 
-@pytest.mark.parametrize("name", ["flatten_deep", "import_reasons", "message_swap", "structured_data", "render_fields"])
+@pytest.mark.parametrize(
+    "name",
+    ["flatten_deep", "render_fields", "import_reasons", "message_swap", "structured_data"],
+)
 def test_rows_of_one_row_group_become_many_tasks(spark, name):
     assert "REPARTITION_BY_NUM" in plan_of(entry.queries()[name](spark, FOLDER))
+
+
+def test_streamed_lines_become_many_tasks(spark):
+    schema = spark.read.parquet(f"{FOLDER}/events.parquet").schema
+    lines = Tables(spark, FOLDER).raw_lines(spark.readStream.schema(schema).parquet(FOLDER))
+    plan = lines._jdf.queryExecution().analyzed().toString()
+    assert "Repartition" in plan and lines.isStreaming
+
+
+def test_a_batch_keeps_the_lines_of_rejected_rows(spark):
+    rows = spark.createDataFrame([("a", None), ("b", "bad")], "value string, reason string")
+    assert [r.value for r in _lines_of_bad_rows(rows).orderBy("reason").collect()] == [None, "b"]
