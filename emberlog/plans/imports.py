@@ -24,7 +24,6 @@ from emberlog.schema import FACILITIES, SEVERITIES, SHREDDED_COLUMNS, LogColumns
 from emberlog.sources.committed import log_table
 from emberlog.sources.jsonlines import read_json_lines
 from emberlog.sources.logtable import read_logs, write_logs
-from emberlog.sources.views import raw_lines_from_events
 from emberlog.streaming.importer import start_committed_import, start_import
 
 
@@ -125,15 +124,15 @@ _SEARCH = f"""
 
 @query("import_good", f"select event_id as id, ts as tstamp, {_DOC} as doc from events where user_id % 9 <> 8")
 def import_good(t):
-    good, _ = import_events(raw_lines_from_events(t.events))
-    return good.select("id", "tstamp", "doc")
+    good, _ = import_events(t.raw_lines(), columns=["id", "tstamp", "doc"])
+    return good
 
 
 @query("import_quarantine", """
   select event_id as id, 'invalid syslogseverity' as reason from events where user_id % 9 = 8
 """)
 def import_quarantine(t):
-    _, quarantine = import_events(raw_lines_from_events(t.events))
+    _, quarantine = import_events(t.raw_lines())
     return quarantine.select("id", "reason")
 
 
@@ -170,7 +169,7 @@ def import_repeated_lines(t):
     ids, and rows that a word lookup finds. Events may share their time and all else, so
     the lines of one are known by the event's number, which they carry as ``uuid``."""
     folder = t.work_folder()
-    lines = raw_lines_from_events(t.events)
+    lines = t.raw_lines()
     numbered = F.replace(
         F.col("value"), F.lit('{"msg"'), F.concat(F.lit('{"uuid":"'), "id", F.lit('","msg"'))
     )
@@ -209,7 +208,7 @@ def import_repeated_keys(t):
         .when(kind == 1, F.replace(line, F.lit('{"msg"'), F.lit('{"x":1,"x":{"a":2},"msg"')))
         .otherwise(F.replace(line, F.lit('{"msg"'), F.lit('{"hostname":"other","msg"')))
     )
-    lines = raw_lines_from_events(t.events).select("id", twice.alias("value"))
+    lines = t.raw_lines().select("id", twice.alias("value"))
     return parse_events(lines).select(
         "id", "reason", F.get_json_object("doc", "$['vars.k']").cast("int").alias("k")
     )
@@ -239,7 +238,7 @@ def flatten_deep(t):
   select event_id as id, {_SEARCH} as search from events where user_id % 9 <> 8
 """)
 def search_text(t):
-    good, _ = import_events(raw_lines_from_events(t.events))
+    good, _ = import_events(t.raw_lines(), columns=["id", "search"])
     return good.select("id", F.array_join("search", " ").alias("search"))
 
 
@@ -559,7 +558,7 @@ def import_replayed(t):
             "pathGlobFilter", "events.parquet"
         ).parquet(t.folder)
         start_committed_import(
-            raw_lines_from_events(lines),
+            t.raw_lines(lines),
             f"{folder}/logs",
             f"{folder}/quarantine",
             f"{folder}/checkpoint",
