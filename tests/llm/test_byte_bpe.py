@@ -74,6 +74,29 @@ def test_full_cache_changes_nothing(codec, known, monkeypatch):
         assert codec.encode(text) == known.encode_ordinary(text)
 
 
+def test_known_units_are_not_cut_again(ranks, known):
+    own = B.Codec(B.model_json(ranks, public_tokenizers.PATTERN))
+    cut, pieces = [], own.pieces
+    own.pieces = lambda text: cut.append(text) or pieces(text)
+    for text, new in (("a bc, a bc,", "a bc, a"), ("a d bc,", "a d"), ("a bc, d", None)):
+        assert own.encode(text) == known.encode_ordinary(text)
+        assert sorted(cut.pop().split()) == sorted(new.split()) if new else not cut
+
+
+def test_white_space_between_units(codec, known):
+    spaces = ["", " ", "  ", "   ", "\n", " \n", "\n ", "\t  ", "\x1c", " \x1c", "\xa0 ", " \x85", " \u200b"]
+    for a in spaces:
+        for b in spaces:
+            for text in (a + "one" + b + "two's", "one" + a + "!" + b, a + "é" + b + "é" + a + "1"):
+                ids = codec.encode(text)
+                assert ids == known.encode_ordinary(text), text
+                assert codec.digest(text.encode()) == (
+                    len(ids),
+                    hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                    hashlib.sha256(text.encode()).hexdigest(),
+                )
+
+
 def test_odd_rows(spark, odd, known):
     rows = B.tokenized(odd, bpe_of(spark)).collect()
     want = sorted(known.encode_ordinary(r.text or "") for r in odd.collect())
