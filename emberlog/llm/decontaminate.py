@@ -5,8 +5,8 @@ stretch of it lies within an edit distance of ``1 - SIMILARITY`` of the item's w
 
 Windows of each item length slide over the documents. Edits can spoil only so many of an
 item's words, so the others stand in any stretch that holds it: windows begin only where
-enough of an item's rare words follow, or, for items of common words alone, enough words
-of any item. This drops most windows and no match. The CGK walk (Chakraborty, Goldenberg and Koucky) copies the word under a pointer and
+enough of an item's rare words follow and then enough of all its words, or, for items of
+common words alone, enough words of any item. This drops most windows and no match. The CGK walk (Chakraborty, Goldenberg and Koucky) copies the word under a pointer and
 advances the pointer or not by a random bit of the word and the step: texts that differ by
 few edits soon walk in step again, so a small edit distance becomes a small Hamming
 distance. A signature is a sample of the walk's outputs; windows and items that share one
@@ -28,6 +28,7 @@ equal texts are reported each; repeated documents are reported each, null ids as
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ RISK = 0.05
 #: A word is rare if at most this many items of a slice have it.
 RARE_ITEMS = 4
 SLICE_WORDS = 200_000
+#: Windows that walk together.
+TOGETHER = 2048
 SEED = 20240101
 
 NOT_WORD = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -102,39 +105,44 @@ class Walks:
         salts = random.integers(0, 1 << 63, (repeats, steps), dtype=np.uint64)
         return cls(length, np.array(samples), salts)
 
-    def signatures(self, repeat: int, hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Signatures of the windows at ``starts``; ``hashes`` are those of the words.
+    def signatures(
+        self, hashes: np.ndarray, starts: np.ndarray, some: slice = slice(None)
+    ) -> np.ndarray:
+        """A row per repetition with the signatures of the windows at ``starts``.
 
-        The pointers of all windows advance together. Past its end a window reads 0.
+        ``hashes`` are those of the words. The pointers of all windows and repetitions
+        advance together. Past its end a window reads 0.
         """
-        sampled = set(self.samples[repeat].tolist())
-        moved = np.zeros(len(starts), dtype=np.int64)
-        out = np.zeros(len(starts), dtype=np.uint64)
-        for step in range(max(sampled) + 1):
-            seen = hashes[starts + np.minimum(moved, self.length)]
-            seen = np.where(moved < self.length, seen, np.uint64(0))
-            with np.errstate(over="ignore"):
-                if step in sampled:
-                    out = mix(out * np.uint64(0x9E3779B97F4A7C15) + seen)
-                bits = (seen ^ self.salts[repeat, step]) * np.uint64(0xD6E8FEB86659FD93)
-            moved += (bits >> np.uint64(63)).astype(np.int64)
-        return out
+        samples, salts = self.samples[some], self.salts[some]
+        order = np.argsort(-samples[:, -1], kind="stable")  # who stops first stands last
+        samples, salts = samples[order], salts[order]
+        moved = np.zeros((len(samples), len(starts)), dtype=np.int64)
+        out = np.zeros(moved.shape, dtype=np.uint64)
+        for step in range(int(samples[0, -1]) + 1 if len(samples) else 0):
+            walking = int((samples[:, -1] >= step).sum())
+            at = moved[:walking]
+            seen = hashes[starts + np.minimum(at, self.length)]
+            seen = np.where(at < self.length, seen, np.uint64(0))
+            rows = np.flatnonzero((samples[:walking] == step).any(axis=1))
+            if len(rows):
+                out[rows] = mix(out[rows] * np.uint64(0x9E3779B97F4A7C15) + seen[rows])
+            bits = (seen ^ salts[:walking, step, None]) * np.uint64(0xD6E8FEB86659FD93)
+            at += (bits >> np.uint64(63)).astype(np.int64)
+        return out[np.argsort(order)]
 
 
 def edit_place(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
     """Least edit distance of the item to any stretch of the words, and that stretch."""
-    # one row per item word; each cell has the distance and where its stretch began
-    best = [(0, j) for j in range(len(words) + 1)]
+    # one row per item word; each cell has the distance and where its stretch began, as
+    # distance * unit + begin
+    unit = len(words) + 1
+    steps = unit * np.arange(unit)  # by these the cells right of a cell are dearer
+    best = np.arange(unit)
     for i, wanted in enumerate(item.tolist(), start=1):
-        row = [(i, 0)]
-        for j, word in enumerate(words.tolist(), start=1):
-            change = best[j - 1]
-            change = change if word == wanted else (change[0] + 1, change[1])
-            left, up = row[j - 1], best[j]
-            row.append(min(change, (left[0] + 1, left[1]), (up[0] + 1, up[1])))
-        best = row
-    end = min(range(len(best)), key=lambda j: (best[j][0], j))
-    return best[end][0], best[end][1], end
+        row = np.minimum(best[:-1] + unit * (words != wanted), best[1:] + unit)
+        best = np.minimum.accumulate(np.append(i * unit, row) - steps) + steps
+    end = int(np.argmin(best // unit))
+    return int(best[end] // unit), int(best[end] % unit), end
 
 
 class Slice:
@@ -152,11 +160,17 @@ class Slice:
                 self.items.append(np.array(numbers, dtype=np.int32))
         self.hashes = mix(np.arange(1, len(self.codes) + 2, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
         self.longest = max((len(i) for i in self.items), default=0)
+        self.lengths = np.array([len(i) for i in self.items], dtype=np.int64)
+        edits = [limit_of(n, self.similarity) for n in range(self.longest + 1)]
+        self.edits = np.array(edits, dtype=np.int64)
         self.find_rare()
+        # each item's words as numbers, in order; the last is above all
+        own = [k * (len(self.codes) + 1) + np.unique(item) for k, item in enumerate(self.items)]
+        self.own = np.concatenate([*own, [np.iinfo(np.int64).max]]).astype(np.int64)
         self.walks: dict[int, Walks] = {}
         self.tables: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
         self.all_starts = np.zeros(len(self.items), dtype=bool)
-        lengths = np.array([len(i) for i in self.items])
+        lengths = self.lengths
         for length in sorted(set(lengths.tolist())):
             members = np.flatnonzero(lengths == length)
             repeats = self.repeats_for(length, members, recall)
@@ -167,7 +181,7 @@ class Slice:
             for rare in (True, False):
                 some = members[(self.needed[members] > 0) == rare]
                 if len(some):
-                    self.tables[length, rare] = self.table(length, some, repeats)
+                    self.tables[length, rare] = self.table(length, some)
 
     def find_rare(self) -> None:
         """Rare words with their items, and how many of them each item cannot do without."""
@@ -184,13 +198,12 @@ class Slice:
             dtype=np.int64,
         )
 
-    def table(self, length: int, members: np.ndarray, repeats: int) -> list:
+    def table(self, length: int, members: np.ndarray) -> list:
         """Per repetition the sorted signatures of items, and the items."""
         stacked = np.concatenate([np.append(self.items[k], 0) for k in members])
         starts = np.arange(len(members)) * (length + 1)
         out = []
-        for repeat in range(repeats):
-            keys = self.walks[length].signatures(repeat, self.hashes[stacked], starts)
+        for keys in self.walks[length].signatures(self.hashes[stacked], starts):
             order = np.argsort(keys, kind="stable")
             out.append((keys[order], members[order]))
         return out
@@ -215,11 +228,13 @@ class Slice:
         a = self.hashes[np.concatenate(plain)]
         b = self.hashes[np.concatenate(edited).astype(np.int64)]
         missed, most = np.ones(TRIALS, dtype=bool), most_missed(TRIALS, 1 - recall, RISK)
-        for repeat in range(MOST_REPEATS):
-            same = walks.signatures(repeat, a, starts) == walks.signatures(repeat, b, starts)
-            missed &= ~same
-            if missed.sum() <= most:
-                return repeat + 1
+        for first in range(0, MOST_REPEATS, 4):
+            some = slice(first, first + 4)
+            same = walks.signatures(a, starts, some) == walks.signatures(b, starts, some)
+            for tried, equal in enumerate(same, start=first + 1):
+                missed &= ~equal
+                if missed.sum() <= most:
+                    return tried
         return None
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
@@ -231,7 +246,7 @@ class Slice:
         parts, begins, at = [gap], [], len(gap)
         for text in utf8(texts):
             words = words_of(text)
-            parts += [np.fromiter((code(w, 0) for w in words), np.int32, len(words)), gap]
+            parts += [np.fromiter(map(code, words, repeat(0)), np.int32, len(words)), gap]
             begins.append(at)
             at += len(words) + len(gap)
         codes, begins = np.concatenate(parts), np.array(begins)
@@ -299,16 +314,17 @@ class Slice:
             starts = starts[(starts >= 0) & (starts + length < len(codes))]
             if not len(starts):
                 continue
-            for repeat, (keys, members) in enumerate(tables):
-                own = walks.signatures(repeat, hashes, starts)
-                first = np.searchsorted(keys, own, side="left")
-                count = np.searchsorted(keys, own, side="right") - first
-                hit = np.flatnonzero(count)
-                if len(hit):
-                    n = count[hit]
-                    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    which = members[np.repeat(first[hit], n) + within]
-                    found.append(np.stack([which, np.repeat(starts[hit], n)], axis=1))
+            for part in range(0, len(starts), TOGETHER):
+                some = starts[part : part + TOGETHER]
+                for (keys, members), own in zip(tables, walks.signatures(hashes, some)):
+                    first = np.searchsorted(keys, own, side="left")
+                    count = np.searchsorted(keys, own, side="right") - first
+                    hit = np.flatnonzero(count)
+                    if len(hit):
+                        n = count[hit]
+                        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                        which = members[np.repeat(first[hit], n) + within]
+                        found.append(np.stack([which, np.repeat(some[hit], n)], axis=1))
         return np.unique(np.concatenate(found), axis=0)
 
     def common_starts(self, item: int, codes: np.ndarray) -> np.ndarray:
@@ -334,26 +350,51 @@ class Slice:
         places = np.repeat(at, count)
         order = np.argsort(items, kind="stable")  # places stay ascending
         items, places = items[order], places[order]
-        lengths = np.array([len(i) for i in self.items])[items]
-        spans = lengths + np.array([limit_of(n, self.similarity) for n in range(self.longest + 1)])[lengths]
+        lengths = self.lengths[items]
+        spans = lengths + self.edits[lengths]
         last = np.arange(len(items)) + self.needed[items] - 1
         able = (self.needed[items] > 0) & (last < len(items))
         able[able] = items[last[able]] == items[able]
         able[able] = places[last[able]] - places[able] < spans[able]
         k = np.flatnonzero(able)
         lows, highs = places[last[k]] - spans[k] + 1, places[k]
-        whole = self.all_starts[items[k]]
+        n = highs - lows + 1
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts, items = np.repeat(lows, n) + step, np.repeat(items[k], n)
+        first = np.append(True, (starts[1:] > starts[:-1]) | (items[1:] != items[:-1]))[: len(starts)]
+        starts, items = starts[first], items[first]
+        whole = self.all_starts[items]
+        walking = np.flatnonzero(~whole)
+        walking = walking[self.holding(items[walking], starts[walking], codes)]
 
         def per(keys: np.ndarray, some: np.ndarray) -> dict[int, np.ndarray]:
-            out = {}
-            for key in np.unique(keys[some]).tolist():
-                own = some & (keys == key)
-                n = highs[own] - lows[own] + 1
-                step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                out[key] = np.unique(np.repeat(lows[own], n) + step)
-            return out
+            keys, own = keys[some], starts[some]
+            return {key: np.unique(own[keys == key]) for key in np.unique(keys).tolist()}
+
+        return per(self.lengths[items], walking), per(items, np.flatnonzero(whole))
 
-        return per(lengths[k], ~whole), per(items[k], whole)
+    def holding(self, items: np.ndarray, starts: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """Whether the window at each start has as many of its item's words as a match needs."""
+        out, lengths = np.zeros(len(items), dtype=bool), self.lengths[items]
+        fits = np.flatnonzero((starts >= 0) & (starts + lengths < len(codes)))
+        items, starts, lengths = items[fits], starts[fits], lengths[fits]
+        if not len(fits):
+            return out
+        # runs of starts of one item, and the words that their windows cover
+        first = np.append(True, (items[1:] != items[:-1]) | (starts[1:] != starts[:-1] + 1))
+        runs = np.flatnonzero(first)
+        ends = np.append(runs[1:], len(starts)) - 1
+        n = starts[ends] - starts[runs] + lengths[runs]
+        begins = np.cumsum(n) - n
+        words = codes[np.repeat(starts[runs] - begins, n) + np.arange(n.sum())]
+        words = np.repeat(items[runs] * (len(self.codes) + 1), n) + words
+        own = self.own[np.searchsorted(self.own, words)] == words
+        held = np.concatenate([[0], np.cumsum(own)])
+        run = np.cumsum(first) - 1
+        at = begins[run] + starts - starts[runs][run]
+        edits = self.edits[lengths]
+        out[fits] = held[at + lengths] - held[at] >= lengths - edits
+        return out
 
 
 def thinned(starts: np.ndarray, length: int) -> np.ndarray:

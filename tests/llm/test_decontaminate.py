@@ -130,3 +130,41 @@ def test_long_items_lose_no_edited_copy():
 def test_misses_that_show_a_recall():
     assert D.most_missed(1000, 0.01, 0.05) == 4
     assert D.most_missed(200, 0.01, 0.05) == -1 and D.most_missed(1000, 0, 0.05) == -1
+
+
+def test_only_windows_with_an_items_words_walk(monkeypatch):
+    """Rare words alone, among words of other items, start no walk."""
+    words = [f"w{k}" for k in range(600)]
+    items = [(k, " ".join(words[20 * k : 20 * k + 20]).encode()) for k in range(30)]
+    own = D.Slice(items, D.SIMILARITY, D.RECALL)
+    walked, signatures = [], D.Walks.signatures
+
+    def noted(self, hashes, starts, *more):
+        walked.extend(starts.tolist())
+        return signatures(self, hashes, starts, *more)
+
+    monkeypatch.setattr(D.Walks, "signatures", noted)
+    rng = random.Random(3)
+    near = " ".join(rng.choices(words[100:], k=400))
+    half = " ".join(words[:17] + words[100:103])  # as many words as a match needs, and one more
+    short = " ".join(words[:15] + words[100:110])  # one too few
+    assert own.search(pa.array([near, short])) == [[], []] and not walked
+    [[hit]] = own.search(pa.array([f"{near} {half} {near}"]))
+    assert (hit["item_id"], hit["first_word"], hit["n_words"], hit["distance"]) == (0, 400, 17, 3)
+    assert 0 < len(walked) <= 10
+
+
+def test_edit_place_by_the_plain_recurrence():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        item = rng.integers(0, 5, rng.integers(1, 12))
+        words = rng.integers(0, 5, rng.integers(0, 20))
+        row = [(0, j) for j in range(len(words) + 1)]
+        for i, w in enumerate(item, start=1):
+            new = [(i, 0)]
+            for j, x in enumerate(words, start=1):
+                steps = (row[j - 1], w != x), (new[-1], 1), (row[j], 1)
+                new.append(min((d + more, begin) for (d, begin), more in steps))
+            row = new
+        end = min(range(len(row)), key=lambda j: (row[j][0], j))
+        assert D.edit_place(item, words) == (*row[end], end)
