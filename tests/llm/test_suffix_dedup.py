@@ -3,8 +3,11 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
+from emberlog.llm import blocks
 from emberlog.llm import suffix_dedup as S
 from emberlog.llm.queries import QUERIES
 
@@ -142,3 +145,33 @@ def test_odd_rows(odd):
     assert left.filter("text is null").count() == 1
     assert S.repeated_bytes(odd.limit(0)).count() == 0
     assert S.without_repeats(odd.limit(0)).count() == 0
+
+
+def test_candidates_hash_the_texts_once(monkeypatch):
+    rng = random.Random(8)
+    texts = [rng.randbytes(3000) for _ in range(6)]
+    texts[4] = texts[1][:700] + texts[4]
+    arrays = S.symbols(texts, S.BYTES)
+    keys, counts = S.anchor_counts(arrays, np.ones(len(texts), dtype=np.int64), S.BYTES)
+    assert (counts > 1).any() and not (counts > 1).all()
+    sent = blocks.packed(0, S.ANCHORS, keys, S.spread(keys), counts, 3)
+    runs = blocks.table_of(sent, blocks.PACKED)
+    buckets = [runs.filter(pc.equal(runs["bucket"], b)) for b in range(3)]
+    answers = pa.concat_tables([blocks.merge(b) for b in buckets if len(b)])
+    answers = answers.filter(pc.not_equal(answers["block"], blocks.SUMMARY))
+    hashed, chunk_of = [], S.chunk_of
+    monkeypatch.setattr(S, "chunk_of", lambda p, s: hashed.append(sum(len(x) for *_, x in p)) or chunk_of(p, s))
+    found = S.candidates(arrays, answers, 3, S.BYTES)
+    assert sum(hashed) == sum(map(len, texts))
+    starts = set(zip(found.texts.tolist(), found.offsets.tolist()))
+    assert len(starts) == len(found.offsets)
+    assert {(1, k) for k in range(301)} | {(4, k) for k in range(301)} <= starts
+    # by brute force: starts whose window's least anchor stands twice
+    standing = {a: n for a, n in zip(keys.tolist(), counts.tolist())}
+    for number, text in enumerate(arrays):
+        running = S.sums(text, S.FACTORS[0])
+        hashes = S.mix(S.string_hashes(running, S.BYTES.anchor, S.FACTORS[0]))
+        for k in range(0, len(text) - S.BYTES.length + 1, 7):
+            window = hashes[k : k + S.BYTES.length - S.BYTES.anchor + 1]
+            least = window[np.argmin(window >> np.uint64(20))]
+            assert ((number, k) in starts) == (standing[int(least)] > 1)
