@@ -175,3 +175,30 @@ def test_candidates_hash_the_texts_once(monkeypatch):
             window = hashes[k : k + S.BYTES.length - S.BYTES.anchor + 1]
             least = window[np.argmin(window >> np.uint64(20))]
             assert ((number, k) in starts) == (standing[int(least)] > 1)
+
+
+def test_neighbours_in_suffix_arrays_of_many_short_regions():
+    rng = np.random.default_rng(9)
+    for kind in (np.uint8, np.uint64):
+        parts = [rng.integers(0, 3, rng.integers(1, 40)).astype(kind) for _ in range(60)]
+        parts += [parts[3], parts[3][2:], parts[5]]
+        data = np.concatenate([np.append(p, kind(0)) for p in parts])
+        left = np.concatenate([np.arange(len(p), -1, -1) for p in parts]).astype(np.int32)
+        order = S.suffix_array(data, left)
+        assert sorted(order.tolist()) == list(range(len(data)))
+        own = [data[i : i + n].tolist() for i, n in enumerate(left.tolist())]
+        shared = S.common_prefixes(data, left, order)
+        for a, b in zip(order[:-1].tolist(), order[1:].tolist()):
+            same = [x == y for x, y in zip(own[a], own[b])]
+            assert shared[b] == (same.index(False) if False in same else len(same))
+        for length in (1, 7, 8, 9, 17):  # equal strings stand together
+            able = left[order] >= length
+            groups = np.cumsum((shared[order] < length) | ~able)[able]
+            strings = [tuple(own[i][:length]) for i in order[able].tolist()]
+            assert len(set(groups.tolist())) == len(set(strings)) == len(set(zip(groups.tolist(), strings)))
+
+
+def test_distinct_keys():
+    for keys in ([], [5], [7, 7], [9, 0, 9, (1 << 64) - 1, 0]):
+        keys = np.array(keys, dtype=np.uint64)
+        assert blocks.distinct(keys).tolist() == np.unique(keys).tolist()
