@@ -128,6 +128,7 @@ def lookup(
     found = rows.join(hits, [*keys, "id"], "left_semi")
     # ids may be hashes: the words themselves decide
     check = text_all if match == "all" else text_any
-    # a filter would be pushed below the join, and look at every row of the table
-    row = F.struct(*[F.col(f"`{c}`") for c in logs.columns])
-    return found.select(F.inline(F.when(check(*wanted, cols=cols), F.array(row))))
+    # a filter would be pushed below the join, and look at every row of the table; the columns
+    # stay outside the generator, so the join ships only those that are asked for
+    held = F.explode(F.when(check(*wanted, cols=cols), F.array(F.lit(True)))).alias("_held")
+    return found.select("*", held).select(*[F.col(f"`{c}`") for c in logs.columns])

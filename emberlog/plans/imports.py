@@ -21,8 +21,9 @@ from emberlog.operators.partitions import partition_bounds, with_partitions
 from emberlog.operators.postings import build_postings, lookup
 from emberlog.plans.base import query
 from emberlog.schema import FACILITIES, SEVERITIES, SHREDDED_COLUMNS, LogColumns
+from emberlog.session import release_shuffles
 from emberlog.sources.committed import log_table
-from emberlog.sources.jsonlines import read_json_lines
+from emberlog.sources.jsonlines import read_json_lines, write_json_lines
 from emberlog.sources.logtable import read_logs, write_logs
 from emberlog.streaming.importer import start_committed_import, start_import
 
@@ -174,11 +175,14 @@ def import_repeated_lines(t):
         F.col("value"), F.lit('{"msg"'), F.concat(F.lit('{"uuid":"'), "id", F.lit('","msg"'))
     )
     copies = F.explode(F.sequence(F.lit(0), F.col("id") % 3))
-    lines.select(numbered.alias("value"), copies.alias("copy")).select("value").write.text(
-        f"{folder}/lines"
+    write_json_lines(
+        lines.select(numbered.alias("value"), copies.alias("copy")), f"{folder}/lines"
+    )
+    good, _ = import_events(
+        read_json_lines(t.spark, f"{folder}/lines"), columns=["id", "tstamp", "doc", "search"]
     )
-    good, _ = import_events(read_json_lines(t.spark, f"{folder}/lines"))
     write_logs(good, f"{folder}/logs")
+    release_shuffles(t.spark)
     logs = read_logs(t.spark, f"{folder}/logs")
     hits = lookup(logs, build_postings(logs), ["user", "click"]).select("id").distinct()
     event = field_text("uuid", SHREDDED_COLUMNS).alias("event")

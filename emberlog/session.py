@@ -32,6 +32,12 @@ def checkpoint_folder(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}"
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect its garbage: until it does, the files of shuffles that no
+    query uses any more stay on disk, also those of a long job's finished writes."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def local_session(cpus: int | str = "*", app: str = "emberlog") -> SparkSession:
     """A single-machine session for tests and the benchmark."""
     parallelism = "8" if cpus == "*" else str(cpus)

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Fixed value: a compressed file cannot be split, so this is the least share of a task that
+# reads it.
+LINES_PER_FILE = 25_000
+
+
 def _lines(frame: DataFrame) -> DataFrame:
     return frame.where(F.col("value").rlike(r"\S"))
 
@@ -24,6 +29,13 @@ def read_json_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return _lines(lines)
 
 
+def write_json_lines(lines: DataFrame, path: str) -> None:
+    """Store the ``value`` column as text files, one line per row, in gzip: lines repeat their
+    keys. However many rows a task has, its files stay small, so many tasks can read them."""
+    writer = lines.select("value").write.option("maxRecordsPerFile", LINES_PER_FILE)
+    writer.option("compression", "gzip").text(path)
+
+
 def stream_json_lines(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
 ) -> DataFrame:

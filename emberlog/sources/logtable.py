@@ -38,16 +38,20 @@ def prepare_logs(
 
     The rebalance hint lets adaptive execution split a period that holds much of
     the data over many tasks and merge small ones, so no period becomes one task.
+    What follows from the document is computed after that, so it is neither shuffled nor
+    sorted: the promoted fields, and ``doc_v`` where ``logs`` has none.
     """
-    base = logs.select(*LOG_SCHEMA.names).withColumns(
-        {name: field_text(name) for name in promoted}
-    )
+    given = [c for c in LOG_SCHEMA.names if c != "doc_v" or c in logs.columns]
     periods = [partition_column(u) for u in check_levels(levels)]
-    return (
-        with_partitions(base, levels)
+    gathered = (
+        with_partitions(logs.select(*given), levels)
         .hint("rebalance", *[F.col(p) for p in periods])
         .sortWithinPartitions(*periods, "tstamp")
     )
+    if "doc_v" not in given:
+        gathered = as_logs(gathered)
+    fields = [field_text(name).alias(name) for name in promoted]
+    return gathered.select(*LOG_SCHEMA.names, *fields, *periods)
 
 
 def write_logs(
@@ -57,10 +61,11 @@ def write_logs(
     promoted: Sequence[str] = DEFAULT_PROMOTED,
     mode: str = "append",
 ) -> None:
-    """Append log rows; directories of new periods appear by themselves."""
+    """Append log rows; directories of new periods appear by themselves. ``doc_v`` may be left
+    out where it is the parsed ``doc``."""
     prepared = prepare_logs(logs, levels, promoted)
     periods = [partition_column(u) for u in levels]
-    prepared.write.mode(mode).partitionBy(*periods).parquet(path)
+    prepared.write.mode(mode).option("compression", "zstd").partitionBy(*periods).parquet(path)
 
 
 def read_logs(
